@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import mixing
+from strata.llm import mixing, token_file
 from strata.llm._shared import table
 
 
@@ -14,8 +15,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), (3, 1, 2), epochs=2.0, budget=1.5)
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    blocks = token_file.write(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_file.read(blocks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op5_token_file": op5_token_file,
 }
 
 ORACLES: dict[str, str] = {
