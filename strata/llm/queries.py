@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, mixing, token_file
+from strata.llm import chat, langid, mixing, quality, token_file
 from strata.llm._shared import table
 
 
@@ -30,10 +30,20 @@ def op6_chat_format(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     return chat.digests(chat.format_turns(rows.unionByName(more), path), path)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out_mod=(3, 1))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"), held_out_mod=(5, 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_token_file": op5_token_file,
     "op6_chat_format": op6_chat_format,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
