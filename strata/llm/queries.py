@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontam, langid, mixing, quality, token_file
+from strata.llm import chat, decontam, langid, minhash, mixing, quality, token_file
 from strata.llm._shared import table
 
 
@@ -38,6 +38,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out_mod=(3, 1))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=85, den=100)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(table(spark, sf_dir, "documents"), held_out_mod=(5, 0))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_file": op5_token_file,
     "op6_chat_format": op6_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op10_language_id": op10_language_id,
 }
 
