@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontam, langid, minhash, mixing, quality, token_file
+from strata.llm import chat, decontam, langid, minhash, mixing, quality, substring_dedup, suffix_dedup, token_file
 from strata.llm._shared import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=5, coverage=0.8)
 
@@ -19,6 +23,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), (3, 1, 2), epochs=2.0, budget=1.5)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_seen(table(spark, sf_dir, "documents"), length=13)
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     blocks = token_file.write(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_file.read(blocks)
@@ -47,8 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_file": op5_token_file,
     "op6_chat_format": op6_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
