@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontam, langid, minhash, mixing, quality, substring_dedup, suffix_dedup, token_file
+from strata.llm import chat, decontam, imatch, langid, minhash, mixing, quality, substring_dedup, suffix_dedup, token_file
 from strata.llm._shared import table
 
 
@@ -50,6 +50,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=85, den=100)
 
 
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(table(spark, sf_dir, "documents"), held_out_mod=(5, 0))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_imatch_fingerprints": op9_imatch_fingerprints,
     "op10_language_id": op10_language_id,
 }
 
