@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sizes = scored.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"), F.max_by("doc", F.struct("shared", -F.col("doc"))).alias("pivot"))
     sizes = sizes.select(F.col("cluster").alias("c"), "pivot", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = scored.join(sizes, F.col("cluster") == F.col("c")).select("doc", "cluster", "pivot", "blocks")
-    text = base.join(wanted, F.col("doc_id") == F.col("doc")).select("cluster", "blocks", "pivot", "doc", "text")
+    # One plan at every size: texts meet the wanted ids by a merge join.
+    text = base.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select("cluster", "blocks", "pivot", "doc", "text")
     sets = staged(text.mapInArrow(_sets(n), "cluster long, blocks int, pivot long, doc long, shingles binary"), "sets")
     small = _verified(sets.filter("blocks = 1").withColumn("tile", F.lit(0)).withColumn("side", F.lit(0)), num, den)
     links = small
