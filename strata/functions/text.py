@@ -8,6 +8,7 @@ Unicode white space or digits matter and (?d) so that a dot matches all but a ne
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,11 @@ def _strip(c: Column, letters: str) -> Column:
     return _sub(c, f"(?U)^[{letters}]+|[{letters}]+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: nested expressions would repeat it each time it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # F1-F3 -------------------------------------------------------------------------------------------
 
 
@@ -54,18 +60,34 @@ def normalize_key(c: Column | str) -> Column:
 # F4-F5 -------------------------------------------------------------------------------------------
 
 
-@pandas_udf("string")
-def strip_accents(s: pd.Series) -> pd.Series:
-    """Canonical decomposition without non-spacing marks."""
+def _without_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else "".join(ch for ch in unicodedata.normalize("NFD", t) if unicodedata.category(ch) != "Mn"))
 
 
-@pandas_udf("string")
-def fold_compat(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining characters: a ligature becomes its letters."""
+def _compat_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)))
 
 
+def _round_exactly(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or v != v else round(float(v), int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
+
+
+@lru_cache
+def _udf(f, kind: str):
+    """A pandas UDF needs a session for its type, so it is made at its first use."""
+    return pandas_udf(f, kind)
+
+
+def strip_accents(c: Column | str) -> Column:
+    """Canonical decomposition without non-spacing marks."""
+    return _udf(_without_marks, "string")(_c(c))
+
+
+def fold_compat(c: Column | str) -> Column:
+    """Compatibility decomposition without combining characters: a ligature becomes its letters."""
+    return _udf(_compat_fold, "string")(_c(c))
+
+
 # F6-F8 -------------------------------------------------------------------------------------------
 
 
@@ -94,7 +116,7 @@ def roman_to_int(c: Column | str) -> Column:
 
 def detect_page_marker(c: Column | str) -> Column:
     """n of a text that is 'PAGE n' in any case, else null."""
-    m = F.regexp_extract(clean_text(c), F.lit(r"(?iU)^PAGE\s+(\d+)$"), F.lit(1))
+    m = F.regexp_extract(clean_text(c), r"(?iU)^PAGE\s+(\d+)$", 1)
     return F.nullif(m, F.lit("")).cast("int")
 
 
@@ -102,17 +124,19 @@ def detect_page_marker(c: Column | str) -> Column:
 
 
 def is_noise_title(c: Column | str) -> Column:
-    t = _strip(strip_accents(F.lower(clean_text(c))), r" :;.\-")
-    return (
-        (t == "")
-        | t.isin(TOC_TITLES)
-        | t.rlike(r"(?U)^page\s+\d+(\s+sur)?$")
-        | t.rlike(r"(?U)^page\s+\d+\s+sur\s+\d+$")
-        | t.contains("version")
-        | t.contains("isbn")
-        | t.contains("tous droits reserves")
-        | t.rlike(r"(?U)^[\d\W_]+$")
-    )
+    def noise(t: Column) -> Column:
+        return (
+            (t == "")
+            | t.isin(TOC_TITLES)
+            | t.rlike(r"(?U)^page\s+\d+(\s+sur)?$")
+            | t.rlike(r"(?U)^page\s+\d+\s+sur\s+\d+$")
+            | t.contains("version")
+            | t.contains("isbn")
+            | t.contains("tous droits reserves")
+            | t.rlike(r"(?U)^[\d\W_]+$")
+        )
+
+    return let(_strip(strip_accents(F.lower(clean_text(c))), r" :;.\-"), noise)
 
 
 def clean_number_spacing(c: Column | str) -> Column:
@@ -127,18 +151,24 @@ def clean_number_spacing(c: Column | str) -> Column:
 
 def extract_number(c: Column | str) -> Column:
     """The decimal number (without a last dot) or roman numeral that a title starts with, else null."""
-    t = clean_number_spacing(c)
-    decimal = F.regexp_replace(F.regexp_extract(t, F.lit(r"(?Ud)^(\d+(?:\.\d+)*\.?)\s+.+$"), F.lit(1)), F.lit(r"\.+$"), F.lit(""))
-    roman = F.upper(F.regexp_extract(t, F.lit(r"(?Uid)^([IVXLCDM]+)\s*[.\-:]\s+.+$"), F.lit(1)))
-    return F.coalesce(F.nullif(decimal, F.lit("")), F.nullif(roman, F.lit("")))
+
+    def number(t: Column) -> Column:
+        decimal = _sub(F.regexp_extract(t, r"(?Ud)^(\d+(?:\.\d+)*\.?)\s+.+$", 1), r"\.+$", "")
+        roman = F.upper(F.regexp_extract(t, r"(?Uid)^([IVXLCDM]+)\s*[.\-:]\s+.+$", 1))
+        return F.when(decimal != "", decimal).when(roman != "", roman)
+
+    return let(clean_number_spacing(c), number)
 
 
 def ensure_number_in_title(title: Column | str, number: Column | str) -> Column:
-    t = clean_number_spacing(title)
-    n = _sub(clean_text(number), r"\.+$", "")
-    rest = F.substring(t, F.length(n) + 1, F.lit(1))
-    led = F.startswith(t, n) & rest.rlike(r"(?U)^[.\s\-:]")
-    return F.when((F.coalesce(_c(number), F.lit("")) == "") | led, t).otherwise(F.concat(n, F.lit(". "), t))
+    both = F.struct(clean_number_spacing(title).alias("t"), _sub(clean_text(number), r"\.+$", "").alias("n"))
+
+    def ensure(x: Column) -> Column:
+        t, n = x["t"], x["n"]
+        led = F.startswith(t, n) & F.substring(t, F.length(n) + 1, F.lit(1)).rlike(r"(?U)^[.\s\-:]")
+        return F.when((n == "") | led, t).otherwise(F.concat(n, F.lit(". "), t))
+
+    return let(both, ensure)
 
 
 def page_contains_toc_keyword(c: Column | str) -> Column:
@@ -155,12 +185,15 @@ def clean_toc_line(c: Column | str) -> Column:
 
 def parse_toc_line(c: Column | str, total_pages: Column) -> Column:
     """STRUCT(title, page, number) of a line 'title page', else null."""
-    line = clean_toc_line(c)
     pattern = r"(?Ud)^(.+?)\s+(\d{1,4})$"
-    title = clean_number_spacing(F.regexp_extract(line, F.lit(pattern), F.lit(1)))
-    page = F.nullif(F.regexp_extract(line, F.lit(pattern), F.lit(2)), F.lit("")).cast("int")
-    number = extract_number(title)
-    return F.when(page.between(1, total_pages) & ~is_noise_title(title), F.struct(ensure_number_in_title(title, number).alias("title"), page.alias("page"), number.alias("number")))
+    parts = let(clean_toc_line(c), lambda line: F.struct(F.regexp_extract(line, pattern, 1).alias("title"), F.regexp_extract(line, pattern, 2).try_cast("int").alias("page")))
+    entry = let(parts, lambda x: F.struct(clean_number_spacing(x["title"]).alias("title"), x["page"].alias("page")))
+    noise = is_noise_title(parts["title"])
+    full = let(
+        F.struct(entry["title"].alias("title"), entry["page"].alias("page"), noise.alias("noise"), total_pages.alias("total")),
+        lambda x: F.when(x["page"].between(1, x["total"]) & ~x["noise"], let(F.struct(x["title"].alias("title"), x["page"].alias("page"), extract_number(x["title"]).alias("number")), lambda y: F.struct(ensure_number_in_title(y["title"], y["number"]).alias("title"), y["page"].alias("page"), y["number"].alias("number")))),
+    )
+    return full
 
 
 # F19-F24 -----------------------------------------------------------------------------------------
@@ -181,14 +214,17 @@ def is_repeated_footer(c: Column | str) -> Column:
 
 def heading_info(c: Column | str) -> Column:
     """STRUCT(kind, page, number, numbering_type, title, clean_title, depth, roman_index), null where a text is no explicit heading."""
-    t = clean_text(c)
+    return let(clean_text(c), _heading_info)
+
+
+def _heading_info(t: Column) -> Column:
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
 
     def info(kind, page, number, numbering, clean, depth, roman):
         return F.struct(F.lit(kind).alias("kind"), page.alias("page"), number.alias("number"), numbering.alias("numbering_type"), (none_s if kind == "page_marker" else t).alias("title"), clean.alias("clean_title"), depth.alias("depth"), roman.alias("roman_index"))
 
     decimal, roman, bullet = r"(?Ud)^(\d+(?:\.\d+)*\.?)\s+(.+)$", r"(?Uid)^([IVXLCDM]+)\s*[.\-:]\s+(.+)$", r"(?Ud)^-\s+(.+)$"
-    get = lambda p, k: F.regexp_extract(t, F.lit(p), F.lit(k))
+    get = lambda p, k: F.regexp_extract(t, p, k)
     n = _sub(get(decimal, 1), r"\.+$", "")
     page = detect_page_marker(t)
     return (
@@ -206,7 +242,7 @@ def is_generic_toc_heading(title: Column | str, number: Column | str) -> Column:
 
 def parent_decimal_number(c: Column | str) -> Column:
     """The number without its last part; null for a single part."""
-    return F.nullif(F.regexp_extract(_c(c), F.lit(r"^(.*)\.[^.]*$"), F.lit(1)), F.lit(""))
+    return F.nullif(F.regexp_extract(_c(c), r"^(.*)\.[^.]*$", 1), F.lit(""))
 
 
 # F25-F32: three profiles of titles --------------------------------------------------------------------
@@ -243,8 +279,11 @@ def _edges(c: Column | str) -> Column:
 
 def leading_number(c: Column | str) -> Column:
     """STRUCT(number, body) of a title; number '' where none leads."""
-    raw = _edges(c)
-    return F.when(raw.rlike(LEADING), F.struct(_edges(F.regexp_extract(raw, F.lit(LEADING), F.lit(1))).alias("number"), _edges(F.regexp_extract(raw, F.lit(LEADING), F.lit(2))).alias("body"))).otherwise(F.struct(F.lit("").alias("number"), raw.alias("body")))
+    return let(_edges(c), _split_leading)
+
+
+def _split_leading(raw: Column) -> Column:
+    return F.when(raw.rlike(LEADING), F.struct(_edges(F.regexp_extract(raw, LEADING, 1)).alias("number"), _edges(F.regexp_extract(raw, LEADING, 2)).alias("body"))).otherwise(F.struct(F.lit("").alias("number"), raw.alias("body")))
 
 
 def eval_visible_heading(title: Column | str, number: Column | str) -> Column:
@@ -297,10 +336,9 @@ def dice(both: Column, a: Column, b: Column) -> Column:
     return F.when(a + b == 0, 1.0).otherwise(safe_div(2 * both, a + b))
 
 
-@pandas_udf("double")
-def py_round(x: pd.Series, digits: pd.Series) -> pd.Series:
+def py_round(x: Column, digits: Column) -> Column:
     """Rounding of the exact binary value, half to even; for report sinks only."""
-    return pd.Series([None if v is None or v != v else round(float(v), int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
+    return _udf(_round_exactly, "double")(x, digits)
 
 
 def mean_std(x: Column) -> tuple[Column, Column]:

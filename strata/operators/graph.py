@@ -15,7 +15,7 @@ def nodes(outline: DataFrame) -> DataFrame:
     (graph_id, ord, id, label, kind, title, number, role, page_start, page_end, evidence_pages, path);
     ord gives the order of the nodes. A course's id covers its title only, any other the path, number and pages.
     """
-    o = O.leaves(outline).join(O.title_paths(outline), ["doc_id", "ord"])
+    o = O.with_path(O.leaves(outline.repartition("doc_id")))
     course = F.size("ord") == 0
     page = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, "").otherwise(F.col(c).cast("string"))
     kind = F.when(course, "COURSE").otherwise(T.section_kind(F.col("leaf"), F.size("ord")))

@@ -149,12 +149,12 @@ def heading_parents(flat: DataFrame) -> DataFrame:
 
 def headings_outline(items: DataFrame, total_pages: int | None = None, exclude_table_like_areas: bool = True, keep_isolated_unnumbered: bool = False) -> DataFrame:
     """Outline rows (doc_id, ord, id, title, number, role, start_page, end_page) from layout items."""
-    flat = flat_headings(items, exclude_table_like_areas)
+    flat = flat_headings(items.persist(), exclude_table_like_areas).persist()  # each of these feeds several joins
     if not keep_isolated_unnumbered:
         flat = drop_isolated_unnumbered(flat)
-    h = heading_parents(flat)
-    o = h.join(ords_from_parents(h), ["doc_id", "i"]).select("doc_id", "ord", "id", "title", "number", "role", F.col("page").alias("start_page"), F.col("page").alias("end_page"))
-    return parent_ends(end_pages_preorder(o, None if total_pages is None else F.lit(total_pages)))
+    h = heading_parents(flat.persist()).persist()
+    o = h.join(ords_from_parents(h), ["doc_id", "i"]).select("doc_id", "ord", "id", "title", "number", "role", F.col("page").alias("start_page"), F.col("page").alias("end_page")).persist()
+    return parent_ends(end_pages_preorder(o, None if total_pages is None else F.lit(total_pages)).persist())
 
 
 def document_title(documents: DataFrame, override: str | None = None) -> DataFrame:

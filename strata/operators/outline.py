@@ -54,45 +54,45 @@ def flatten_outlines(outlines: DataFrame) -> DataFrame:
     return spark.sql("SELECT o.doc_id, f.* FROM {o} o, LATERAL strata_flatten_outline(o.json) f", o=outlines)
 
 
-def drop_with_descendants(nodes: DataFrame, gone: DataFrame) -> DataFrame:
-    """Without the nodes (doc_id, ord) of ``gone`` and all that stands below them."""
-    g = gone.select(F.col("doc_id").alias("gone_doc"), F.col("ord").alias("gone_ord"))
-    hit = with_ancestors(nodes.select("doc_id", "ord")).join(g, (F.col("doc_id") == F.col("gone_doc")) & (F.col("anc") == F.col("gone_ord")), "left_semi").select(F.col("doc_id").alias("gone_doc"), F.col("ord").alias("gone_ord")).distinct()
-    return nodes.join(hit, (F.col("doc_id") == F.col("gone_doc")) & (F.col("ord") == F.col("gone_ord")), "left_anti")
+def _spread(rows: DataFrame, name: str, value, agg=F.max) -> DataFrame:
+    """On rows of with_ancestors(): what the ancestor's own row has as ``value``, on each row of its subtree."""
+    return rows.withColumn(name, agg(F.when(F.col("ord") == F.col("anc"), value)).over(Window.partitionBy("doc_id", "anc")))
 
 
-def duplicate_siblings(nodes: DataFrame) -> DataFrame:
-    """(doc_id, ord) of siblings whose number, title and pages repeat those of an earlier one."""
-    w = Window.partitionBy("doc_id", "up", "kn", "kt", "start_page", "end_page").orderBy("ord")
-    keyed = nodes.filter(F.size("ord") > 0).select("doc_id", "ord", parent().alias("up"), T.normalize_key("number").alias("kn"), T.normalize_key("title").alias("kt"), "start_page", "end_page")
-    return keyed.withColumn("rank", F.row_number().over(w)).filter("rank > 1").select("doc_id", "ord")
+def drop_flagged(nodes: DataFrame, flag) -> DataFrame:
+    """Without the nodes that ``flag`` holds for and all that stands below them. One shuffle by document."""
+    columns = nodes.columns
+    rows = _spread(with_ancestors(nodes.repartition("doc_id").withColumn("flag", F.coalesce(flag, F.lit(False)))), "gone", F.col("flag"))
+    rows = rows.withColumn("gone", F.max(F.coalesce("gone", F.lit(False))).over(Window.partitionBy("doc_id", "ord")))
+    return rows.filter((F.col("ord") == F.col("anc")) & ~F.col("gone")).select(*columns)
 
 
 def dedupe_siblings(nodes: DataFrame) -> DataFrame:
-    """The first of equal siblings stays; later ones go with their children."""
-    return drop_with_descendants(nodes, duplicate_siblings(nodes))
+    """The first of siblings with equal number, title and pages stays; later ones go with their children."""
+    w = Window.partitionBy("doc_id", "up", "kn", "kt", "start_page", "end_page").orderBy("ord")
+    keyed = nodes.repartition("doc_id").withColumns({"up": parent(), "kn": T.normalize_key("number"), "kt": T.normalize_key("title")}).withColumn("rank", F.row_number().over(w))
+    return drop_flagged(keyed, (F.col("rank") > 1) & (F.size("ord") > 0)).select(*nodes.columns)
 
 
 def clean_sections(nodes: DataFrame) -> DataFrame:
     """Clean texts; a section without a title goes with its subtree; an empty number or role is null."""
     c = nodes.withColumns({"title": T.clean_text("title"), "number": F.nullif(T.clean_text("number"), F.lit("")), "role": F.nullif(T.clean_text("role"), F.lit(""))})
     c = c.withColumn("title", F.when((F.size("ord") == 0) & (F.col("title") == ""), "Untitled Course").otherwise(F.col("title")))
-    return drop_with_descendants(c, c.filter((F.size("ord") > 0) & (F.col("title") == "")).select("doc_id", "ord"))
+    return drop_flagged(c, F.col("title") == "")
 
 
-def recompute_spans(nodes: DataFrame, root: bool = True) -> DataFrame:
+def recompute_spans(nodes: DataFrame) -> DataFrame:
     """Pages of each node from its subtree: the least start, and the greatest end where every end was first raised to its own subtree's start.
 
-    Two aggregations over (node, ancestor) rows replace the post-order walk: with S the least start of
-    a subtree, end(n) is the maximum over d in subtree(n) of d's own end and, where d's subtree has any end, S(d).
+    With S the least start of a subtree, end(n) is the maximum over d in subtree(n) of d's own end and,
+    where d's subtree has any end, S(d). All windows lie inside a document, so one shuffle serves them.
     """
-    n = nodes.repartition("doc_id")
-    up = with_ancestors(n.select("doc_id", "ord", "start_page", "end_page"), root=root)
-    first = up.groupBy("doc_id", "anc").agg(F.min("start_page").alias("s"), F.max(F.col("end_page").isNotNull()).alias("has_end"))
-    own = n.select("doc_id", "ord", "end_page").join(first.withColumnRenamed("anc", "ord"), ["doc_id", "ord"]).select("doc_id", "ord", F.greatest("end_page", F.when(F.col("has_end"), F.col("s"))).alias("e"))
-    last = with_ancestors(own, root=root).groupBy("doc_id", "anc").agg(F.max("e").alias("e"))
-    spans = first.join(last, ["doc_id", "anc"]).select(F.col("doc_id"), F.col("anc").alias("ord"), F.col("s").alias("start_page"), F.col("e").alias("end_page"))
-    return n.drop("start_page", "end_page").join(spans, ["doc_id", "ord"]).select(*nodes.columns)
+    below, own = Window.partitionBy("doc_id", "anc"), Window.partitionBy("doc_id", "ord")
+    rows = with_ancestors(nodes.repartition("doc_id"), root=True)
+    rows = rows.withColumns({"s": F.min("start_page").over(below), "has_end": F.max(F.col("end_page").isNotNull()).over(below)})
+    rows = rows.withColumn("e", F.max(F.when(F.col("ord") == F.col("anc"), F.greatest("end_page", F.when(F.col("has_end"), F.col("s"))))).over(own))
+    rows = rows.withColumn("e", F.max("e").over(below)).filter(F.col("ord") == F.col("anc"))
+    return rows.withColumns({"start_page": F.col("s"), "end_page": F.col("e")}).select(*nodes.columns)
 
 
 def normalize(nodes: DataFrame, passes: int = 1) -> DataFrame:
@@ -103,9 +103,9 @@ def normalize(nodes: DataFrame, passes: int = 1) -> DataFrame:
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with a boolean ``leaf``."""
-    ups = nodes.filter(F.size("ord") > 0).select(F.col("doc_id").alias("pd"), parent().alias("po")).distinct()
-    return nodes.join(ups, (F.col("doc_id") == F.col("pd")) & (F.col("ord") == F.col("po")), "left").withColumn("leaf", F.col("pd").isNull()).drop("pd", "po")
+    """``nodes`` with a boolean ``leaf``: the next node in preorder isn't below."""
+    nxt = F.lead("ord").over(Window.partitionBy("doc_id").orderBy("ord"))
+    return nodes.withColumn("leaf", F.coalesce(F.slice(nxt, F.lit(1), F.size("ord")) != F.col("ord"), F.lit(True)))
 
 
 def summarize(nodes: DataFrame) -> DataFrame:
@@ -114,25 +114,24 @@ def summarize(nodes: DataFrame) -> DataFrame:
     return n.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("leaf").alias("leaves"), F.max(F.size("ord")).cast("long").alias("max_depth"), F.count_if(F.size("ord") == 1).alias("top_level"))
 
 
-def title_paths(nodes: DataFrame, column: str = "title") -> DataFrame:
-    """(doc_id, ord, path): the ancestors' and own ``column`` in order."""
-    each = nodes.select("doc_id", F.col("ord").alias("anc"), F.col(column).alias("label"))
-    rows = with_ancestors(nodes.select("doc_id", "ord"), root=True).join(each, ["doc_id", "anc"])
-    return rows.groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.size("anc").alias("k"), "label"))), lambda x: x["label"]).alias("path"))
+def with_path(nodes: DataFrame, column: str = "title", name: str = "path") -> DataFrame:
+    """``nodes`` with the ancestors' and own ``column`` in order."""
+    rows = _spread(with_ancestors(nodes.repartition("doc_id"), root=True), "label_", F.col(column))
+    listed = F.array_sort(F.collect_list(F.when(F.col("label_").isNotNull(), F.struct(F.size("anc").alias("k"), F.col("label_").alias("x")))).over(Window.partitionBy("doc_id", "ord")))
+    return rows.withColumn(name, F.transform(listed, lambda r: r["x"])).filter(F.col("ord") == F.col("anc")).drop("label_", "anc")
 
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(doc_id, ord, path) with labels 'number title' joined by ' > '; a section without title takes its subtree with it."""
     n = nodes.filter(F.size("ord") > 0).withColumns({"title": T.clean_text("title"), "number": T.clean_text("number")})
-    n = drop_with_descendants(n, n.filter("title = ''").select("doc_id", "ord"))
-    n = n.withColumn("label", F.trim(F.concat_ws(" ", "number", "title")))
-    return title_paths(n, "label").withColumn("path", F.array_join("path", " > "))
+    n = drop_flagged(n, F.col("title") == "").withColumn("label", F.trim(F.concat_ws(" ", "number", "title")))
+    return with_path(n, "label").select("doc_id", "ord", F.array_join("path", " > ").alias("path"))
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, path, change): distinct paths that only one side has, 'removed' or 'added'."""
     a, b = (paths(x).select("doc_id", "path").distinct() for x in (before, after))
-    return a.exceptAll(b).withColumn("change", F.lit("removed")).unionByName(b.exceptAll(a).withColumn("change", F.lit("added")))
+    return a.subtract(b).withColumn("change", F.lit("removed")).unionByName(b.subtract(a).withColumn("change", F.lit("added")))
 
 
 def diff_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def response_text(responses: DataFrame) -> DataFrame:
 def lenient_json(texts: DataFrame, column: str = "text") -> DataFrame:
     """``texts`` with ``json``: the whole text if it parses, else from its first to its last brace, else null; ``parse_error`` says so."""
     t = F.trim(F.col(column))
-    inner = F.regexp_extract(t, F.lit(r"(?s)\{.*\}"), F.lit(0))
+    inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
     ok = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
     return texts.withColumn("json", F.coalesce(ok(t), ok(F.nullif(inner, F.lit(""))))).withColumn("parse_error", F.col("json").isNull())
 

@@ -21,7 +21,7 @@ def toc_like_lines(pages: DataFrame) -> DataFrame:
     each = pages.select("doc_id", "page", "total_pages", F.explode_outer(F.split("text", r"\R")).alias("line"))
     pattern = r"(?Ud)^(.+?)\s+(\d{1,4})$"
     line = T.clean_toc_line("line")
-    each = each.withColumn("title", T.clean_text(F.regexp_extract(line, F.lit(pattern), F.lit(1)))).withColumn("n", F.nullif(F.regexp_extract(line, F.lit(pattern), F.lit(2)), F.lit("")).cast("int"))
+    each = each.withColumn("title", T.clean_text(F.regexp_extract(line, pattern, 1))).withColumn("n", F.nullif(F.regexp_extract(line, pattern, 2), F.lit("")).cast("int"))
     return each.groupBy("doc_id", "page").agg(F.count_if(F.col("n").between(F.lit(1), F.col("total_pages")) & ~T.is_noise_title("title")).alias("toc_lines"))
 
 

@@ -62,13 +62,13 @@ def has_cycle(edges: list[tuple[str, str]]) -> bool:
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n1 = first_nodes(nodes)
+    n1 = first_nodes(nodes).persist()  # n1, c, the in-degrees and n each feed many constraints
     ids = n1.select(F.col("graph_id").alias("ng"), F.col("id").alias("ni"))
-    c = known_contains(nodes, edges)
-    indegree = c.groupBy(F.col("graph_id").alias("cg"), F.col("target").alias("ci")).agg(F.count("*").alias("parents"), F.min("source").alias("only_parent"))
+    c = known_contains(nodes, edges).persist()
+    indegree = c.groupBy(F.col("graph_id").alias("cg"), F.col("target").alias("ci")).agg(F.count("*").alias("parents"), F.min("source").alias("only_parent")).persist()
     outdegree = c.groupBy(F.col("graph_id").alias("og"), F.col("source").alias("oi")).agg(F.count("*").alias("children"))
     n = nodes.join(indegree, (F.col("graph_id") == F.col("cg")) & (F.col("id") == F.col("ci")), "left").join(outdegree, (F.col("graph_id") == F.col("og")) & (F.col("id") == F.col("oi")), "left")
-    n = n.withColumns({"parents": F.coalesce("parents", F.lit(0)), "children": F.coalesce("children", F.lit(0)), "clean": T.clean_text("title")})
+    n = n.withColumns({"parents": F.coalesce("parents", F.lit(0)), "children": F.coalesce("children", F.lit(0)), "clean": T.clean_text("title")}).persist()
     course = F.coalesce(F.col("kind") == "COURSE", F.lit(False))
     out = []
 
@@ -113,6 +113,7 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edge("sequence_self_loop", q.filter("source <=> target"))
     edge("duplicate_sequence_edge", q.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "source", "target").orderBy("pos"))).filter("rank > 1"))
     siblings, broken = sequence_siblings(n1, c, indegree, q)
+    siblings = siblings.persist()
     edge("sequence_not_between_siblings", broken)
     out.append(_as(siblings.filter("ti <> si + 1"), "sequence_not_adjacent", parent_id="parent", source="source", target="target"))
     out.append(_as(sequence_cycles(siblings), "sequence_cycle", parent_id="parent"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, json): one row a file, the file name without folder and extension as doc_id."""
-    stem = F.regexp_extract(F.input_file_name(), F.lit(r"([^/]+?)(?:\.[^./]*)?$"), F.lit(1))
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
     return spark.read.text(path, wholetext=True).select(stem.alias("doc_id"), F.col("value").alias("json"))
 
 
