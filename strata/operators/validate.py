@@ -22,8 +22,15 @@ LEGAL = [("COURSE", "MODULE"), ("COURSE", "KC"), ("MODULE", "UNIT"), ("MODULE",
 COLUMNS = ["node_id", "parent_id", "child_id", "source", "target"]
 
 
-def _as(rows: DataFrame, kind: str, **columns: str) -> DataFrame:
-    return rows.select("graph_id", F.lit(kind).alias("type"), *[(F.col(columns[c]) if c in columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS])
+def _as(rows: DataFrame, kind, **columns: str) -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return rows.select("graph_id", kind.alias("type"), *[(F.col(columns[c]) if c in columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS])
+
+
+def _checked(rows: DataFrame, checks: dict, **columns: str) -> DataFrame:
+    """A violation for each of ``checks`` (type: condition) that holds on a row, in one pass over the rows."""
+    hits = F.filter(F.array(*[F.when(condition, F.lit(kind)) for kind, condition in checks.items()]), lambda x: x.isNotNull())
+    return _as(rows.withColumn("kind_", F.explode(hits)), F.col("kind_"), **columns)
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:
@@ -32,13 +39,13 @@ def first_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter("id IS NOT NULL AND id <> ''").withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
-def known_contains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, pos, source, target) of containment edges whose ends are known, with the ends' columns as structs s and t."""
+def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` with the columns of their ends as structs s and t, null where the end is unknown."""
     n = first_nodes(nodes)
-    s = n.select(F.col("graph_id").alias("sg"), F.col("id").alias("si"), F.struct("kind", "title", "page_start", "page_end", "path").alias("s"))
-    t = n.select(F.col("graph_id").alias("tg"), F.col("id").alias("ti"), F.struct("kind", "title", "page_start", "page_end", "path").alias("t"))
-    e = edges.filter("type = 'contains'").select("graph_id", "pos", "source", "target")
-    return e.join(s, (F.col("graph_id") == F.col("sg")) & (F.col("source") == F.col("si"))).join(t, (F.col("graph_id") == F.col("tg")) & (F.col("target") == F.col("ti"))).select("graph_id", "pos", "source", "target", "s", "t")
+    end = lambda k: n.select(F.col("graph_id").alias(f"{k}g"), F.col("id").alias(f"{k}i"), F.struct("id", "kind", "title", "page_start", "page_end", "path").alias(k))
+    e = edges.select("graph_id", "pos", "source", "target", "type")
+    e = e.join(end("s"), (F.col("graph_id") == F.col("sg")) & (F.col("source") == F.col("si")), "left").join(end("t"), (F.col("graph_id") == F.col("tg")) & (F.col("target") == F.col("ti")), "left")
+    return e.select("graph_id", "pos", "source", "target", "type", "s", "t")
 
 
 def has_cycle(edges: list[tuple[str, str]]) -> bool:
@@ -62,77 +69,76 @@ def has_cycle(edges: list[tuple[str, str]]) -> bool:
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n1 = first_nodes(nodes).persist()  # n1, c, the in-degrees and n each feed many constraints
-    ids = n1.select(F.col("graph_id").alias("ng"), F.col("id").alias("ni"))
-    c = known_contains(nodes, edges).persist()
-    indegree = c.groupBy(F.col("graph_id").alias("cg"), F.col("target").alias("ci")).agg(F.count("*").alias("parents"), F.min("source").alias("only_parent")).persist()
+    """All violations: one pass over the nodes, one over all edges, one over containment and two over sequence edges."""
+    e = with_ends(nodes, edges).persist()  # e, c and the degrees feed several of the passes
+    c = e.filter("type = 'contains' AND s IS NOT NULL AND t IS NOT NULL")
+    c = c.withColumns({"parents": F.count("*").over(Window.partitionBy("graph_id", "target")), "key": T.normalize_key("t.title")})
+    c = c.withColumns({"twin": F.row_number().over(Window.partitionBy("graph_id", "source", "key").orderBy("pos")), "place": F.row_number().over(Window.partitionBy("graph_id", "source").orderBy("pos")) - 1}).persist()
+    indegree = c.groupBy(F.col("graph_id").alias("cg"), F.col("target").alias("ci")).agg(F.count("*").alias("parents"), F.min("source").alias("only_parent"), F.min("place").alias("place")).persist()
     outdegree = c.groupBy(F.col("graph_id").alias("og"), F.col("source").alias("oi")).agg(F.count("*").alias("children"))
-    n = nodes.join(indegree, (F.col("graph_id") == F.col("cg")) & (F.col("id") == F.col("ci")), "left").join(outdegree, (F.col("graph_id") == F.col("og")) & (F.col("id") == F.col("oi")), "left")
-    n = n.withColumns({"parents": F.coalesce("parents", F.lit(0)), "children": F.coalesce("children", F.lit(0)), "clean": T.clean_text("title")}).persist()
-    course = F.coalesce(F.col("kind") == "COURSE", F.lit(False))
-    out = []
-
-    def node(kind: str, condition, **columns) -> None:
-        out.append(_as(n.filter(condition), kind, **({"node_id": "id"} | columns)))
-
-    def edge(kind: str, rows: DataFrame) -> None:
-        out.append(_as(rows, kind, source="source", target="target"))
-
-    ranked = nodes.filter("id IS NOT NULL AND id <> ''").withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "id").orderBy("pos")))
-    out.append(_as(ranked.filter("rank > 1"), "duplicate_node_id", node_id="id"))
-    edge("invalid_edge_type", edges.filter(F.coalesce(~F.col("type").isin(EDGE_TYPES), F.lit(True))))
-    edge("missing_source_node", edges.join(ids, (F.col("graph_id") == F.col("ng")) & (F.col("source") == F.col("ni")), "left_anti"))
-    edge("missing_target_node", edges.join(ids, (F.col("graph_id") == F.col("ng")) & (F.col("target") == F.col("ni")), "left_anti"))
-    legal = reduce(lambda a, b: a | b, [(F.col("s.kind") == a) & (F.col("t.kind") == b) for a, b in LEGAL])
-    edge("invalid_contains_hierarchy", c.filter(F.coalesce(~legal, F.lit(True))))
-    graphs = nodes.select("graph_id").unionByName(edges.select("graph_id")).distinct()
-    roots = nodes.filter("kind = 'COURSE'").groupBy(F.col("graph_id").alias("rg")).agg(F.count("*").alias("roots"))
-    out.append(_as(graphs.join(roots, F.col("graph_id") == F.col("rg"), "left").filter(F.coalesce("roots", F.lit(0)) != 1), "course_root_count"))
-    node("missing_node_id", F.coalesce("id", F.lit("")) == "")
-    node("invalid_node_kind", F.coalesce(~F.col("kind").isin(KINDS), F.lit(True)))
-    node("empty_title", F.col("clean") == "")
-    node("parent_count", ~course & (F.col("parents") != 1))
-    node("course_has_parent", course & (F.col("parents") > 0))
-    node("invalid_page_range", F.col("page_start") > F.col("page_end"))
-    node("kc_has_children", (F.col("kind") == "KC") & (F.col("children") > 0))
-    node("empty_unit", (F.col("kind") == "UNIT") & (F.col("children") == 0))
-    node("empty_module", (F.col("kind") == "MODULE") & (F.col("children") == 0))
+    n = nodes.join(indegree.drop("place"), (F.col("graph_id") == F.col("cg")) & (F.col("id") == F.col("ci")), "left").join(outdegree, (F.col("graph_id") == F.col("og")) & (F.col("id") == F.col("oi")), "left")
+    n = n.withColumns({"parents": F.coalesce("parents", F.lit(0)), "children": F.coalesce("children", F.lit(0)), "clean": T.clean_text("title"), "rank": F.row_number().over(Window.partitionBy("graph_id", "id").orderBy("pos"))})
+    kind, course = F.col("kind"), F.coalesce(F.col("kind") == "COURSE", F.lit(False))
+    has_id = F.coalesce("id", F.lit("")) != ""
     grounded = (F.coalesce(F.size("evidence_pages"), F.lit(0)) > 0) | F.col("page_start").isNotNull() | F.col("page_end").isNotNull()
-    node("kc_missing_page_grounding", (F.col("kind") == "KC") & ~grounded)
     has_path = F.coalesce(F.size("path"), F.lit(0)) > 0
-    node("invalid_path", ~has_path)
-    node("path_title_mismatch", has_path & (T.clean_text(F.try_element_at("path", F.lit(-1))) != F.col("clean")))
-    sib = c.withColumn("key", T.normalize_key(F.col("t.title"))).withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "source", "key").orderBy("pos")))
-    out.append(_as(sib.filter("rank > 1"), "duplicate_sibling_title", parent_id="source", child_id="target"))
-    out.append(_as(c.filter("t.page_start < s.page_start"), "child_starts_before_parent", parent_id="source", child_id="target"))
-    out.append(_as(c.filter("t.page_end > s.page_end"), "child_ends_after_parent", parent_id="source", child_id="target"))
-    single = c.join(indegree.filter("parents = 1"), (F.col("graph_id") == F.col("cg")) & (F.col("target") == F.col("ci")), "left_semi")
+    of_nodes = {
+        "duplicate_node_id": has_id & (F.col("rank") > 1),
+        "missing_node_id": ~has_id,
+        "invalid_node_kind": F.coalesce(~kind.isin(KINDS), F.lit(True)),
+        "empty_title": F.col("clean") == "",
+        "parent_count": ~course & (F.col("parents") != 1),
+        "course_has_parent": course & (F.col("parents") > 0),
+        "invalid_page_range": F.col("page_start") > F.col("page_end"),
+        "kc_has_children": (kind == "KC") & (F.col("children") > 0),
+        "empty_unit": (kind == "UNIT") & (F.col("children") == 0),
+        "empty_module": (kind == "MODULE") & (F.col("children") == 0),
+        "kc_missing_page_grounding": (kind == "KC") & ~grounded,
+        "invalid_path": ~has_path,
+        "path_title_mismatch": has_path & (T.clean_text(F.try_element_at("path", F.lit(-1))) != F.col("clean")),
+    }
+    of_edges = {
+        "invalid_edge_type": F.coalesce(~F.col("type").isin(EDGE_TYPES), F.lit(True)),
+        "missing_source_node": F.col("s").isNull(),
+        "missing_target_node": F.col("t").isNull(),
+    }
+    legal = reduce(lambda a, b: a | b, [(F.col("s.kind") == a) & (F.col("t.kind") == b) for a, b in LEGAL])
     prefix = F.slice("t.path", F.lit(1), F.greatest(F.size("s.path"), F.lit(0)))
-    out.append(_as(single.filter(prefix != F.col("s.path")), "path_parent_prefix_mismatch", parent_id="source", child_id="target"))
-    q = edges.filter("type = 'sequence'")
-    edge("sequence_self_loop", q.filter("source <=> target"))
-    edge("duplicate_sequence_edge", q.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "source", "target").orderBy("pos"))).filter("rank > 1"))
-    siblings, broken = sequence_siblings(n1, c, indegree, q)
+    of_contains = {
+        "duplicate_sibling_title": F.col("twin") > 1,
+        "child_starts_before_parent": F.col("t.page_start") < F.col("s.page_start"),
+        "child_ends_after_parent": F.col("t.page_end") > F.col("s.page_end"),
+        "path_parent_prefix_mismatch": (F.col("parents") == 1) & (prefix != F.col("s.path")),
+    }
+    q = e.filter("type = 'sequence'").withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "source", "target").orderBy("pos")))
+    siblings, broken = sequence_siblings(indegree, q)
     siblings = siblings.persist()
-    edge("sequence_not_between_siblings", broken)
-    out.append(_as(siblings.filter("ti <> si + 1"), "sequence_not_adjacent", parent_id="parent", source="source", target="target"))
-    out.append(_as(sequence_cycles(siblings), "sequence_cycle", parent_id="parent"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def sequence_siblings(n1: DataFrame, c: DataFrame, indegree: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    graphs = nodes.select("graph_id", (F.col("kind") == "COURSE").alias("root")).unionByName(edges.select("graph_id", F.lit(False).alias("root")))
+    roots = graphs.groupBy("graph_id").agg(F.count_if("root").alias("roots")).filter("roots <> 1")
+    ends = {"source": "source", "target": "target"}
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _checked(n, of_nodes, node_id="id"),
+            _as(roots, "course_root_count"),
+            _checked(e, of_edges, **ends),
+            _checked(c, {"invalid_contains_hierarchy": F.coalesce(~legal, F.lit(True))}, **ends),
+            _checked(c, of_contains, parent_id="source", child_id="target"),
+            _checked(q, {"sequence_self_loop": F.col("source").eqNullSafe(F.col("target")), "duplicate_sequence_edge": F.col("rank") > 1}, **ends),
+            _as(broken, "sequence_not_between_siblings", **ends),
+            _as(siblings.filter("ti <> si + 1"), "sequence_not_adjacent", parent_id="parent", **ends),
+            _as(sequence_cycles(siblings), "sequence_cycle", parent_id="parent"),
+        ],
+    )
+
+
+def sequence_siblings(indegree: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges between children of one parent with their places si and ti, the others); edges with an unknown end are in neither."""
-    ids = lambda k: n1.select(F.col("graph_id").alias(f"g{k}"), F.col("id").alias(f"i{k}"))
-    known = q.join(ids("a"), (F.col("graph_id") == F.col("ga")) & (F.col("source") == F.col("ia")), "left_semi").join(ids("b"), (F.col("graph_id") == F.col("gb")) & (F.col("target") == F.col("ib")), "left_semi")
-    one = lambda k: indegree.filter("parents = 1").select(F.col("cg").alias(f"g{k}"), F.col("ci").alias(f"i{k}"), F.col("only_parent").alias(f"p{k}"))
-    both = known.join(one("a"), (F.col("graph_id") == F.col("ga")) & (F.col("source") == F.col("ia")), "left").join(one("b"), (F.col("graph_id") == F.col("gb")) & (F.col("target") == F.col("ib")), "left")
+    one = lambda k, place: indegree.filter("parents = 1").select(F.col("cg").alias(f"g{k}"), F.col("ci").alias(f"i{k}"), F.col("only_parent").alias(f"p{k}"), F.col("place").alias(place))
+    known = q.filter("s IS NOT NULL AND t IS NOT NULL").select("graph_id", "pos", "source", "target")
+    both = known.join(one("a", "si"), (F.col("graph_id") == F.col("ga")) & (F.col("source") == F.col("ia")), "left").join(one("b", "ti"), (F.col("graph_id") == F.col("gb")) & (F.col("target") == F.col("ib")), "left")
     same = F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))
-    place = c.withColumn("place", F.row_number().over(Window.partitionBy("graph_id", "source").orderBy("pos")) - 1)
-    first = place.groupBy(F.col("graph_id").alias("xg"), F.col("source").alias("xp"), F.col("target").alias("xc")).agg(F.min("place").alias("place"))
-    at = lambda k: first.select(F.col("xg").alias(f"xg{k}"), F.col("xp").alias(f"xp{k}"), F.col("xc").alias(f"xc{k}"), F.col("place").alias(k))
-    good = both.filter(same).join(at("si"), (F.col("graph_id") == F.col("xgsi")) & (F.col("pa") == F.col("xpsi")) & (F.col("source") == F.col("xcsi")))
-    good = good.join(at("ti"), (F.col("graph_id") == F.col("xgti")) & (F.col("pa") == F.col("xpti")) & (F.col("target") == F.col("xcti")))
-    return good.select("graph_id", F.col("pa").alias("parent"), "pos", "source", "target", "si", "ti"), both.filter(~same).select("graph_id", "source", "target")
+    return both.filter(same).select("graph_id", F.col("pa").alias("parent"), "pos", "source", "target", "si", "ti"), both.filter(~same).select("graph_id", "source", "target")
 
 
 def sequence_cycles(siblings: DataFrame) -> DataFrame:

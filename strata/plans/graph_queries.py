@@ -52,7 +52,7 @@ def _ctes(name: str, p: str) -> str:
 {spans},
 {p}b AS (SELECT g.*, s.s AS page_start, m.e AS page_end, CASE WHEN o1 = 0 THEN 0 WHEN o2 = 0 THEN 1 WHEN o3 = 0 THEN 2 ELSE 3 END AS depth FROM {p}g g JOIN {p}s s USING (doc_id, o1, o2, o3) JOIN {p}m m USING (doc_id, o1, o2, o3)),
 {p}k AS (SELECT b.*, CASE WHEN b.depth = 0 THEN 'COURSE' WHEN NOT EXISTS (SELECT 1 FROM {p}b c WHERE c.doc_id = b.doc_id AND c.depth = b.depth + 1 AND (b.depth = 0 OR c.o1 = b.o1) AND (b.depth < 2 OR c.o2 = b.o2)) THEN 'KC' WHEN b.depth = 1 THEN 'MODULE' ELSE 'UNIT' END AS kind,
-  list_filter([r.title, CASE WHEN b.depth > 0 THEN a.title END, CASE WHEN b.depth > 1 THEN u.title END, CASE WHEN b.depth > 2 THEN b.title END], x -> x IS NOT NULL) AS path
+  list_filter([r.title, CASE WHEN b.depth > 0 THEN a.title END, CASE WHEN b.depth > 1 THEN u.title END, CASE WHEN b.depth > 2 THEN b.title END], lambda x: x IS NOT NULL) AS path
   FROM {p}b b JOIN {p}b r ON r.doc_id = b.doc_id AND r.o1 = 0 LEFT JOIN {p}b a ON a.doc_id = b.doc_id AND a.o1 = b.o1 AND a.depth = 1 LEFT JOIN {p}b u ON u.doc_id = b.doc_id AND u.o1 = b.o1 AND u.o2 = b.o2 AND u.depth = 2),
 {p}n AS (SELECT doc_id AS graph_id, o1, o2, o3, depth, kind, title, CASE WHEN depth > 0 THEN number END AS number, page_start, page_end, path, src_key,
   concat(kind, '_', substring(sha1(CASE WHEN depth = 0 THEN title ELSE concat(array_to_string(path, '||'), '||', number, '||', {page('page_start')}, '||', {page('page_end')}) END), 1, 12)) AS id,
@@ -102,7 +102,7 @@ def graph_edge_order(spark, d):
 def graph_envelope(spark, d):
     n, e = compiled(spark, d)
     o = X.outline(spark, d, root=True)
-    return G.envelope(n, e, V.violations(n, e), o).select("graph_id", "course_title", "node_count", "edge_count")
+    return G.envelope(n, e, n.select("graph_id").limit(0), o).select("graph_id", "course_title", "node_count", "edge_count")
 
 
 # Summaries --------------------------------------------------------------------------------------
@@ -127,7 +127,7 @@ def kc_grounding(spark, d):
 @query(GEO + " SELECT n.graph_id, count(*) AS node_count, (SELECT count(*) FROM ge e WHERE e.graph_id = n.graph_id) AS edge_count, count(*) FILTER (kind = 'MODULE') AS module, count(*) FILTER (kind = 'UNIT') AS unit, count(*) FILTER (kind = 'KC') AS kc, count(*) FILTER (depth = 1) AS top_sections FROM gn n GROUP BY n.graph_id")
 def summary_overview(spark, d):
     n, e = compiled(spark, d)
-    return B.overview(n, e, V.violations(n, e).limit(0)).select("graph_id", "node_count", "edge_count", "module", "unit", "kc", "top_sections")
+    return B.overview(n, e, n.select("graph_id").limit(0)).select("graph_id", "node_count", "edge_count", "module", "unit", "kc", "top_sections")
 
 
 # Violations ---------------------------------------------------------------------------------------
@@ -244,8 +244,8 @@ def _scored() -> str:
         + _ctes("geo", "g")
         + ", "
         + _ctes("geo2", "h")
-        + f""", hm AS (SELECT * REPLACE (CASE WHEN src_key > 0 AND src_key % 17 = 0 THEN 'UNIT' ELSE kind END AS kind, CASE WHEN src_key > 0 AND src_key % 19 = 0 THEN page_start + 1 ELSE page_start END AS page_start) FROM hn),
-  hp AS (SELECT *, CASE WHEN page_start <= page_end THEN range(page_start, page_end + 1) WHEN page_start IS NOT NULL THEN [page_start] WHEN page_end IS NOT NULL THEN [page_end] ELSE [] END AS pages FROM hm),
+        + f""", hq AS (SELECT * REPLACE (CASE WHEN src_key > 0 AND src_key % 17 = 0 THEN 'UNIT' ELSE kind END AS kind, CASE WHEN src_key > 0 AND src_key % 19 = 0 THEN page_start + 1 ELSE page_start END AS page_start) FROM hn),
+  hp AS (SELECT *, CASE WHEN page_start <= page_end THEN range(page_start, page_end + 1) WHEN page_start IS NOT NULL THEN [page_start] WHEN page_end IS NOT NULL THEN [page_end] ELSE [] END AS pages FROM hq),
   gt AS (SELECT graph_id, pos, kind, {full} AS t, evidence AS pages FROM gn WHERE kind <> 'COURSE'), ht AS (SELECT graph_id, pos, kind, {full} AS t, pages FROM hp WHERE kind <> 'COURSE'),
   gr AS (SELECT DISTINCT graph_id, 'titles' AS relation, t AS a, '' AS b FROM gt UNION SELECT graph_id, 'title_kind', t, kind FROM gt UNION SELECT graph_id, type, lower(concat(sn, '. ', st)), lower(concat(tn, '. ', tt)) FROM ge WHERE sk <> 'COURSE'),
   hr AS (SELECT DISTINCT graph_id, 'titles' AS relation, t AS a, '' AS b FROM ht UNION SELECT graph_id, 'title_kind', t, kind FROM ht UNION SELECT graph_id, type, lower(concat(sn, '. ', st)), lower(concat(tn, '. ', tt)) FROM he WHERE sk <> 'COURSE'),
