@@ -62,7 +62,7 @@ def _spread(rows: DataFrame, name: str, value, agg=F.max) -> DataFrame:
 def drop_flagged(nodes: DataFrame, flag) -> DataFrame:
     """Without the nodes that ``flag`` holds for and all that stands below them. One shuffle by document."""
     columns = nodes.columns
-    rows = _spread(with_ancestors(nodes.repartition("doc_id").withColumn("flag", F.coalesce(flag, F.lit(False)))), "gone", F.col("flag"))
+    rows = _spread(with_ancestors(nodes.repartition("doc_id").withColumn("flag", F.coalesce(flag, F.lit(False))), root=True), "gone", F.col("flag"))
     rows = rows.withColumn("gone", F.max(F.coalesce("gone", F.lit(False))).over(Window.partitionBy("doc_id", "ord")))
     return rows.filter((F.col("ord") == F.col("anc")) & ~F.col("gone")).select(*columns)
 
