@@ -36,7 +36,7 @@ def canonical(nodes: DataFrame, edges: DataFrame, pages: DataFrame, profile: str
     keep = nodes if include_course or profile == "report" else nodes.filter("kind IS NULL OR kind <> 'COURSE'")
     if profile == "report":
         keep = keep.filter("id IS NOT NULL AND id <> ''")
-    named = keep.withColumn("full", _title(profile, numbered)).select("graph_id", "pos", "id", F.trim(F.coalesce("kind", F.lit(""))).alias("kind"), "full")
+    named = keep.withColumn("full", _title(profile, numbered)).select("graph_id", "pos", "id", F.trim(F.coalesce("kind", F.lit(""))).alias("kind"), "full").persist()  # feeds all relations
     titled = named.filter("full <> ''")
     kinds = titled.select("graph_id", F.col("full").alias("title"), "kind")
     kinds = (kinds.filter("kind <> ''") if profile == "report" else kinds).distinct()

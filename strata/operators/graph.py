@@ -9,8 +9,8 @@ from strata.functions import text as T
 from strata.operators import outline as O
 
 
-def nodes(outline: DataFrame) -> DataFrame:
-    """Graph nodes of normalised outlines, the course (empty ord) included.
+def nodes(outline: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Graph nodes of normalised outlines, the course (empty ord) included, with the columns in ``keep``.
 
     (graph_id, ord, id, label, kind, title, number, role, page_start, page_end, evidence_pages, path);
     ord gives the order of the nodes. A course's id covers its title only, any other the path, number and pages.
@@ -35,6 +35,7 @@ def nodes(outline: DataFrame) -> DataFrame:
         F.col("end_page").alias("page_end"),
         T.page_list(F.col("start_page"), F.col("end_page")).alias("evidence_pages"),
         "path",
+        *keep,
     )
 
 

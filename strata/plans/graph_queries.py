@@ -37,10 +37,7 @@ def query(oracle: str | None = None):
 def compiled(spark, d, name: str = "geo") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with pos, and src_key on the nodes."""
     o = O.recompute_spans(X.outline(spark, d, name, root=True))
-    keys = X.outline(spark, d, name, root=True).select(F.col("doc_id").alias("kd"), F.col("ord").alias("ko"), "src_key")
-    n = G.nodes(o)
-    n = n.join(keys, (F.col("graph_id") == F.col("kd")) & (F.col("ord") == F.col("ko"))).drop("kd", "ko")
-    n = G.positioned(n, "ord").persist()
+    n = G.positioned(G.nodes(o, keep=("src_key",)), "ord").persist()
     return n, G.positioned(G.edges(n), "at").persist()
 
 
