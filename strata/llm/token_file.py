@@ -28,6 +28,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +126,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """word -> packed little-endian ids; new words are looked up in the library."""
 
-    MOST = 300_000
+    MOST = 500_000
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
@@ -143,19 +144,23 @@ class WordEncoder(dict):
     def _is_direct(self) -> bool:
         """Whether the library treats plain words as expected: lower-cased, letters and punctuation apart."""
         probe = ["Abc,", "Él!!", "ÀÖØÞßöøÿ#%$", "x", "(a)", "!&(/:@[`{~", "ABCdef.", "Ç"]
-        return all(self._plain(w) == self._whole(w) for w in probe if PLAIN.fullmatch(w))
+        return array("I", [1]).tobytes() == np.array([1], self.dtype).tobytes() and all(self._plain(m) == self._whole(w) for w in probe if (m := PLAIN.fullmatch(w)))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _plain(self, word: str) -> bytes:
-        parts = (p.lower().encode().decode("latin-1").translate(self.letters) for p in PLAIN.fullmatch(word).groups() if p)
-        return np.array([t.id for p in parts for t in self.model.tokenize(p)], self.dtype).tobytes()
+    def _plain(self, parts: re.Match) -> bytes:
+        ids = []
+        for p in parts.groups():
+            if p:
+                p = p.lower()
+                ids += [t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))]
+        return array("I", ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        got = self._plain(word) if self.direct and PLAIN.fullmatch(word) else self._whole(word)
+        got = self._plain(m) if self.direct and (m := PLAIN.fullmatch(word)) else self._whole(word)
         if len(word) <= 64:
             self[word] = got
         return got
