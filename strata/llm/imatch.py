@@ -99,7 +99,8 @@ def fingerprints(docs: DataFrame, rarest: float = 2e-5, commonest: float = 0.01,
     # The first document of each range, for the last one of the range before.
     firsts = ranged.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.md5("text").alias("md5"))).alias("first"))
     following = _follow(firsts, "first").select("b", "following.doc_id", "following.md5")
-    first_text = base.alias("d").join(following.alias("f"), F.expr("d.doc_id <=> f.doc_id AND md5(d.text) = f.md5")).groupBy("b").agg(F.any_value("d.text").alias("first_text"))
+    # At most one row for each of the ranges, so at most 20,000.
+    first_text = base.alias("d").join(F.broadcast(following).alias("f"), F.expr("d.doc_id <=> f.doc_id AND md5(d.text) = f.md5")).groupBy("b").agg(F.any_value("d.text").alias("first_text"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), F.col("md5"))
     rows = ranged.withColumn("md5", F.md5("text")).select("bucket", "doc_id", "md5", "text", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("next"))
     rows = rows.join(first_text, (F.col("bucket") == F.col("b")) & F.col("next").isNull(), "left")
