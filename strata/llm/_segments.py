@@ -10,15 +10,16 @@ one anchor, wherever it stands. Neighbouring windows with one anchor position fo
    are shuffled to the shard of their anchor; and
 3. a kernel compares the segments of a shard exactly and flags windows.
 
-An anchor with more than HOT occurrences gets its segments cut into single windows, which are dealt
-out by the hash of the whole window: equal windows still meet, and merge before the shuffle, and all
-others spread over the shards. Exact copies of a text are one text from the start. The number of
+An anchor with more than HOT occurrences gets its segments cut further, by the least hash of a window
+other than the anchor's own: equal windows still meet, and those that have the anchor from a passage
+but its surroundings from elsewhere spread over the shards. Exact copies of a text are one text from the start. The number of
 shards follows the bytes of merged segments, so a shard's size is bounded at every size of input.
 """
 
 from __future__ import annotations
 
 import gc
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -64,24 +65,43 @@ def pieces(batch: pa.RecordBatch, spec: Windows) -> Iterator[tuple[pa.RecordBatc
                 break
 
 
+def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
+    step = 1
+    while 2 * step <= width:
+        key = np.minimum(key[:-step], key[step:])
+        step *= 2
+    if step < width:
+        key = np.minimum(key[: len(key) - (width - step)], key[width - step :])
+    return key
+
+
+def split_hot(gram: np.ndarray, first: int, n: int, spec: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, windows) of the parts of a hot segment: cut by the least gram that isn't the anchor."""
+    width = spec.length - spec.k + 1
+    g = gram[first : first + n + width - 1]
+    key = (g & ~MASK) | np.arange(len(g), dtype=U64)
+    own = _sliding_min(key, width)[0] & MASK
+    anchor = g[int(own)]
+    key[g == anchor] = ~U64(0)
+    least = _sliding_min(key, width)
+    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    second = np.where(least[starts] == ~U64(0), anchor, g[np.minimum(least[starts] & MASK, U64(len(g) - 1)).astype(np.int64)])
+    return mix(second * U64(31) + anchor), first + starts, np.diff(np.append(starts, n))
+
+
 def segments(h: np.ndarray, off: np.ndarray, spec: Windows) -> tuple[np.ndarray, ...]:
-    """(anchor, text, first window, windows) of each segment, and the prefix sums that hash any span."""
+    """(anchor, text, first window, windows) of each segment, the prefix sums that hash any span, and all grams."""
     n, size = len(h), spec.length
     pow_, inv = powers()
     c = np.zeros(n + 1, U64)
     np.cumsum(h * pow_[:n], out=c[1:])
     none = np.zeros(0, np.int64)
     if n < size:
-        return none.astype(U64), none, none, none, c
+        return none.astype(U64), none, none, none, c, none.astype(U64)
     m = n - spec.k + 1
     gram = mix((c[spec.k :] - c[:m]) * inv[:m])
     key = (gram & ~MASK) | np.arange(m, dtype=U64)
-    width, step = size - spec.k + 1, 1
-    while 2 * step <= width:
-        key = np.minimum(key[:-step], key[step:])
-        step *= 2
-    if step < width:
-        key = np.minimum(key[: len(key) - (width - step)], key[width - step :])
+    key = _sliding_min(key, size - spec.k + 1)
     at = (key & MASK).astype(np.int64)
     edge = np.zeros(len(at) + 1, np.int32)
     fits = np.diff(off) >= size
@@ -96,7 +116,7 @@ def segments(h: np.ndarray, off: np.ndarray, spec: Windows) -> tuple[np.ndarray,
     after = np.zeros(len(at), bool)
     after[:-1] = valid[1:]
     last = np.flatnonzero(valid & (change[1:] | ~after))
-    return gram[at[first]], np.searchsorted(off, first, "right") - 1, first, last - first + 1, c
+    return gram[at[first]], np.searchsorted(off, first, "right") - 1, first, last - first + 1, c, gram
 
 
 def span_hash(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,13 +170,13 @@ def _pairs(spec: Windows):
 
 
 def _contents(spec: Windows):
-    """Segments of the wanted anchors: (key, seg, id, tid, start, n, content); those of hot anchors window by window."""
+    """Segments of the wanted anchors: (key, seg, id, tid, start, n, content); those of hot anchors in parts."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "seg", "id", "tid", "start", "n", "content"]
         for batch in batches:
             for part, h, content, off, base in pieces(batch, spec):
-                anchor, text, first, n, c = segments(h, off, spec)
+                anchor, text, first, n, c, gram = segments(h, off, spec)
                 if not len(anchor):
                     continue
                 anchor = signed(anchor)
@@ -172,11 +192,11 @@ def _contents(spec: Windows):
                 t, f, k, key = text[cold], first[cold], n[cold], anchor[cold]
                 cut = np.flatnonzero(keep & hot)
                 if len(cut):
-                    each = n[cut]
-                    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    s = np.repeat(first[cut], each) + nth
-                    own = signed(span_hash(c, s, s + spec.length))
-                    t, f, k, key = np.concatenate((t, np.repeat(text[cut], each))), np.concatenate((f, s)), np.concatenate((k, np.ones(len(s), np.int64))), np.concatenate((key, own))
+                    parts = [split_hot(gram, int(first[x]), int(n[x]), spec) for x in cut]
+                    each = [len(x[0]) for x in parts]
+                    t = np.concatenate((t, np.repeat(text[cut], each)))
+                    f, k, key = (np.concatenate((old, *[x[at] for x in parts])) for old, at in ((f, 1), (k, 2), (key.view(U64), 0)))
+                    key = signed(key)
                 if not len(t):
                     continue
                 end = f + k + spec.length - 1
@@ -193,7 +213,7 @@ def _contents(spec: Windows):
 
 
 def _kernel(run: Callable):
-    """Feeds the rows of each shard to ``run(keys, segs, firsts, counts, ns, contents)``, which yields a bit array for each."""
+    """Feeds the segments of each shard to ``run(least, counts, ns, contents)``, which returns a bit array for each."""
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -203,7 +223,13 @@ def _kernel(run: Callable):
             if not held:
                 return None
             rows = list(zip(*held, strict=True))
-            bits = run(rows[2], rows[3], rows[4], rows[5])
+            # A key with one segment left has nothing to compare it with: its windows repeat only as the whole segment does.
+            times = Counter(rows[0])
+            several = [k for k, key in enumerate(rows[0]) if times[key] > 1]
+            bits = [np.zeros(n, bool) for n in rows[4]]
+            if several:
+                for k, got in zip(several, run(*([rows[c][k] for k in several] for c in (2, 3, 4, 5))), strict=True):
+                    bits[k] = got
             keep = [k for k, b in enumerate(bits) if rows[3][k] > 1 or b.any()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([rows[0][k] for k in keep], pa.int64()), pa.array([rows[1][k] for k in keep], pa.int64()), pa.array([rows[2][k] for k in keep], pa.int64()), pa.array([rows[3][k] for k in keep], pa.int64()), pa.array([np.packbits(bits[k], bitorder="little").tobytes() for k in keep], pa.binary())],
