@@ -24,6 +24,8 @@ import tempfile
 import numpy as np
 
 QUEUE_BYTES = 64 << 20
+#: Buckets of a queue over names; fewer mean larger arrays and more rounds in each.
+RANGES = 96
 
 
 class BucketQueue:
@@ -188,13 +190,14 @@ def _by_symbol(t, placed, seeds, prefix, first, cap):
 
 def _by_range(t, placed, seeds, first, size):
     """Induce with a bucket for each range of symbols; the placed type in order."""
-    n_ranges = max(1, min(256, len(t) // 64))
+    n_ranges = max(1, min(RANGES, len(t) // 64))
     share = np.cumsum(np.bincount(t, minlength=size))
     of = np.minimum((share - 1) * n_ranges // max(1, len(t)), n_ranges - 1)
     queue = BucketQueue()
     seed_range = of[t[seeds]]
     seed_at = np.searchsorted(seed_range, np.arange(n_ranges + 1))
     place = np.full(len(t), -1, np.int64)
+    wide = len(t) + 1
     out = []
     if first is not None:
         queue.push(int(of[t[first]]), np.array([first], np.int32), None)
@@ -217,7 +220,7 @@ def _by_range(t, placed, seeds, first, size):
             kind = np.concatenate((np.zeros(len(outer) + len(inner), np.int8), np.ones(len(own_seeds), np.int8)))
             inside = np.concatenate((np.zeros(len(outer), np.int8), np.ones(len(inner), np.int8), np.zeros(len(own_seeds), np.int8)))
             rank = np.concatenate((outer_rank, place[inner + 1] if len(inner) else np.zeros(0, np.int64), np.arange(len(own_seeds))))
-            order = np.lexsort((rank, inside, kind, t[every]))
+            order = np.argsort(((t[every].astype(np.int64) * 2 + kind) * 2 + inside) * wide + rank)
             place[every[order]] = np.arange(len(every))
             more = preds(every)
             more = more[of[t[more]] == r]
@@ -227,7 +230,7 @@ def _by_range(t, placed, seeds, first, size):
         # a last order in which every rank is that of the complete set
         while len(inner):
             rank = np.concatenate((outer_rank, place[inner + 1], np.arange(len(own_seeds))))
-            again = np.lexsort((rank, inside, kind, t[every]))
+            again = np.argsort(((t[every].astype(np.int64) * 2 + kind) * 2 + inside) * wide + rank)
             if (again == order).all():
                 break
             order = again
