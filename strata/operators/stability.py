@@ -23,22 +23,29 @@ def run_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return titles.unionByName(kinds).unionByName(e.filter("a <> '' AND b <> ''").select("run_id", F.col("type").alias("key"), "a", "b")).distinct()
 
 
-def pair_dice(sets: DataFrame, runs: DataFrame) -> DataFrame:
+def pair_dice(sets: DataFrame, runs: DataFrame, within: str | None = None) -> DataFrame:
     """(run_a, run_b, key, both, n_a, n_b, dice) for every pair of runs and key.
 
+    With ``within``, a column of ``runs`` that each run has one value of, only runs that share it are
+    paired, and it comes first.
+
     Common elements come from a join on the element, so sets are never copied for each pair; pairs of
     runs (a control table) are enumerated.
     """
     spark = sets.sparkSession
+    place = [within] if within else []
+    r = runs.select("run_id", *place).distinct()
+    if within:
+        sets = sets.join(r, "run_id")
     sizes = sets.groupBy("run_id", "key").agg(F.count("*").alias("n"))
     s, o = sets.alias("s"), sets.alias("o")
-    both = s.join(o, F.expr("s.key = o.key AND s.a = o.a AND s.b = o.b AND s.run_id < o.run_id")).groupBy(F.col("s.run_id").alias("run_a"), F.col("o.run_id").alias("run_b"), F.col("s.key").alias("key")).agg(F.count("*").alias("both"))
-    r = runs.select("run_id").distinct()
-    pairs = r.withColumnRenamed("run_id", "run_a").join(r.withColumnRenamed("run_id", "run_b"), F.col("run_a") < F.col("run_b")).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in KEYS], "key string")))
+    both = s.join(o, F.expr("s.key = o.key AND s.a = o.a AND s.b = o.b AND s.run_id < o.run_id" + (f" AND s.{within} = o.{within}" if within else ""))).groupBy(F.col("s.run_id").alias("run_a"), F.col("o.run_id").alias("run_b"), F.col("s.key").alias("key")).agg(F.count("*").alias("both"))
+    a, b = (r.withColumnRenamed("run_id", x) for x in ("run_a", "run_b"))
+    pairs = (a.join(b, within) if within else a.crossJoin(b)).filter(F.col("run_a") < F.col("run_b")).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in KEYS], "key string")))
     size = lambda k: sizes.select(F.col("run_id").alias(f"run_{k}"), "key", F.col("n").alias(f"n_{k}"))
     z = lambda c: F.coalesce(c, F.lit(0))
     out = pairs.join(both, ["run_a", "run_b", "key"], "left").join(size("a"), ["run_a", "key"], "left").join(size("b"), ["run_b", "key"], "left")
-    return out.select("run_a", "run_b", "key", z("both").alias("both"), z("n_a").alias("n_a"), z("n_b").alias("n_b"), T.dice(z("both"), z("n_a"), z("n_b")).alias("dice"))
+    return out.select(*place, "run_a", "run_b", "key", z("both").alias("both"), z("n_a").alias("n_a"), z("n_b").alias("n_b"), T.dice(z("both"), z("n_a"), z("n_b")).alias("dice"))
 
 
 def run_stats(runs: DataFrame) -> DataFrame:
@@ -47,7 +54,8 @@ def run_stats(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("runs"), F.try_divide(F.count_if("validation_ok").cast("double"), F.count("*").cast("double")).alias("validation_pass_rate"), nm.alias("nodes_mean"), ns.alias("nodes_std"), em.alias("edges_mean"), es.alias("edges_std"))
 
 
-def mean_dice(pairs: DataFrame) -> DataFrame:
+def mean_dice(pairs: DataFrame, within: str | None = None) -> DataFrame:
     """(key, mean): each pair's value is rounded to 4 digits before the mean, and the mean again; null below two runs."""
-    rounded = pairs.select("key", T.py_round(F.col("dice"), F.lit(4)).alias("d"))
-    return rounded.groupBy("key").agg(F.avg("d").alias("m")).select("key", T.py_round(F.col("m"), F.lit(4)).alias("mean"))
+    keys = [within, "key"] if within else ["key"]
+    rounded = pairs.select(*keys, T.py_round(F.col("dice"), F.lit(4)).alias("d"))
+    return rounded.groupBy(*keys).agg(F.avg("d").alias("m")).select(*keys, T.py_round(F.col("m"), F.lit(4)).alias("mean"))

@@ -353,6 +353,13 @@ def run_dice(spark, d):
     return Y.pair_dice(Y.run_sets(n, e), n).drop("dice")
 
 
+@query(RUNS + " SELECT CAST(x.run_id // 10 AS INT) AS graph_id, x.run_id AS run_a, y.run_id AS run_b, x.key, (SELECT count(*) FROM ss s JOIN ss t ON s.key = t.key AND s.a = t.a AND s.b = t.b WHERE s.run_id = x.run_id AND t.run_id = y.run_id AND s.key = x.key) AS \"both\", x.n AS n_a, y.n AS n_b FROM sz x JOIN sz y ON x.key = y.key AND x.run_id < y.run_id AND x.run_id // 10 = y.run_id // 10")
+def run_dice_by_graph(spark, d):
+    """Pairs of the five runs on each graph."""
+    n, e = _runs(spark, d)
+    return Y.pair_dice(Y.run_sets(n, e), n, "graph_id").drop("dice")
+
+
 @query(RUNS + " SELECT count(*) AS runs, CAST(sum(n) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS nodes_mean, sqrt(CAST(sum(n * n) * count(*) - sum(n) * sum(n) AS DOUBLE) / CAST(count(*) * count(*) AS DOUBLE)) AS nodes_std FROM (SELECT run_id, CAST(count(*) AS BIGINT) AS n FROM rn GROUP BY run_id) x")
 def run_stats(spark, d):
     n, e = _runs(spark, d)
@@ -363,8 +370,7 @@ def run_stats(spark, d):
 @query()
 def run_mean_dice(spark, d):
     n, e = _runs(spark, d)
-    n, e = n.filter("graph_id = 0"), e.filter("graph_id = 0")
-    return Y.mean_dice(Y.pair_dice(Y.run_sets(n, e), n))
+    return Y.mean_dice(Y.pair_dice(Y.run_sets(n, e), n, "graph_id"), "graph_id")
 
 
 # Sinks ------------------------------------------------------------------------------------------

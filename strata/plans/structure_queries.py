@@ -67,6 +67,13 @@ def text_slug(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query(f"SELECT conv_id, turn, md5({SLUG.format('text')}) AS slug, CAST(length({SLUG.format('text')}) AS BIGINT) AS n FROM conversations")
+def text_slug_whole(spark, d):
+    """The slug of the whole text, as its digest and length."""
+    s = T.slugify("text")
+    return read(spark, d, "conversations").select("conv_id", "turn", F.md5(s).alias("slug"), F.length(s).cast("long").alias("n"))
+
+
 @query("SELECT doc_id, md5(strip_accents(coalesce(text, ''))) AS folded FROM documents")
 def text_strip_accents(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.strip_accents(F.coalesce("text", F.lit("")))).alias("folded"))
