@@ -41,3 +41,7 @@ def test_run_dice_of_every_graph(spark, con):
     assert all(abs(r["mean"] - sum(w) / len(w)) < 1e-4 for r in mean for w in [want[r["graph_id"], r["key"]]])
 
 
+def test_slug_of_the_whole_text(spark, con):
+    got = against_sql(spark, con, "text_slug_whole")
+    long = con.sql("SELECT count(*) FROM conversations WHERE length(text) > 200").fetchall()[0][0]
+    assert long and sum(r["n"] > 60 for r in got) >= long / 2
