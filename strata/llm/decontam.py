@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of typed tokens: a number is <num>, the word after a number that is a unit
-is <unit>, a capitalised word that doesn't open a sentence is <name>, any other word is itself in
-lower case without outer punctuation. Every window of ``window`` tokens is hashed (texts with fewer
-tokens are one window), with the hashed values of its slots beside it.
+is <unit>, a capitalised word is <name>, any other word is itself in lower case without outer
+punctuation. A capitalised word that opens a sentence can be either, so it is read both ways. Every
+window of ``window`` tokens is hashed (texts with fewer tokens are one window), once for each reading
+of the words in it, with the hashed values of its slots beside it.
 
 Windows of documents are hash-joined with the windows of benchmark items. Matches of a document and
 an item that lie on one diagonal (document position less item position) must map the item's slot
@@ -77,8 +78,8 @@ _tokens = Tokens()
 SLOT = mix(np.arange(1, 5, dtype=np.uint64))
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each canonical token, slot value of each token: 0 for a word)."""
+def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each canonical token, its slot value: 0 for a word, its value as a name if it is a word that can be one, else 0)."""
     codes = np.fromiter(map(_tokens.__getitem__, WORD.findall(text)), np.uint64)
     stop = np.zeros(len(codes) + 1, bool)
     stop[0] = True
@@ -92,21 +93,37 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray]:
     after_number[1:] = kind[:-1] == NUM
     slot = np.where(kind == NUM, NUM, np.where((kind == UNIT) & after_number, UNIT, np.where((kind == CAPITAL) & ~first, CAPITAL, 0)))
     token = np.where(slot > 0, SLOT[slot], mix(value + U64(1)))
-    return token, np.where(slot > 0, value, U64(0))
+    return token, np.where(slot > 0, value, U64(0)), np.where((kind == CAPITAL) & first, value, U64(0))
 
 
-def window_hashes(token: np.ndarray, values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hash of each window, whether it has a word, its length)."""
+def window_hashes(token: np.ndarray, values: np.ndarray, names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(first token, hash, whether it has a word and which tokens are read as names, of each window and reading; the windows' length)."""
     n = min(window, len(token))
     k = len(token) - n + 1
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool), 0
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros((0, 0), bool), 0
     h = np.full(k, U64(n))
     word = np.zeros(k, bool)
     for i in range(n):
         h = mix(h * U64(31) + token[i : i + k])
         word |= values[i : i + k] == 0
-    return h, word, n
+    at = np.arange(k)
+    read = np.zeros((k, n), bool)
+    seen = np.concatenate(([0], np.cumsum(names != 0)))
+    more = np.flatnonzero(seen[n:] > seen[:k])
+    if len(more):
+        # The windows with a choice, again: a row splits in two at each token that can be read both ways.
+        place, g, plain, mask = more, np.full(len(more), U64(n)), np.zeros(len(more), bool), np.zeros((len(more), n), bool)
+        for i in range(n):
+            two = np.flatnonzero(names[place + i] != 0)
+            old = len(place)
+            place, g, plain, mask = (np.concatenate((x, x[two])) for x in (place, g, plain, mask))
+            mask[old:, i] = True
+            g = mix(g * U64(31) + np.where(mask[:, i], SLOT[CAPITAL], token[place + i]))
+            plain |= (values[place + i] == 0) & ~mask[:, i]
+        new = mask.any(1)
+        at, h, word, read = np.concatenate((at, place[new])), np.concatenate((h, g[new])), np.concatenate((word, plain[new])), np.concatenate((read, mask[new]))
+    return at, h, word, read, n
 
 
 SCHEMA = "id long, pos int, h long, slots array<long>"
@@ -123,18 +140,19 @@ def _windows(window: int, wanted: np.ndarray | None):
             for part in slices(batch, "text"):
                 ids, at, found, slots = [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    token, values = template(text or "")
-                    h, word, n = window_hashes(token, values, window)
+                    token, values, names = template(text or "")
+                    place, h, word, read, n = window_hashes(token, values, names, window)
                     hit = np.flatnonzero(word if sieve is None else word & sieve[(h >> U64(44)).astype(np.int64)])
                     if sieve is not None and len(hit):
                         near = np.searchsorted(wanted, h[hit])
                         hit = hit[wanted[np.minimum(near, len(wanted) - 1)] == h[hit]]
                     if len(hit):
                         ids += [doc] * len(hit)
-                        at.append(hit)
+                        at.append(place[hit])
                         found.append(signed(h[hit]))
-                        signed_values = signed(values)
-                        slots += [signed_values[p : p + n] if values[p : p + n].any() else [] for p in hit]
+                        here = place[hit][:, None] + np.arange(n)
+                        slot = np.where(read[hit], names[here], values[here])
+                        slots += [x if some else [] for x, some in zip(signed(slot), slot.any(1), strict=True)]
                 if ids:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids, pa.int64()), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(found)), pa.array(slots, pa.list_(pa.int64()))], ["id", "pos", "h", "slots"]

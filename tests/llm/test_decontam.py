@@ -34,3 +34,31 @@ def test_cases(spark):
 def test_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, ITEM)], []) == {1: (False, None, None)}
+
+
+SUBJECTS = [
+    (1, "Anna buys 3 apples at the market on Monday. Anna then eats 1 of them with lunch. Anna gives 2 more to a friend. How many apples does Anna have left?"),
+    (2, "Natalia sold clips to 48 friends in April. Then Natalia sold half as many in May. Natalia wants to know how many clips were sold in all."),
+    (3, "Paul. Karl runs and Paul walks along. Paul sings while the old dog sleeps"),
+]
+
+
+def test_renamed_subjects_that_open_sentences(spark):
+    docs = [
+        (1, SUBJECTS[0][1].replace("Anna", "Bob")),
+        (2, "Before this. " + SUBJECTS[1][1].replace("Natalia", "Robert") + " After this."),
+        (3, SUBJECTS[2][1].replace("Paul", "Emil")),
+        (4, SUBJECTS[0][1].lower()),
+        (5, SUBJECTS[0][1].replace("apples", "pears").replace("market", "shop").replace("lunch", "tea")),
+    ]
+    for bound in (2_000_000, 0):
+        got = run(spark, docs, SUBJECTS, max_broadcast=bound)
+        assert [got[k] for k in (1, 2, 3)] == [(True, k, "reparameterised") for k in (1, 2, 3)]
+        assert not got[5][0]
+
+
+def test_windows_in_every_reading():
+    token, values, names = decontam.template("Go. Run. Sit 3 km then Bob left")
+    at, h, word, read, n = decontam.window_hashes(token, values, names, 5)
+    assert n == 5 and sorted(at.tolist()) == [0] * 8 + [1] * 4 + [2] * 2 + [3]
+    assert len(set(h.tolist())) == len(h) and not word[(at == 0) & read[:, :3].all(1)].any()
