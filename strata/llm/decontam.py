@@ -6,11 +6,12 @@ punctuation. A capitalised word that opens a sentence can be either, so it is re
 window of ``window`` tokens is hashed (texts with fewer tokens are one window), once for each reading
 of the words in it, with the hashed values of its slots beside it.
 
-Windows of documents are hash-joined with the windows of benchmark items. Matches of a document and
-an item that lie on one diagonal (document position less item position) must map the item's slot
-values to the document's consistently: one item value, one document value. An item is found in a
-document if the consistent diagonals cover at least ``coverage`` of its windows. It is ``verbatim``
-if all slot values are equal, else ``reparameterised``.
+Windows of documents are hash-joined with the windows of benchmark items. On each diagonal of matches
+(document position less item position) an item's slot value stands for the document value that most
+windows give it (then an equal one, then the larger hash). A window counts if all its slots keep to
+that, or if all its slot values are equal. An item is found in a document if the windows that count
+are at least ``coverage`` of its own. It is ``verbatim`` if all of these have equal slot values, else
+``reparameterised``.
 
 The benchmark's window hashes, if at most ``max_broadcast`` of them, go to the executors as a sorted
 array, so only matching windows leave a document's task; a larger benchmark is joined by shuffle from
@@ -175,13 +176,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: fl
     pairs = d.join(i, F.expr("d.h = i.h AND size(d.slots) = size(i.slots)")).select(
         F.col("d.id").alias("doc"), F.col("i.id").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.pos").alias("pos"), F.col("i.slots").alias("item_slots"), F.col("d.slots").alias("doc_slots")
     )
-    # Distinct (diagonal, item value, document value) of the slots: more than one document value for an item value is inconsistent.
+    # On a diagonal an item value stands for the document value that most windows give it; windows that say otherwise go, unless all their values are equal.
     key = ["doc", "item", "diagonal"]
-    slots = pairs.filter("size(item_slots) > 0").select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(*key, F.col("z.item_slots").alias("a"), F.col("z.doc_slots").alias("b")).filter("a <> 0")
-    checked = slots.groupBy(*key, "a").agg(F.min("b").alias("low"), F.max("b").alias("high")).groupBy(*key).agg(F.bool_and(F.col("low") == F.col("high")).alias("consistent"), F.bool_and((F.col("low") == F.col("a")) & (F.col("high") == F.col("a"))).alias("equal"))
-    covered = pairs.select(*key, "pos").distinct().alias("p")
-    c = checked.alias("c")
-    good = covered.join(c, F.expr("p.doc <=> c.doc AND p.item <=> c.item AND p.diagonal = c.diagonal"), "left").filter(F.coalesce(F.col("c.consistent"), F.lit(True))).select(F.col("p.doc").alias("doc"), F.col("p.item").alias("item"), F.col("p.pos").alias("pos"), F.coalesce(F.col("c.equal"), F.lit(True)).alias("equal"))
+    pairs = staged(pairs.distinct().withColumn("equal", F.expr("item_slots = doc_slots")), "pairs")
+    changed = pairs.filter("NOT equal").select(*key).distinct().alias("x")
+    p = pairs.alias("p")
+    on = " AND ".join(f"p.{k} <=> {{0}}.{k}" for k in key)
+    slots = p.join(changed, F.expr(on.format("x")), "left_semi").filter("size(item_slots) > 0").select(*key, "pos", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(*key, "pos", F.col("z.item_slots").alias("a"), F.col("z.doc_slots").alias("b")).filter("a <> 0")
+    votes = slots.groupBy(*key, "a", "b").agg(F.countDistinct("pos").alias("n"))
+    chosen = votes.groupBy(*key, "a").agg(F.max_by("b", F.struct("n", F.col("a") == F.col("b"), "b")).alias("b"))
+    good = p.filter("equal").select("doc", "item", "pos", "equal")
+    agreed = p.filter("NOT equal").withColumn("z", F.explode(F.arrays_zip("item_slots", "doc_slots"))).filter("z.item_slots <> 0").alias("q")
+    c = chosen.alias("c")
+    agreed = agreed.join(c, F.expr(" AND ".join(f"q.{k} <=> c.{k}" for k in key) + " AND q.z.item_slots = c.a")).groupBy(*[F.col(f"q.{k}").alias(k) for k in key], F.col("q.pos").alias("pos"), F.col("q.item_slots").alias("item_slots"), F.col("q.doc_slots").alias("doc_slots")).agg(F.bool_and(F.col("q.z.doc_slots") == F.col("c.b")).alias("fits")).filter("fits")
+    good = good.unionByName(agreed.select("doc", "item", "pos", F.lit(False).alias("equal")))
     counted = good.groupBy("doc", "item", "pos").agg(F.bool_or("equal").alias("equal")).groupBy("doc", "item").agg(F.count("*").alias("n"), F.bool_and("equal").alias("equal")).alias("g")
     share = F.col("n") / F.col("total")
     return counted.join(total.alias("t"), F.expr("g.item <=> t.id")).filter(share >= coverage).select("doc", "item", share.alias("coverage"), F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"))

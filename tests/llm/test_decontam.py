@@ -62,3 +62,29 @@ def test_windows_in_every_reading():
     at, h, word, read, n = decontam.window_hashes(token, values, names, 5)
     assert n == 5 and sorted(at.tolist()) == [0] * 8 + [1] * 4 + [2] * 2 + [3]
     assert len(set(h.tolist())) == len(h) and not word[(at == 0) & read[:, :3].all(1)].any()
+
+
+LONG = (
+    "On the first day the baker sold 12 loaves of bread to people who came from the old village near the river and on the next day "
+    "the shop was closed because of the rain so nobody came to buy anything at all until the owner opened the doors again and sold 12 cakes to the children"
+)
+
+
+def test_one_conflicting_slot_only_costs_its_windows(spark):
+    pay = "she pays 2 coins for the red apples and walks home with them along the river before it gets dark then she gives 2 apples to the neighbour and eats the rest with her mother in the small garden behind the house"
+    items = [(1, LONG), (2, pay)]
+    docs = [
+        (1, LONG.replace("12 cakes", "15 cakes")),
+        (2, pay.replace("2 coins", "3 coins").replace("2 apples", "5 apples")),
+        (3, pay.replace("2 coins", "3 coins").replace("2 apples", "3 apples")),
+        (4, LONG),
+        (5, " ".join(LONG.split()[:20])),
+    ]
+    for bound in (2_000_000, 0):
+        d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = {r["doc_id"]: r for r in decontam.decontaminate(d, b, max_broadcast=bound).collect()}
+        assert got[1]["item_id"] == 1 and 0.8 <= got[1]["coverage"] < 1
+        assert got[2]["item_id"] == 2 and 0.8 <= got[2]["coverage"] < 1 and got[2]["kind"] == "reparameterised"
+        assert got[3]["coverage"] == 1 and got[3]["kind"] == "reparameterised"
+        assert got[4]["coverage"] == 1 and got[4]["kind"] == "verbatim"
+        assert not got[5]["contaminated"]
