@@ -13,12 +13,17 @@ lists subset and signature of the subsets that are not empty; the likeness of tw
 share of equal signatures among the subsets that either has. A subset keeps its signature as long as
 no term of it comes or goes, so likeness falls gently as a text is edited.
 
+The terms above the band are dealt to subsets of their own, and no frequency cuts them. They count
+only where a text is thin, that is, has fewer than one term in the band for THIN above it, as all near
+copies are that come in a group of more than ``commonest`` of the rows: the fingerprint then lists
+these subsets too, and a likeness is taken over both kinds if either text is thin.
+
 The edited text of a document takes the start of the next one by doc_id. Documents are cut into
 ranges of doc_id (quantiles), each range is one window partition, and only the first document of each
 range crosses to the one before.
 
 Nulls: a null text is empty; null doc_ids come first. Repeated rows follow each other in any order. A
-text without lexicon terms has an empty fingerprint; empty fingerprints are alike (1.0) only if the
+text without terms of three documents has an empty fingerprint; empty fingerprints are alike (1.0) only if the
 texts are equal. A single document is its own next one. An empty table gives an empty result. Other
 columns are not looked at.
 """
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from strata.llm._shared import staged
 
 LEVELS, SUBSETS = 6, 16
+THIN = 8
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -39,10 +45,10 @@ def terms(text):
 
 
 def lexicon(docs: DataFrame, rarest: float, commonest: float) -> DataFrame:
-    """(term): hashes of the terms in the band."""
+    """(term, high): hashes of the terms in the band and above it."""
     frequency = docs.select(F.explode(terms(F.col("text"))).alias("w")).filter("w <> ''").select(F.xxhash64("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
-    return frequency.filter("df >= 3").crossJoin(F.broadcast(total)).filter((F.col("df") >= F.col("total") * rarest) & ((F.col("df") <= F.col("total") * commonest) | (F.col("df") <= 3))).select("term")
+    return frequency.filter("df >= 3").crossJoin(F.broadcast(total)).filter(F.col("df") >= F.col("total") * rarest).select("term", ((F.col("df") > F.col("total") * commonest) & (F.col("df") > 3)).alias("high"))
 
 
 def _subset(term):
@@ -112,24 +118,31 @@ def fingerprints(docs: DataFrame, rarest: float = 2e-5, commonest: float = 0.01,
     parts = rows.select("bucket", "n", F.explode(F.array(F.struct(F.lit(0).alias("which"), terms(F.col("text")).alias("w")), F.struct(F.lit(1).alias("which"), terms(F.col("edited")).alias("w")), F.struct(F.lit(2).alias("which"), F.array(facts).alias("w")))).alias("x"))
     each = parts.select("bucket", "n", F.col("x.which").alias("which"), F.explode("x.w").alias("w")).withColumn("t", F.xxhash64("w"))
     kept = each.join(words, F.col("t") == F.col("term"), "left").filter("which = 2 OR term IS NOT NULL AND w <> ''")
-    kept = kept.select("bucket", "n", F.when(F.col("which") == 2, -1).otherwise(_subset(F.col("t"))).alias("subset"), F.when(F.col("which") == 0, F.col("t")).alias("a"), F.when(F.col("which") == 1, F.col("t")).alias("b"), F.when(F.col("which") == 2, F.col("w")).alias("facts"))
-    subsets = kept.groupBy("bucket", "n", "subset").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.max("facts").alias("facts"))
-    code = lambda x: F.when(F.size(x) > 0, F.shiftleft(F.col("subset").cast("long"), 32).bitwiseOR(_signature(F.col(x))))
-    prints = subsets.select("bucket", "n", "facts", code("a").alias("a"), code("b").alias("b")).groupBy("bucket", "n").agg(F.max("facts").alias("facts"), F.array_sort(F.collect_list("a")).alias("a"), F.array_sort(F.collect_list("b")).alias("b"))
+    of = lambda k, high: F.when((F.col("which") == k) & (F.col("high") == high), F.col("t"))
+    kept = kept.select("bucket", "n", F.when(F.col("which") == 2, -1).otherwise(_subset(F.col("t"))).alias("subset"), of(0, False).alias("a"), of(1, False).alias("b"), of(0, True).alias("ha"), of(1, True).alias("hb"), F.when(F.col("which") == 2, F.col("w")).alias("facts"))
+    # Terms above the band are many: their signatures are exclusive ors, so that they leave a task as one number each.
+    subsets = kept.groupBy("bucket", "n", "subset").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), *[F.bit_xor(F.when(F.col(x).isNotNull(), F.xxhash64(x))).alias(f"{x}_x") for x in ("ha", "hb")], *[F.count(x).alias(f"{x}_n") for x in ("ha", "hb")], F.max("facts").alias("facts"))
+    place = lambda more: F.shiftleft((F.col("subset") + more).cast("long"), 32)
+    code = lambda x: F.when(F.size(x) > 0, place(0).bitwiseOR(_signature(F.col(x)))).alias(x)
+    high = lambda x: F.when(F.col(f"{x}_n") > 0, place(LEVELS * SUBSETS).bitwiseOR(F.xxhash64(f"{x}_x").bitwiseAND(F.lit(0xFFFFFFFF)))).alias(x)
+    coded = subsets.select("bucket", "n", "facts", code("a"), code("b"), high("ha"), high("hb"), *[(F.col(f"h{x}_n") - THIN * F.size(x)).alias(f"over_{x}") for x in "ab"])
+    prints = coded.groupBy("bucket", "n").agg(F.max("facts").alias("facts"), *[F.array_sort(F.collect_list(x)).alias(x) for x in ("a", "b", "ha", "hb")], *[(F.sum(f"over_{x}") > 0).alias(f"thin_{x}") for x in "ab"])
     prints = staged(prints, "fingerprints")
-    known = prints.withColumn("f", F.from_json("facts", "doc_id long, n_chars long, md5 string, sha string, same boolean")).withColumn("own", F.struct("a", "f.md5"))
-    place = Window.partitionBy("bucket").orderBy("n")
+    known = prints.withColumn("f", F.from_json("facts", "doc_id long, n_chars long, md5 string, sha string, same boolean")).withColumn("own", F.struct("a", F.col("ha").alias("high"), F.col("thin_a").alias("thin"), "f.md5"))
+    along = Window.partitionBy("bucket").orderBy("n")
     after = _follow(known.filter("n = 1").select("bucket", "own"), "own")
     after = after.withColumnRenamed("b", "of")
-    out = known.withColumn("next", F.lead("own").over(place)).join(after, (F.col("bucket") == F.col("of")) & F.col("next").isNull(), "left")
+    out = known.withColumn("next", F.lead("own").over(along)).join(after, (F.col("bucket") == F.col("of")) & F.col("next").isNull(), "left")
     nxt = F.coalesce("next", "following")
+    whole = lambda a, high, thin: F.when(thin, F.concat(a, high)).otherwise(F.col(a) if isinstance(a, str) else a)
+    either, beside = F.col("thin_a") | F.col("thin_b"), F.col("thin_a") | nxt["thin"]
     text = lambda x: F.array_join(F.transform(x, lambda v: F.lower(F.hex(v))), " ")
     return out.select(
         F.col("f.doc_id").alias("doc_id"),
         F.col("f.n_chars").alias("n_chars"),
         F.col("f.sha").alias("edited_sha256"),
-        text("a").alias("fingerprint"),
-        text("b").alias("edited_fingerprint"),
-        _alike(F.col("a"), F.col("b"), F.col("f.same")).alias("near_edited"),
-        _alike(F.col("a"), nxt["a"], F.col("f.md5") == nxt["md5"]).alias("near_next"),
+        text(whole("a", "ha", F.col("thin_a"))).alias("fingerprint"),
+        text(whole("b", "hb", F.col("thin_b"))).alias("edited_fingerprint"),
+        _alike(whole("a", "ha", either), whole("b", "hb", either), F.col("f.same")).alias("near_edited"),
+        _alike(whole("a", "ha", beside), whole(nxt["a"], nxt["high"], beside), F.col("f.md5") == nxt["md5"]).alias("near_next"),
     )

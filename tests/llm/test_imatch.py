@@ -56,3 +56,20 @@ def test_empty_and_single(spark):
     assert imatch.fingerprints(df).count() == 0
     r = imatch.fingerprints(spark.createDataFrame([(3, "alone")], "doc_id long, text string")).first()
     assert (r["doc_id"], r["n_chars"], r["near_edited"], r["near_next"]) == (3, 5, 0.0, 1.0) and r["edited_sha256"] == hashlib.sha256(b"aloal").hexdigest()
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(6000)]
+    base = rng.sample([f"g{k}" for k in range(900)], 300)
+    rows = [(k, " ".join(rng.choices(vocab, k=40))) for k in range(1900)]
+    for k in range(100):
+        words = list(base)
+        words[rng.randrange(300)] = rng.choice((f"one{k}", rng.choice(vocab)))
+        rows.append((10_000 + k, " ".join(words)))
+    got = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    group = [r for r in got if r["doc_id"] >= 10_000]
+    assert all(len(r["fingerprint"].split()) > 10 for r in group) and len({r["fingerprint"] for r in group}) > 50
+    assert all(r["near_next"] > 0.5 and r["near_edited"] > 0 for r in group if r["doc_id"] != 10_099)
+    rest = [r for r in got if r["doc_id"] < 1899]
+    assert sum(r["near_next"] for r in rest) < 0.1 * len(rest)
