@@ -12,13 +12,22 @@ one anchor, wherever it stands. Neighbouring windows with one anchor position fo
 
 An anchor with more than HOT occurrences gets its segments cut further, by the least hash of a window
 other than the anchor's own: equal windows still meet, and those that have the anchor from a passage
-but its surroundings from elsewhere spread over the shards. Exact copies of a text are one text from the start. The number of
-shards follows the bytes of merged segments, so a shard's size is bounded at every size of input.
+but its surroundings from elsewhere spread over the shards. Exact copies of a text are one text from the start.
+
+Neither bounds a key: in a passage that many texts share, windows that reach out of it have their
+anchors in it. So a key with more than KEY_BYTES of distinct segments is cut again: its segments are
+cut into blocks of windows by the place of the anchor in the window, and a block's new key is the hash
+of the units that all its windows hold. Equal windows have equal places and equal units, so they still
+meet; blocks with surroundings of their own part. Keys that are still too large are cut into single
+windows, which merge into one row each. What is found out of the parts is put together for the merged
+segment, so texts have no more segments than before. The number of shards follows the bytes of merged
+segments, so a shard's size is bounded at every size of input.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,6 +42,7 @@ from strata.llm._bytes import BYTE, SCAN, U64, mix, powers, signed, slices, text
 from strata.llm._shared import staged, tune
 
 HOT = 4096
+KEY_BYTES = 256 << 10
 MASK = U64((1 << 24) - 1)
 
 
@@ -135,7 +145,7 @@ def _anchors(spec: Windows):
                 ids = np.array([xxhash.xxh3_64_intdigest(x.as_py() or "") for x in of], U64)
                 found["a"].append(anchor)
                 found["t"].append(ids[text])
-            a, t = np.concatenate(found["a"]), np.concatenate(found["t"])
+            a, t = np.concatenate(found["a"]), signed(np.concatenate(found["t"]))  # in the order in which Spark takes min and max
             if not len(a):
                 continue
             order = np.lexsort((t, a))
@@ -146,7 +156,7 @@ def _anchors(spec: Windows):
             same[1:] = ~first[1:] & (t[1:] == t[:-1])
             end = np.append(at[1:], len(a))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(a[at])), pa.array(signed(t[at])), pa.array(signed(t[end - 1])), pa.array(end - at), pa.array(np.logical_or.reduceat(same, at))], ["anchor", "low", "high", "n", "inside"]
+                [pa.array(signed(a[at])), pa.array(t[at]), pa.array(t[end - 1]), pa.array(end - at), pa.array(np.logical_or.reduceat(same, at))], ["anchor", "low", "high", "n", "inside"]
             )
 
     return find
@@ -212,6 +222,88 @@ def _contents(spec: Windows):
     return find
 
 
+def recut(content: bytes, n: int, width: int, spec: Windows) -> tuple[list[tuple[int, int]], list[bytes], list[bytes]]:
+    """((first window, windows), content, what all windows of its whole block share) of the blocks of a segment."""
+    unit = np.frombuffer(content, np.uint8 if spec.unit == "bytes" else np.int64)
+    h = BYTE[unit] if spec.unit == "bytes" else unit.view(U64)
+    size = unit.itemsize
+    anchor = 0
+    if width > 1:
+        pow_, inv = powers()
+        c = np.zeros(spec.length + 1, U64)
+        np.cumsum(h[: spec.length] * pow_[: spec.length], out=c[1:])
+        m = spec.length - spec.k + 1
+        gram = mix((c[spec.k :] - c[:m]) * inv[:m])
+        anchor = int(np.argmin(gram & ~MASK))  # the first of the least ones, as in segments()
+    block = (anchor - np.arange(n)) // width
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    each = np.diff(np.append(first, n))
+    lo = anchor - block[first] * width  # the block's last window
+    body = [content[a * size : (a + k - 1 + spec.length) * size] for a, k in zip(first.tolist(), each.tolist(), strict=True)]
+    core = [content[x * size : (x - width + 1 + spec.length) * size] for x in lo.tolist()]
+    return list(zip(first.tolist(), each.tolist(), strict=True)), body, core
+
+
+def _cut(width: int, spec: Windows):
+    """The blocks of merged segments: (key, seg, least, count, n) of the segment, (first, pkey, pseg, pn, content) of the block."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "seg", "least", "count", "n", "first", "pkey", "pseg", "pn", "content"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                out: list[tuple] = []
+                for key, seg, least, count, n, content in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
+                    for (a, k), body, core in zip(*recut(content, n, width, spec), strict=True):
+                        out.append((key, seg, least, count, n, a, xxhash.xxh3_64_intdigest(core, seed=width), xxhash.xxh3_64_intdigest(body), k, body))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(c, U64))) if k in (6, 7) else pa.array(c, pa.binary() if k == 9 else pa.int64()) for k, c in enumerate(cols)], names)
+
+    return cut
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The flags of a segment from those of its blocks."""
+    for batch in batches:
+        bits = []
+        for n, parts in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            b = np.zeros(n, bool)
+            for p in parts:
+                b[p["first"] : p["first"] + p["pn"]] = True if p["bits"] is None else np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little", count=p["pn"]).astype(bool)
+            bits.append(np.packbits(b, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(bits, pa.binary())], ["key", "seg", "least", "count", "bits"])
+
+
+def divide(merged: DataFrame, spec: Windows) -> tuple[DataFrame, list[DataFrame]]:
+    """(segments and blocks, no key of which has more than KEY_BYTES but by single windows; the blocks of each cut)."""
+    done, levels = None, []
+    for width in (math.isqrt(spec.length - spec.k + 1), 1):
+        # At most one key for each KEY_BYTES of segments.
+        big = staged(merged.groupBy("key").agg(F.sum(F.length("content")).alias("size"), F.max("n").alias("most")).filter((F.col("size") > KEY_BYTES) & (F.col("most") > 1)).select(F.col("key").alias("big")), "big")
+        if big.isEmpty():
+            break
+        heavy = merged.join(F.broadcast(big), F.col("key") == F.col("big"), "left_semi").select("key", "seg", "least", "count", "n", "content")
+        light = merged.join(F.broadcast(big), F.col("key") == F.col("big"), "left_anti")
+        done = light if done is None else done.unionByName(light)
+        blocks = staged(heavy.mapInArrow(_cut(width, spec), "key long, seg long, least long, count long, n long, first long, pkey long, pseg long, pn long, content binary"), "blocks")
+        levels.append(blocks.drop("content"))
+        merged = staged(blocks.groupBy(F.col("pkey").alias("key"), F.col("pseg").alias("seg")).agg(F.min("least").alias("least"), F.sum("count").alias("count"), F.first("pn").cast("int").alias("n"), F.first("content").alias("content")), "divided")
+    return (merged if done is None else done.unionByName(merged)), levels
+
+
+def gathered(flags: DataFrame, levels: list[DataFrame], rule: str) -> DataFrame:
+    """Flags of all segments, with those that were cut."""
+    for blocks in reversed(levels):
+        of = flags.select(F.col("key").alias("k"), F.col("seg").alias("s"), F.col("least").alias("low"), F.col("count").alias("times"), "bits")
+        hit = blocks.join(of, (F.col("pkey") == F.col("k")) & (F.col("pseg") == F.col("s")), "left")
+        # The rule for the segment's least id and a block that has been seen as often as all segments with it.
+        every = hit.select(F.struct("key", "seg", "least", "count", "n").alias("of"), "first", "pn", "bits", F.col("least").alias("id"), F.col("low").alias("least"), F.col("times").alias("count")).withColumn("every", F.coalesce(F.expr(rule), F.lit(False)))
+        parts = every.filter("every OR bits IS NOT NULL").groupBy("of").agg(F.collect_list(F.struct("first", "pn", F.when(F.col("every"), F.lit(None)).otherwise(F.col("bits")).alias("bits"))).alias("parts"))
+        whole = blocks.filter("first = 0 AND count > 1").select(F.struct("key", "seg", "least", "count", "n").alias("o"))
+        both = parts.join(whole, F.col("of") == F.col("o"), "full").select(F.coalesce("of", "o").alias("of"), F.coalesce("parts", F.expr("CAST(array() AS array<struct<first: bigint, pn: bigint, bits: binary>>)")).alias("parts"))
+        flags = flags.unionByName(both.select("of.*", "parts").select("key", "seg", "least", "count", "n", "parts").mapInArrow(_joined, "key long, seg long, least long, count long, bits binary"))
+    return flags
+
+
 def _kernel(run: Callable):
     """Feeds the segments of each shard to ``run(least, counts, ns, contents)``, which returns a bit array for each."""
 
@@ -280,11 +372,14 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     release(spark)
     merged = staged(found.groupBy("key", "seg").agg(F.min("id").alias("least"), F.count("*").alias("count"), F.first("n").alias("n"), F.first("content").alias("content")), "merged")
     release(spark)
+    merged, levels = divide(merged, spec)
     total = merged.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // spec.shard_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 20_000))
     dealt = merged.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "seg", "least", "count", "n", "content").repartition(parts, "shard").sortWithinPartitions("shard", "least", "key", "seg")
     flags = staged(dealt.mapInArrow(_kernel(run), "key long, seg long, least long, count long, bits binary"), "flags")
+    if levels:
+        flags = staged(gathered(flags, levels, rule), "gathered")
     release(spark)
     hits = found.select("key", "seg", "id", "tid", "start", "n").join(flags.select(F.col("key").alias("k"), F.col("seg").alias("s"), "least", "count", "bits"), (F.col("key") == F.col("k")) & (F.col("seg") == F.col("s")))
     hits = hits.withColumn("every", F.expr(rule)).filter("every OR length(bits) > 0")

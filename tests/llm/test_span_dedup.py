@@ -103,3 +103,27 @@ def test_automaton_statistics():
             a.add(r)
         subs = {tuple(r[i:j]) for r in refs for i in range(len(r)) for j in range(i, len(r) + 1)} | {()}
         assert a.matching(q) == [max(n for n in range(i + 2) if tuple(q[i + 1 - n : i + 1]) in subs) for i in range(len(q))]
+
+
+@pytest.mark.parametrize("size", [1, 3000])
+def test_large_keys_are_cut(spark, monkeypatch, size):
+    monkeypatch.setattr(_segments, "KEY_BYTES", size)
+    sizes = []
+    divide = _segments.divide
+
+    def watched(merged, spec):
+        out, levels = divide(merged, spec)
+        sizes.append((levels, [r["count"] for r in out.groupBy("key").count().collect()]))
+        return out, levels
+
+    monkeypatch.setattr(_segments, "divide", watched)
+    rng = random.Random(size)
+    vocab = [f"v{k}" for k in range(3000)]
+    shared = " ".join(rng.choices(vocab, k=80))[:400]
+    rows = list(enumerate(texts(size)[:40])) + [(1000 + k, " ".join(rng.choices(vocab, k=50)) + " " + shared + " " + " ".join(rng.choices(vocab, k=50))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(df, 200).collect()), key=str) == brute_bytes(rows, 200)
+    assert sorted((tuple(r) for r in substring_dedup.remove_seen(df, 13).collect()), key=str) == brute_words(rows, 13)
+    assert len(sizes) == 2 and sizes[0][0]
+    # a key of 3,000 bytes has 15 segments of 200 bytes at most
+    assert max(sizes[0][1]) <= 15
