@@ -1,7 +1,8 @@
 """Vectorised scanning of UTF-8 text in Arrow batches: words, word hashes, rolling hashes.
 
-A hash here is a 64-bit polynomial in an odd base over random values of the bytes, kept as
-differences of prefix sums, so that the hash of any span costs two look-ups.
+Rolling hashes are 64-bit polynomials in an odd base over random values of the units, kept as differences
+of prefix sums, so that the hash of any span costs two look-ups. They have families of collisions, so they
+only say where a span is sent to, never that two spans are equal. Hashes of words are not linear.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -20,6 +22,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+#: Words of more bytes are hashed one by one; masks that keep the first n bytes of eight.
+LONG = 64
+KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 #: Bytes scanned at once; powers of the base are kept for as many.
 SCAN = 1 << 20
 _powers: list[np.ndarray] = []
@@ -88,29 +93,28 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; A-Z count as a-z if ``lower``."""
-    out = np.empty(len(starts), U64)
-    value = BYTE[LOWER] if lower else BYTE
-    pow_, inv = powers()
-    at = 0
-    while at < len(starts):
-        lo = starts[at]
-        end = int(np.searchsorted(ends, lo + SCAN, "right"))
-        if end <= at:  # one word of more than SCAN bytes: piece by piece
-            h = U64(0)
-            for k in range(lo, ends[at], SCAN):
-                part = value[buf[k : min(k + SCAN, ends[at])]]
-                h = mix(np.array([h * BASE + (part * pow_[: len(part)]).sum(dtype=U64)]))[0]
-            out[at] = h
-            at += 1
-            continue
-        part = value[buf[lo : ends[end - 1]]]
-        c = np.zeros(len(part) + 1, U64)
-        np.cumsum(part * pow_[: len(part)], out=c[1:])
-        s, e = starts[at:end] - lo, ends[at:end] - lo
-        out[at:end] = (c[e] - c[s]) * inv[s]
-        at = end
-    return mix(out)
+    """A 64-bit hash of each word, eight bytes at a time; A-Z count as a-z if ``lower``.
+
+    Each step is a bijection that isn't linear, so words of up to eight bytes never collide with others of
+    their length, and no family of longer ones does so by its structure. Words over LONG bytes take xxh3.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(1))
+    if not len(starts):
+        return out
+    bytes_ = LOWER[buf] if lower else buf
+    padded = np.concatenate((bytes_, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        x = eight[starts[live] + k] & KEEP[np.minimum(size[live] - k, 8)]
+        out[live] = mix(out[live] * BASE + x)
+    for w in np.flatnonzero(size > LONG).tolist():
+        out[w] = xxhash.xxh3_64_intdigest(bytes_[starts[w] : ends[w]].tobytes())
+    return out
 
 
 def row_of(first: np.ndarray) -> np.ndarray:

@@ -6,8 +6,8 @@ one anchor, wherever it stands. Neighbouring windows with one anchor position fo
 
 1. anchors that occur in one text only (or, if repeats inside a text count, once) hold no repeat and
    are dropped by a count with partial aggregation;
-2. texts are fetched once for their other anchors' segments; equal segments are merged before they
-   are shuffled to the shard of their anchor; and
+2. texts are fetched once for their other anchors' segments; segments of equal content are merged before
+   they are shuffled to the shard of their anchor (128-bit hashes name them from then on); and
 3. a kernel compares the segments of a shard exactly and flags windows.
 
 An anchor with more than HOT occurrences gets its segments cut further, by the least hash of a window
@@ -129,10 +129,6 @@ def segments(h: np.ndarray, off: np.ndarray, spec: Windows) -> tuple[np.ndarray,
     return gram[at[first]], np.searchsorted(off, first, "right") - 1, first, last - first + 1, c, gram
 
 
-def span_hash(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((c[b] - c[a]) * powers()[1][a] + (b - a).astype(U64))
-
-
 def _anchors(spec: Windows):
     """(anchor, text hash, n, inside) of each batch: n occurrences; inside: several in one text."""
 
@@ -210,14 +206,14 @@ def _contents(spec: Windows):
                 if not len(t):
                     continue
                 end = f + k + spec.length - 1
-                seg = signed(span_hash(c, f, end))
                 rows = pa.array(t)
                 for x in range(0, len(t), 20_000):
                     y = slice(x, x + 20_000)
-                    bodies = pa.array([content[i:j].tobytes() for i, j in zip(f[y].tolist(), end[y].tolist(), strict=True)], pa.binary())
+                    bodies = [content[i:j].tobytes() for i, j in zip(f[y].tolist(), end[y].tolist(), strict=True)]
+                    seg = pa.array(map(xxhash.xxh3_128_digest, bodies), pa.binary())
                     # offsets are those of the piece; ``start`` counts from the start of the text
                     start = f[y] - off[t[y]] + (base if part.num_rows == 1 else 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[y]), pa.array(seg[y]), part.column(0).take(rows[y]), part.column(1).take(rows[y]), pa.array(start), pa.array(k[y].astype(np.int32)), bodies], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[y]), seg, part.column(0).take(rows[y]), part.column(1).take(rows[y]), pa.array(start), pa.array(k[y].astype(np.int32)), pa.array(bodies, pa.binary())], names)
 
     return find
 
@@ -254,9 +250,9 @@ def _cut(width: int, spec: Windows):
                 out: list[tuple] = []
                 for key, seg, least, count, n, content in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
                     for (a, k), body, core in zip(*recut(content, n, width, spec), strict=True):
-                        out.append((key, seg, least, count, n, a, xxhash.xxh3_64_intdigest(core, seed=width), xxhash.xxh3_64_intdigest(body), k, body))
+                        out.append((key, seg, least, count, n, a, xxhash.xxh3_64_intdigest(core, seed=width), xxhash.xxh3_128_digest(body), k, body))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(c, U64))) if k in (6, 7) else pa.array(c, pa.binary() if k == 9 else pa.int64()) for k, c in enumerate(cols)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(c, U64))) if k == 6 else pa.array(c, pa.binary() if k in (1, 7, 9) else pa.int64()) for k, c in enumerate(cols)], names)
 
     return cut
 
@@ -284,9 +280,10 @@ def divide(merged: DataFrame, spec: Windows) -> tuple[DataFrame, list[DataFrame]
         heavy = merged.join(F.broadcast(big), F.col("key") == F.col("big"), "left_semi").select("key", "seg", "least", "count", "n", "content")
         light = merged.join(F.broadcast(big), F.col("key") == F.col("big"), "left_anti")
         done = light if done is None else done.unionByName(light)
-        blocks = staged(heavy.mapInArrow(_cut(width, spec), "key long, seg long, least long, count long, n long, first long, pkey long, pseg long, pn long, content binary"), "blocks")
+        blocks = staged(heavy.mapInArrow(_cut(width, spec), "key long, seg binary, least long, count long, n long, first long, pkey long, pseg binary, pn long, content binary"), "blocks")
         levels.append(blocks.drop("content"))
-        merged = staged(blocks.groupBy(F.col("pkey").alias("key"), F.col("pseg").alias("seg")).agg(F.min("least").alias("least"), F.sum("count").alias("count"), F.first("pn").cast("int").alias("n"), F.first("content").alias("content")), "divided")
+        merged = blocks.groupBy(F.col("pkey").alias("key"), F.col("pseg").alias("seg"), "content").agg(F.min("least").alias("least"), F.sum("count").alias("count"), F.max("pn").cast("int").alias("n"))
+        merged = staged(merged.select("key", "seg", "least", "count", "n", "content"), "divided")
     return (merged if done is None else done.unionByName(merged)), levels
 
 
@@ -300,7 +297,7 @@ def gathered(flags: DataFrame, levels: list[DataFrame], rule: str) -> DataFrame:
         parts = every.filter("every OR bits IS NOT NULL").groupBy("of").agg(F.collect_list(F.struct("first", "pn", F.when(F.col("every"), F.lit(None)).otherwise(F.col("bits")).alias("bits"))).alias("parts"))
         whole = blocks.filter("first = 0 AND count > 1").select(F.struct("key", "seg", "least", "count", "n").alias("o"))
         both = parts.join(whole, F.col("of") == F.col("o"), "full").select(F.coalesce("of", "o").alias("of"), F.coalesce("parts", F.expr("CAST(array() AS array<struct<first: bigint, pn: bigint, bits: binary>>)")).alias("parts"))
-        flags = flags.unionByName(both.select("of.*", "parts").select("key", "seg", "least", "count", "n", "parts").mapInArrow(_joined, "key long, seg long, least long, count long, bits binary"))
+        flags = flags.unionByName(both.select("of.*", "parts").select("key", "seg", "least", "count", "n", "parts").mapInArrow(_joined, "key long, seg binary, least long, count long, bits binary"))
     return flags
 
 
@@ -324,7 +321,7 @@ def _kernel(run: Callable):
                     bits[k] = got
             keep = [k for k, b in enumerate(bits) if rows[3][k] > 1 or b.any()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([rows[0][k] for k in keep], pa.int64()), pa.array([rows[1][k] for k in keep], pa.int64()), pa.array([rows[2][k] for k in keep], pa.int64()), pa.array([rows[3][k] for k in keep], pa.int64()), pa.array([np.packbits(bits[k], bitorder="little").tobytes() for k in keep], pa.binary())],
+                [pa.array([rows[0][k] for k in keep], pa.int64()), pa.array([rows[1][k] for k in keep], pa.binary()), pa.array([rows[2][k] for k in keep], pa.int64()), pa.array([rows[3][k] for k in keep], pa.int64()), pa.array([np.packbits(bits[k], bitorder="little").tobytes() for k in keep], pa.binary())],
                 ["key", "seg", "least", "count", "bits"],
             )
 
@@ -368,16 +365,16 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     wanted = staged(wanted.join(first, (F.col("i") == F.col("l")) & (F.col("t") == F.col("c")), "left_semi"), "wanted")
     release(spark)
     fetched = base.join(wanted, (F.col("id") == F.col("i")) & (F.col("tid") == F.col("t"))).select("id", "tid", "anchors", "hot", "text")
-    found = staged(fetched.mapInArrow(_contents(spec), "key long, seg long, id long, tid binary, start long, n int, content binary"), "segments")
+    found = staged(fetched.mapInArrow(_contents(spec), "key long, seg binary, id long, tid binary, start long, n int, content binary"), "segments")
     release(spark)
-    merged = staged(found.groupBy("key", "seg").agg(F.min("id").alias("least"), F.count("*").alias("count"), F.first("n").alias("n"), F.first("content").alias("content")), "merged")
+    merged = staged(found.groupBy("key", "seg", "content").agg(F.min("id").alias("least"), F.count("*").alias("count"), F.max("n").alias("n")).select("key", "seg", "least", "count", "n", "content"), "merged")
     release(spark)
     merged, levels = divide(merged, spec)
     total = merged.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // spec.shard_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 20_000))
     dealt = merged.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "seg", "least", "count", "n", "content").repartition(parts, "shard").sortWithinPartitions("shard", "least", "key", "seg")
-    flags = staged(dealt.mapInArrow(_kernel(run), "key long, seg long, least long, count long, bits binary"), "flags")
+    flags = staged(dealt.mapInArrow(_kernel(run), "key long, seg binary, least long, count long, bits binary"), "flags")
     if levels:
         flags = staged(gathered(flags, levels, rule), "gathered")
     release(spark)

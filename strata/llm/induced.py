@@ -5,8 +5,9 @@ of the prefix that each shares with the one before.
 
 Suffixes are of type L (greater than the next suffix) or S. Those S suffixes that follow an L suffix
 (LMS) are sorted first: induction sorts the substrings between them, these get names, and the string
-of names is sorted by the same procedure, recursively. From the sorted LMS suffixes all L suffixes
-are induced in ascending order, and from those all S suffixes in descending order.
+of names is sorted by the same procedure, recursively, until it has at most BASE names, which are sorted
+in memory. From the sorted LMS suffixes all L suffixes are induced in ascending order, and from those all
+S suffixes in descending order.
 
 Induction runs on a priority queue of (first symbol, arrival): a suffix that leaves the queue inserts
 the suffix one symbol longer. Since insertions under a symbol arrive in the order of their rank, a
@@ -26,6 +27,8 @@ import numpy as np
 QUEUE_BYTES = 64 << 20
 #: Buckets of a queue over names; fewer mean larger arrays and more rounds in each.
 RANGES = 96
+#: Names that are sorted in memory, where the recursion ends.
+BASE = 4 << 20
 
 
 class BucketQueue:
@@ -321,8 +324,36 @@ def _order(t: np.ndarray, size: int, s: np.ndarray, lms: np.ndarray) -> np.ndarr
         return ordered
     reduced = np.empty(len(lms), np.int32)
     reduced[nth[ordered]] = names
-    rs = types(reduced)
-    return lms[_all(reduced, int(names[-1]) + 1, rs)]
+    if len(reduced) <= BASE:
+        return lms[_doubled(reduced)]
+    return lms[_all(reduced, int(names[-1]) + 1, types(reduced))]
+
+
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """All suffixes of a string of names in order, in memory: ranks by 1, 2, 4, ... names, of those that still tie."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    first = np.concatenate(([True], names[order[1:]] != names[order[:-1]]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    ties = _tied(np.arange(n), first)
+    h = 1
+    while len(ties):
+        s = order[ties]
+        key = rank[s] * (n + 1) + np.where(s + h < n, rank[np.minimum(s + h, n - 1)] + 1, 0)
+        o = np.argsort(key)
+        s, key = s[o], key[o]
+        order[ties] = s
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[s] = np.maximum.accumulate(np.where(first, ties, 0))
+        ties = _tied(ties, first)
+        h *= 2
+    return order
+
+
+def _tied(at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Those of the places ``at`` that aren't alone in their group."""
+    return at[~(first & np.append(first[1:], True))]
 
 
 def _lms(s: np.ndarray) -> np.ndarray:

@@ -10,22 +10,27 @@ Documents with equal shingle sets are one class from the start, so exact copies
 probability (1 - s**rows)**bands (2e-10 at 0.85, 5e-8 at 0.8 with 32 bands of 4). Documents that
 share a bucket, directly or in a chain, form a cluster; no pair is written out for that.
 
-Verification is exact, on full sets, and whole: inside a cluster every pair that isn't yet known to be
+Verification is exact, on full sets, and whole: every pair that shares a bucket and isn't yet known to be
 connected is compared. A cluster of up to BLOCK sets is one task's step. In a larger one the member
-that shares most buckets is a pivot: all others are compared with it in one pass over blocks, and
-then the blocks of those that it doesn't link are compared with all blocks, tile by tile. A tile
-writes a spanning forest of its links, never its pairs. Links then give connected components.
+that shares most buckets is a pivot, and all others are compared with it in one pass over blocks. If at
+most BLOCK of them don't link with it, these are compared with all, again a block at a time. Else it is
+done bucket by bucket: the unlinked of a bucket are compared with each other and with its linked ones, in
+tiles of two blocks, each pair in the first bucket only that both are in. So work is quadratic in the
+unlinked of one bucket at most, never in a cluster. A tile writes a spanning forest of its links, never
+its pairs. Links then give connected components.
 
 Sets: A-Z count as a-z; words are runs of non-space bytes; a text with fewer than ``n`` words is one
-shingle of all its words. Nulls: a null or empty text has an empty set and links with nothing; rows
-with a null doc_id link with nothing and get a null component_id, kept. Repeated doc_ids are one
-document for linking, with a row each in the result. An empty table gives an empty result. Other
-columns are not looked at.
+shingle of all its words. Words and shingles are compared by 64-bit hashes that aren't linear, sets by
+two sums of such hashes. Nulls: a null or empty text has an empty set and links with nothing; rows
+with a null doc_id link with nothing and get a null component_id, kept. Rows of one doc_id are one
+document: their texts' classes are linked, and each row gets the document's component. An empty table
+gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,25 +113,40 @@ def _profiles(n: int, bands: int, rows: int):
             for part in slices(batch, "text"):
                 buf, off = text_buffers(part.column(1))
                 h, first = shingle_sets(buf, off, n)
-                sums = []
-                for salt in (0x51, 0x7F):
-                    c = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h + U64(salt)), dtype=U64)))
-                    sums.append(signed(c[first[1:]] - c[first[:-1]]))
                 keys = band_keys(sketches(h, first, bands * rows), bands, rows)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(signed(keys.ravel())))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), *map(pa.array, sums), listed], ["doc_id", "n", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), *map(pa.array, _sums(h, first)), listed], ["doc_id", "n", "s1", "s2", "keys"])
 
     return profile
 
 
+def _sums(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two sums of hashes that name each set."""
+    out = []
+    for salt in (0x51, 0x7F):
+        c = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h + U64(salt)), dtype=U64)))
+        out.append(signed(c[first[1:]] - c[first[:-1]]))
+    return out
+
+
 def _sets(n: int):
+    """Sets of the texts that have the sums asked for: a repeated doc_id may have other texts too, or the same text again."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for part in slices(batch, "text"):
                 buf, off = text_buffers(part.column(part.schema.get_field_index("text")))
                 h, first = shingle_sets(buf, off, n)
-                sets = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(sets, pa.binary())], ["cluster", "blocks", "pivot", "doc", "shingles"])
+                s1, s2 = _sums(h, first)
+                same = (s1 == part.column(4).to_numpy()) & (s2 == part.column(5).to_numpy())
+                keep = []
+                for k, c in enumerate(part.column(3).to_pylist()):
+                    if same[k] and c != last:
+                        keep.append(k)
+                        last = c
+                sets = [h[first[k] : first[k + 1]].tobytes() for k in keep]
+                yield pa.RecordBatch.from_arrays([*(part.column(x).take(pa.array(keep, pa.int64())) for x in range(4)), pa.array(sets, pa.binary())], ["cluster", "blocks", "pivot", "c", "shingles"])
 
     return fetch
 
@@ -147,8 +167,11 @@ class _Forest:
         return a != b
 
 
-def _link(sets: list[np.ndarray], left: list[int], right: list[int], num: int, den: int, forest: _Forest) -> list[tuple[int, int]]:
-    """Links between the sets ``left`` and ``right`` (indices) that join two trees of the forest."""
+def _link(sets: list[np.ndarray], left: list[int], right: list[int], num: int, den: int, forest: _Forest, keys: np.ndarray | None = None, band: int = 0) -> list[tuple[int, int]]:
+    """Links between the sets ``left`` and ``right`` (indices) that join two trees of the forest.
+
+    With ``keys`` (a row of bucket keys for each set) only pairs whose first common bucket is that of ``band``.
+    """
     every = np.concatenate(sets) if sets else np.zeros(0, U64)
     _, ids = np.unique(every, return_inverse=True)
     size = np.array([len(s) for s in sets])
@@ -163,10 +186,16 @@ def _link(sets: list[np.ndarray], left: list[int], right: list[int], num: int, d
         k = p + 1 if same else 0
         if k >= len(r):
             break
+        if keys is None:
+            new = True
+        else:
+            new = ~(keys[r[k:], :band] == keys[i, :band]).any(1)
+            if not new.any():
+                continue
         mark[ids[at[i] : at[i + 1]]] = 1
         inter = np.add.reduceat(mark[pieces[edge[k] :]], edge[k:-1] - edge[k])
         mark[ids[at[i] : at[i + 1]]] = 0
-        ok = den * inter >= num * (size[i] + size[r[k:]] - inter)
+        ok = (den * inter >= num * (size[i] + size[r[k:]] - inter)) & new
         for j in r[k:][ok].tolist():
             if i != j and forest.join(i, j):
                 found.append((i, j))
@@ -174,40 +203,44 @@ def _link(sets: list[np.ndarray], left: list[int], right: list[int], num: int, d
 
 
 def _tiles(num: int, den: int):
-    """Rows of (cluster, tile, side, doc, shingles), those of a tile together: links (cluster, a, b) that span the tile's components.
+    """Rows of (cluster, tile, side, c, shingles, key, keys), those of a tile together: links (a, b) that span the tile's components.
 
-    side 0: compare with each other; 1: compare with side 2; 2: only compared with by side 1. Side 3: the pivot, compared with all others.
+    side 0: compare with each other; 1: compare with side 2; 2: only compared with by sides 1 and 3. Side 3: the
+    pivot. ``key`` is the bucket of a tile of one bucket, which is one of ``keys``; else both are null.
     """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sides, sets = None, [], [], []
-        out: list[tuple[int, int, int]] = []
+        tile, docs, sides, sets, keys = None, [], [], [], []
+        out: list[tuple[int, int]] = []
 
         def close() -> None:
             if len(docs) < 2:
                 return
             forest = _Forest(len(docs))
             by = {s: [k for k, x in enumerate(sides) if x == s] for s in range(4)}
-            links = []
-            if by[0]:
-                links += _link(sets, by[0], by[0], num, den, forest)
-            if by[1] and by[2]:
-                links += _link(sets, by[1], by[2], num, den, forest)
-            if by[3]:
-                links += _link(sets, by[3], by[2], num, den, forest)
-            out.extend((key[0], docs[a], docs[b]) for a, b in links)
+            of, band = None, 0
+            if tile[2] is not None:
+                of = np.array(keys, np.int64)
+                band = int(np.flatnonzero(of[0] == tile[2])[0])
+            for a, b in ((0, 0), (1, 2), (3, 2)):
+                if by[a] and by[b]:
+                    out.extend((docs[x], docs[y]) for x, y in _link(sets, by[a], by[b], num, den, forest, of, band))
 
         def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["cluster", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["a", "b"])
 
         for batch in batches:
-            for cluster, tile, side, doc, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cluster, tile) != key:
+            columns = [c.to_pylist() for c in batch.columns]
+            for cluster, name, side, c, shingles, key, own in zip(*columns, strict=True):
+                if (cluster, name, key) != tile:
                     close()
-                    key, docs, sides, sets = (cluster, tile), [], [], []
-                docs.append(doc)
+                    tile, docs, sides, sets, keys = (cluster, name, key), [], [], [], []
+                if docs and docs[-1] == c and sides[-1] == side:
+                    continue
+                docs.append(c)
                 sides.append(side)
                 sets.append(np.frombuffer(shingles, U64))
+                keys.append(own)
             if out:
                 yield batch_of()
                 out = []
@@ -219,8 +252,59 @@ def _tiles(num: int, den: int):
 
 
 def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
-    together = rows.select("cluster", "tile", "side", "doc", "shingles").repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "side", "doc")
-    return together.mapInArrow(_tiles(num, den), "cluster long, a long, b long")
+    for column, kind in (("key", "long"), ("keys", "array<long>")):
+        if column not in rows.columns:
+            rows = rows.withColumn(column, F.lit(None).cast(kind))
+    together = rows.select("cluster", F.col("tile").cast("string").alias("tile"), "side", "c", "shingles", "key", "keys").repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "key", "side", "c")
+    return together.mapInArrow(_tiles(num, den), "a long, b long")
+
+
+def _crossed(open_: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """Tiles of the rows ``open_`` (c, block, blocks, ...) among each other, and with the blocks of ``known``, in each group ``by``."""
+    rest = [c for c in open_.columns if c not in ("block", "blocks")]
+    each = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    among = each.withColumn("tile", F.format_string("f%d-%d", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2))
+    seen = known.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col("block").alias("other")).distinct()
+    left = open_.join(seen, [F.col(c) == F.col(f"k_{c}") for c in by]).withColumn("tile", F.format_string("u%d-%d", "block", "other")).withColumn("side", F.lit(1))
+    have = open_.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col("block").alias("other")).distinct()
+    right = known.join(have, [F.col(c) == F.col(f"k_{c}") for c in by]).withColumn("tile", F.format_string("u%d-%d", "other", "block")).withColumn("side", F.lit(2))
+    return reduce(DataFrame.unionByName, [x.select(*rest, "tile", "side") for x in (among, left, right)])
+
+
+def _blocked(rows: DataFrame, count) -> DataFrame:
+    """``rows`` dealt by a hash of c to blocks of about BLOCK out of ``count``."""
+    blocks = F.greatest(F.lit(1), F.ceil(count / BLOCK)).cast("int")
+    return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+
+
+def _large_links(large: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) in clusters of several blocks: rows (cluster, blocks, pivot, c, shingles)."""
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    pivots = dealt.filter("c = pivot").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(3))
+    columns = ["cluster", "tile", "side", "c", "shingles"]
+    first = staged(_verified(dealt.filter("c <> pivot").withColumn("tile", F.col("block")).withColumn("side", F.lit(2)).select(*columns).unionByName(pivots.select(*columns)), num, den), "pivot-links")
+    linked = first.select(F.explode(F.array("a", "b")).alias("known")).distinct()
+    small = large.select("cluster", "c", "shingles").join(linked, F.col("c") == F.col("known"), "left").withColumn("free", F.col("known").isNull()).drop("known")
+    flagged = staged(small, "flagged")
+    free = staged(flagged.filter("free").groupBy(F.col("cluster").alias("fc")).agg(F.count("*").alias("n_free")), "free")
+    rows = flagged.join(free, F.col("cluster") == F.col("fc")).drop("fc")
+    total = rows.filter("NOT free").groupBy(F.col("cluster").alias("kc")).agg(F.count("*").alias("n_known"))
+    # Few unlinked sets: one block of them against every block of the linked ones.
+    few = rows.filter(F.col("n_free") <= BLOCK)
+    open_few = _blocked(few.filter("free"), F.col("n_free")).select("cluster", "c", "shingles", "block", "blocks")
+    known_few = _blocked(few.filter("NOT free").join(total, F.col("cluster") == F.col("kc")), F.col("n_known")).select("cluster", "c", "shingles", "block", "blocks")
+    links = first.unionByName(_verified(_crossed(open_few, known_few, ["cluster"]), num, den))
+    # Many: bucket by bucket, where a bucket has an unlinked set.
+    many = rows.filter(F.col("n_free") > BLOCK).select("c", "shingles", "free").join(classes.select(F.col("c").alias("cc"), "keys"), F.col("c") == F.col("cc")).drop("cc")
+    member = many.select("c", "free", F.explode("keys").alias("key"))
+    counts = staged(member.groupBy(F.col("key").alias("k")).agg(F.count_if("free").alias("n_free"), F.count_if(~F.col("free")).alias("n_known")).filter("n_free > 0 AND n_free + n_known > 1"), "open-buckets")
+    if counts.isEmpty():
+        return links
+    inside = staged(many.withColumn("key", F.explode("keys")).join(counts, F.col("key") == F.col("k")).select(F.col("key").alias("cluster"), "key", "keys", "c", "shingles", "free", "n_free", "n_known"), "open-sets")
+    columns = ["cluster", "key", "keys", "c", "shingles", "block", "blocks"]
+    open_ = _blocked(inside.filter("free"), F.col("n_free")).select(*columns)
+    known = _blocked(inside.filter("NOT free"), F.col("n_known")).select(*columns)
+    return links.unionByName(_verified(_crossed(open_, known, ["cluster"]), num, den))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -228,46 +312,39 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     tune(docs.sparkSession)
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     profiles = staged(base.mapInArrow(_profiles(n, bands, rows), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "profiles")
-    classes = staged(profiles.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.any_value("keys").alias("keys")), "classes")
+    # A class is all documents of one set. Its number c is given once, in the table that is written.
+    classes = profiles.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.any_value("keys").alias("keys"))
+    classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     # Buckets with several classes; the least member stands for the bucket.
-    member = classes.select("doc", F.col("n").alias("size"), F.explode("keys").alias("key"))
-    buckets = staged(member.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("least")).filter("members > 1").select(F.col("key").alias("k"), "members", "least"), "buckets")
-    shared = member.join(buckets, F.col("key") == F.col("k")).groupBy("doc", "least").agg(F.sum("members").alias("shared"), F.max("size").alias("size"))
-    shared = staged(shared, "shared")
-    cluster = components(shared.filter("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")), "clusters")
-    scored = shared.groupBy("doc").agg(F.sum("shared").alias("shared"), F.max("size").alias("size")).join(cluster, F.col("doc") == F.col("v")).select("doc", F.col("label").alias("cluster"), "shared", "size")
-    sizes = scored.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"), F.max_by("doc", F.struct("shared", -F.col("doc"))).alias("pivot"))
-    sizes = sizes.select(F.col("cluster").alias("c"), "pivot", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = scored.join(sizes, F.col("cluster") == F.col("c")).select("doc", "cluster", "pivot", "blocks")
+    member = classes.select("c", F.col("n").alias("size"), F.explode("keys").alias("key"))
+    buckets = staged(member.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("least")).filter("members > 1").select(F.col("key").alias("k"), "members", "least"), "buckets")
+    shared = staged(member.join(buckets, F.col("key") == F.col("k")).groupBy("c", "least").agg(F.sum("members").alias("shared"), F.max("size").alias("size")), "shared")
+    cluster = components(shared.select(F.col("c").alias("a"), F.col("least").alias("b")), "clusters")
+    scored = shared.groupBy("c").agg(F.sum("shared").alias("shared"), F.max("size").alias("size")).join(cluster, F.col("c") == F.col("v")).select("c", F.col("label").alias("cluster"), "shared", "size")
+    sizes = scored.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"), F.max_by("c", F.struct("shared", -F.col("c"))).alias("pivot"))
+    sizes = sizes.select(F.col("cluster").alias("of"), "pivot", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    named = classes.select(F.col("c").alias("cc"), "doc", "s1", "s2")
+    wanted = scored.join(sizes, F.col("cluster") == F.col("of")).join(named, F.col("c") == F.col("cc")).select("doc", "c", "cluster", "pivot", "blocks", "s1", "s2")
     # One plan at every size: texts meet the wanted ids by a merge join.
-    text = base.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select("cluster", "blocks", "pivot", "doc", "text")
-    sets = staged(text.mapInArrow(_sets(n), "cluster long, blocks int, pivot long, doc long, shingles binary"), "sets")
-    small = _verified(sets.filter("blocks = 1").withColumn("tile", F.lit(0)).withColumn("side", F.lit(0)), num, den)
-    links = small
-    large = sets.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    text = base.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select("cluster", "blocks", "pivot", "c", "s1", "s2", "text")
+    sets = staged(text.mapInArrow(_sets(n), "cluster long, blocks int, pivot long, c long, shingles binary"), "sets")
+    links = _verified(sets.filter("blocks = 1").withColumn("tile", F.lit("")).withColumn("side", F.lit(0)), num, den)
+    large = sets.filter("blocks > 1")
     if not large.isEmpty():
-        pivots = large.filter("doc = pivot").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(3))
-        first = staged(_verified(large.filter("doc <> pivot").withColumn("tile", F.col("block")).withColumn("side", F.lit(2)).select("cluster", "tile", "side", "doc", "shingles").unionByName(pivots.select("cluster", "tile", "side", "doc", "shingles")), num, den), "pivot-links")
-        linked = first.select(F.explode(F.array("a", "b")).alias("known")).distinct()
-        # Blocks of what the pivot doesn't link against all blocks: tile (i, j) compares the unlinked of block i with the linked of block j, and with the unlinked of block j >= i.
-        flagged = large.join(linked, F.col("doc") == F.col("known"), "left").withColumn("free", F.col("known").isNull()).drop("known")
-        open_ = flagged.filter("free")
-        one = F.sequence(F.lit(0), F.col("blocks") - 1)
-        rows_free = open_.select("cluster", "doc", "shingles", "blocks", "block", F.explode(one).alias("other"))
-        left = rows_free.select("cluster", F.format_string("u%d-%d", "block", "other").alias("tile"), F.lit(1).alias("side"), "doc", "shingles")
-        busy = open_.select(F.col("cluster").alias("bc"), F.col("block").alias("bb")).distinct()
-        known = flagged.filter("NOT free").join(busy, F.col("cluster") == F.col("bc")).select("cluster", F.format_string("u%d-%d", "bb", "block").alias("tile"), F.lit(2).alias("side"), "doc", "shingles")
-        among = rows_free.select(
-            "cluster",
-            F.format_string("f%d-%d", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-            F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-            "doc",
-            "shingles",
-        )
-        rest = _verified(left.unionByName(known).unionByName(among), num, den)
-        links = links.unionByName(first).unionByName(rest)
-    group = components(links.select("a", "b"), "links")
-    of_class = classes.select("s1", "s2", "n", "doc").join(group, F.col("doc") == F.col("v"), "left").select("s1", "s2", F.col("n").alias("size"), F.coalesce("label", "doc").alias("component"))
+        links = links.unionByName(_large_links(large, classes, num, den))
+    # Rows of one doc_id with different sets link their classes.
+    ends = lambda x: [F.min(x).alias(f"{x}_low"), F.max(x).alias(f"{x}_high")]
+    several = staged(profiles.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("r")).agg(*ends("s1"), *ends("s2")).filter("s1_low <> s1_high OR s2_low <> s2_high").select("r"), "several")
+    of_several = staged(profiles.select("doc_id", "n", "s1", "s2").join(several, F.col("doc_id") == F.col("r"), "left_semi").distinct().join(classes.drop("keys"), ["s1", "s2", "n"]).select("doc_id", "c"), "of-several")
+    one = of_several.groupBy(F.col("doc_id").alias("o")).agg(F.min("c").alias("b"))
+    group = components(links.unionByName(of_several.join(one, F.col("doc_id") == F.col("o")).select(F.col("c").alias("a"), "b")), "links")
+    # A component goes by its least doc_id.
+    joined = group.join(classes.select("c", "doc"), F.col("v") == F.col("c")).select("v", "label", "doc")
+    least = joined.groupBy(F.col("label").alias("l")).agg(F.min("doc").alias("component"))
+    joined = joined.join(least, F.col("label") == F.col("l")).select("v", "component")
+    of_class = staged(classes.select("s1", "s2", F.col("n").alias("size"), "c", "doc").join(joined, F.col("c") == F.col("v"), "left").select("s1", "s2", "size", "c", F.coalesce("component", "doc").alias("component")), "components")
+    of_doc = of_several.join(of_class.select(F.col("c").alias("cc"), "component"), F.col("c") == F.col("cc")).groupBy(F.col("doc_id").alias("d")).agg(F.min("component").alias("together"))
     p = profiles.select("doc_id", "n", "s1", "s2").alias("p")
-    out = p.join(of_class.alias("c"), F.expr("p.s1 = c.s1 AND p.s2 = c.s2 AND p.n = c.size AND p.doc_id IS NOT NULL"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = p.join(of_class.drop("c").alias("c"), F.expr("p.s1 = c.s1 AND p.s2 = c.s2 AND p.n = c.size AND p.doc_id IS NOT NULL"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component")
+    out = out.join(of_doc, F.col("doc_id") == F.col("d"), "left").select("doc_id", "n_shingles", F.coalesce("together", "component", "doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

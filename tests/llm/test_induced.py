@@ -20,9 +20,10 @@ def check(b, cap=200):
         assert prefix[k] == p, (k, i, j, p, prefix[k])
 
 
-@pytest.mark.parametrize("spill", [1 << 30, 0])
-def test_against_sorted(monkeypatch, spill):
+@pytest.mark.parametrize(("spill", "base"), [(1 << 30, 1 << 20), (0, 0), (1 << 30, 5)])
+def test_against_sorted(monkeypatch, spill, base):
     monkeypatch.setattr(induced, "QUEUE_BYTES", spill)
+    monkeypatch.setattr(induced, "BASE", base)
     rng = random.Random(1)
     check(b"")
     check(b"a")
