@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm._shared import staged
+from strata.llm._shared import discard, staged
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -28,15 +28,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hooks.append(staged(best.select("v", F.when(first(F.col("v")) <= F.col("place"), F.col("v")).otherwise(F.col("u")).alias("to")), f"{name}-{k}"))
         end = lambda x: hooks[-1].select(F.col("v").alias(f"v{x}"), F.col("to").alias(f"to{x}"))
         renamed = e.join(end("a"), F.col("a") == F.col("va")).join(end("b"), F.col("b") == F.col("vb"))
-        e = staged(_tidy(renamed.select(F.col("toa").alias("a"), F.col("tob").alias("b"))), f"{name}-{k}-edges")
+        before, e = e, staged(_tidy(renamed.select(F.col("toa").alias("a"), F.col("tob").alias("b"))), f"{name}-{k}-edges")
+        discard(before)
     if not hooks:
         return e.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    discard(e)
     root = hooks[-1]
     for k in reversed(range(len(hooks) - 1)):
         after = root.select(F.col("v").alias("u"), F.col("to").alias("above"))
-        root = staged(hooks[k].join(after, F.col("to") == F.col("u"), "left").select("v", F.coalesce("above", "to").alias("to")), f"{name}-{k}-roots")
+        below, root = root, staged(hooks[k].join(after, F.col("to") == F.col("u"), "left").select("v", F.coalesce("above", "to").alias("to")), f"{name}-{k}-roots")
+        discard(below)
     least = root.groupBy(F.col("to").alias("root")).agg(F.min("v").alias("label"))
-    return staged(root.join(least, F.col("to") == F.col("root")).select("v", F.least("label", "to").alias("label")), f"{name}-labels")
+    labels = staged(root.join(least, F.col("to") == F.col("root")).select("v", F.least("label", "to").alias("label")), f"{name}-labels")
+    discard(root, *hooks[:-1])
+    return labels
 
 
 def _tidy(edges: DataFrame) -> DataFrame:

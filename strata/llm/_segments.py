@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import BYTE, SCAN, U64, mix, powers, signed, slices, text_buffers, word_hashes, words
-from strata.llm._shared import staged, tune
+from strata.llm._shared import discard, staged, tune
 
 HOT = 4096
 KEY_BYTES = 256 << 10
@@ -369,6 +369,7 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     release(spark)
     merged = staged(found.groupBy("key", "seg", "content").agg(F.min("id").alias("least"), F.count("*").alias("count"), F.max("n").alias("n")).select("key", "seg", "least", "count", "n", "content"), "merged")
     release(spark)
+    whole = merged
     merged, levels = divide(merged, spec)
     total = merged.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // spec.shard_bytes))
@@ -378,6 +379,7 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     if levels:
         flags = staged(gathered(flags, levels, rule), "gathered")
     release(spark)
+    discard(anchors, wanted, whole)
     hits = found.select("key", "seg", "id", "tid", "start", "n").join(flags.select(F.col("key").alias("k"), F.col("seg").alias("s"), "least", "count", "bits"), (F.col("key") == F.col("k")) & (F.col("seg") == F.col("s")))
     hits = hits.withColumn("every", F.expr(rule)).filter("every OR length(bits) > 0")
     spans = hits.groupBy("id", "tid").agg(F.collect_set(F.struct("start", "n", F.when(F.col("every"), F.lit(None)).otherwise(F.col("bits")).alias("bits"))).alias("spans"))
@@ -385,6 +387,7 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     spans = spans.select(F.col("id").alias("si"), F.col("tid").alias("st"), "spans")
     facts = staged(info.join(spans, (F.col("i") == F.col("si")) & (F.col("t") == F.col("st")), "left").select("i", "t", "least", "copies", "spans"), "facts")
     release(spark)
+    discard(found, flags, classes)
     return base.join(facts, (F.col("id") == F.col("i")) & (F.col("tid") == F.col("t"))).select("id", "least", "copies", "spans", "text")
 
 

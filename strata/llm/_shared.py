@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     found = tempfile.mkdtemp(prefix="strata-shared-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -31,7 +34,19 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path.rpartition("/")[0]
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing reads any more."""
+    for df in frames:
+        if not getattr(df, "staged_at", None):
+            continue
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

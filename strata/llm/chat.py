@@ -13,9 +13,10 @@ The loss mask covers the tokens of assistant texts: +1 at the first, -1 after th
 
 Turns are ordered by (turn, role, text); null turns come first. A null role is empty, a null text is
 empty. Repeated rows are turns of their own. An empty table gives an empty result (the extra
-conversation of the query aside). Any number of turns and length of text is streamed: rows are
-sorted by conversation and turn, and a conversation's digests are running states, so one very long
-conversation costs one task time but no memory. Other columns are not looked at.
+conversation of the query aside). Turns are encoded and decoded where they are, so a conversation with
+a third of all turns (or all that have no conv_id, which are one) is spread over the cluster; only the
+digest of its texts, in order, is one task's work, with running states, so it costs time but no memory.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm._bytes import slices
 from strata.llm._shared import staged, tune
 from strata.llm.token_file import _byte_letters
 
@@ -102,33 +104,49 @@ def codec_for(path: str) -> Codec:
 
 
 def format_turns(conversations: DataFrame, vocabulary: str) -> DataFrame:
-    """One row a turn, in the shared folder: conv_id, n (order inside a file's conversation), ids, mask (packed bits)."""
+    """One row a turn, in the shared folder: conv_id, turn, ids, mask (packed bits). A turn needs nothing of the others."""
     tune(conversations.sparkSession)
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(vocabulary)
-        last, n = object(), 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for conv, turn, role, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                n = n + 1 if conv == last else 0
-                last = conv
-                ids, mask = assemble(codec, role, text)
-                for column, x in zip(out, (conv, turn, n, ids.astype("<i4").tobytes(), np.packbits(mask, bitorder="little").tobytes()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["conv_id", "turn", "n", "ids", "mask"])
+            for part in slices(batch, "text", 4 << 20):
+                made = [assemble(codec, role, text) for role, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                ids = [i.astype("<i4").tobytes() for i, _ in made]
+                masks = [np.packbits(m, bitorder="little").tobytes() for _, m in made]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(masks, pa.binary())], ["conv_id", "turn", "ids", "mask"])
 
     c = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"), F.coalesce(conversations["role"], F.lit("")).alias("role"), F.coalesce(conversations["text"], F.lit("")).alias("text"))
-    ordered = c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return staged(ordered.mapInArrow(turns, "conv_id long, turn long, n long, ids binary, mask binary"), "chat")
+    return staged(c.mapInArrow(turns, "conv_id long, turn long, ids binary, mask binary"), "chat")
+
+
+def read_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
+    """What a reader finds in each formatted turn: conv_id, turn, role, text, learnt (what the mask covers), chars."""
+    tune(turns.sparkSession)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_for(vocabulary)
+        for batch in batches:
+            roles, texts, learnt, chars = [], [], [], []
+            for ids, mask in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                seq = np.frombuffer(ids, "<i4")
+                on = np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little", count=len(seq)).astype(bool)
+                end = int(np.flatnonzero(seq == codec.end)[0])
+                inner = codec.decode(seq[1:end])
+                role, _, text = inner.partition("\n")
+                roles.append(unescape_role(role))
+                texts.append(unescape(text))
+                learnt.append(unescape(codec.decode(seq[on])))
+                chars.append(len(START) + len(inner) + len(END) + len(codec.decode(seq[end + 1 :])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.string()) for x in (roles, texts, learnt)), pa.array(chars, pa.int64())], ["conv_id", "turn", "role", "text", "learnt", "chars"])
+
+    return turns.select("conv_id", "turn", "ids", "mask").mapInArrow(found, "conv_id long, turn long, role string, text string, learnt string, chars long")
 
 
 def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
     """What a reader of the formatted conversations finds, one row a conversation."""
-    tune(turns.sparkSession)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(vocabulary)
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         last: object = names
@@ -141,21 +159,14 @@ def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
                 done.append((last, n, every.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
         for batch in batches:
-            for conv, ids, mask in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for conv, role, text, learnt, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv != last:
                     close()
                     last, n, loss_chars, chars, every, loss = conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                seq = np.frombuffer(ids, "<i4")
-                on = np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little", count=len(seq)).astype(bool)
-                end = int(np.flatnonzero(seq == codec.end)[0])
-                inner = codec.decode(seq[1:end])
-                role, _, text = inner.partition("\n")
-                every.update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-                learnt = codec.decode(seq[on])
-                got = unescape(learnt)
-                loss.update(got.encode())
-                loss_chars += len(got)
-                chars += len(START) + len(inner) + len(END) + len(codec.decode(seq[end + 1 :]))
+                every.update(f"{role}\n{text}\n".encode())
+                loss.update(learnt.encode())
+                loss_chars += len(learnt)
+                chars += length
                 n += 1
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
@@ -164,5 +175,5 @@ def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "n").select("conv_id", "ids", "mask")
+    ordered = read_turns(turns, vocabulary).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "learnt", "chars")
     return ordered.mapInArrow(states, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -93,7 +93,7 @@ def _alike(a, b, equal):
     return F.when(either == 0, equal.cast("double")).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def fingerprints(docs: DataFrame, rarest: float = 2e-5, commonest: float = 0.01, max_broadcast: int = 4_000_000, ranges: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, rarest: float = 2e-5, commonest: float = 0.01, max_broadcast: int = 2_000_000, ranges: int | None = None) -> DataFrame:
     """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))

@@ -6,13 +6,16 @@ languages. A text is cut into consecutive windows, whole; the mean log-probabili
 bytes of the windows, decides. For scoring, embedding and filters are multiplied out into one table
 of 256 rows for each filter width and offset, so a window costs look-ups and additions.
 
-Training takes windows of at most ``max_rows`` labelled rows, chosen by a hash of doc_id. The model
-has a few thousand floats and goes to the executors inside the function. Only text and, for rows
-learnt from, lang are looked at.
+Training takes a bounded sample: ``per_text`` windows, evenly spread, of each of at most ``max_rows``
+labelled rows, chosen by a hash of doc_id, as many of each language as there are, or its fair share. So
+a rare language is learnt, and there may be as many languages as ``max_rows``. The model has a few
+thousand floats, and some fifty for each language, and goes to the executors inside the function. Only
+text and, for rows learnt from, lang are looked at.
 
 Nulls and texts without a letter are ``und`` with score 0; so is every text where nothing could be
 learnt (no labelled row, an empty table). A null doc_id isn't held out and is never learnt from.
-Repeated rows are predicted each. Other columns are not looked at.
+Repeated rows are predicted each and learnt from once. Texts of any length are read whole, a slice of
+rows at a time. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import slices, text_buffers
@@ -120,12 +123,18 @@ class ByteNet:
         return out
 
 
-def train(docs: DataFrame, held_out_mod: tuple[int, int], max_rows: int, length: int, per_text: int = 3, epochs: int = 4, most_languages: int = 1000) -> ByteNet | None:
-    """A network from windows of the labelled rows; the same rows give the same network."""
+def train(docs: DataFrame, held_out_mod: tuple[int, int], max_rows: int, length: int, per_text: int, epochs: int = 4) -> ByteNet | None:
+    """A network from windows of the labelled rows; the same rows give the same network.
+
+    A language's rows are dealt by a hash to ``max_rows`` buckets, each of which keeps one, so counting is
+    pre-aggregated. Rows are then taken in turns, the first of every language, the second, and so on.
+    """
     mod, out = held_out_mod
     usable = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull() & (F.crc32(docs["doc_id"].cast("string")) % mod != out))
-    key = F.md5(F.concat(docs["doc_id"].cast("string"), F.lit(":lang")))
-    top = usable.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), key.alias("key")).orderBy("key", "doc_id", "lang").limit(max_rows)
+    key = F.xxhash64(docs["doc_id"].cast("string"), F.lit("lang"))
+    one = usable.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), key.alias("key")).groupBy("lang", F.pmod("key", F.lit(max_rows)).alias("bucket")).agg(F.min_by("doc_id", "key").alias("doc_id"), F.min("key").alias("key"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    top = one.withColumn("turn", turn).orderBy("turn", "key", "lang").limit(max_rows).select("doc_id", "lang", "key")
     rows = docs.select(docs["doc_id"].alias("id"), docs["lang"].alias("known"), docs["text"].alias("text")).join(F.broadcast(top), (F.col("id") == F.col("doc_id")) & (F.col("known") == F.col("lang"))).select("key", "lang", "text")
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,25 +144,28 @@ def train(docs: DataFrame, held_out_mod: tuple[int, int], max_rows: int, length:
                 buf, off = text_buffers(part.column(2))
                 x, doc, used = windows(buf, off, length)
                 for r, (k, lang) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    own = np.flatnonzero((doc == r) & (used >= 8))
-                    for j in own[np.linspace(0, len(own) - 1, min(per_text, len(own))).astype(int)] if len(own) else ():
-                        keys.append(k), langs.append(lang), found.append(x[j].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["key", "lang", "x"])
-
-    got = sorted(tuple(r) for r in rows.mapInArrow(some, "key string, lang string, x binary").collect())
+                    own = np.flatnonzero((doc == r) & (used >= min(8, length)))
+                    if len(own):
+                        spread = np.linspace(0, len(own) - 1, min(per_text, len(own))).astype(int)
+                        keys.append(k), langs.append(lang), found.append(x[own[spread]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["key", "lang", "x"])
+
+    # Rows that repeat a doc_id count once.
+    got = sorted(tuple(r) for r in rows.mapInArrow(some, "key long, lang string, x binary").groupBy("key", "lang").agg(F.min("x").alias("x")).collect())
     languages = sorted({r[1] for r in got})
-    if not languages or len(languages) > most_languages:
+    if not languages:
         return None
     net = ByteNet(languages, length)
     place = {lang: k for k, lang in enumerate(languages)}
-    net.fit(np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, length), np.array([place[r[1]] for r in got]), epochs)
+    x = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, length)
+    net.fit(x, np.repeat([place[r[1]] for r in got], [len(r[2]) // length for r in got]), epochs)
     return net
 
 
-def predict_language(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 0), max_rows: int = 3000, length: int = 192, keep: list[str] | None = None) -> DataFrame:
+def predict_language(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 0), max_rows: int = 3000, length: int = 192, per_text: int = 3, keep: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score, and a struct ``kept`` of the columns in ``keep``."""
     tune(docs.sparkSession)
-    net = train(docs, held_out_mod, max_rows, length)
+    net = train(docs, held_out_mod, max_rows, length, per_text)
     tables = net.tables() if net else []
 
     def predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

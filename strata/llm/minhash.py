@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strata.llm._bytes import U64, mix, row_of, signed, slices, text_buffers, word_hashes, words
 from strata.llm._graph import components
-from strata.llm._shared import staged, tune
+from strata.llm._shared import discard, staged, tune
 
 #: Sets in a block of a large cluster, and the shingles after which a block counts as full.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
@@ -332,6 +332,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     large = sets.filter("blocks > 1")
     if not large.isEmpty():
         links = links.unionByName(_large_links(large, classes, num, den))
+    discard(buckets, shared)
     # Rows of one doc_id with different sets link their classes.
     ends = lambda x: [F.min(x).alias(f"{x}_low"), F.max(x).alias(f"{x}_high")]
     several = staged(profiles.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("r")).agg(*ends("s1"), *ends("s2")).filter("s1_low <> s1_high OR s2_low <> s2_high").select("r"), "several")
@@ -343,6 +344,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     least = joined.groupBy(F.col("label").alias("l")).agg(F.min("doc").alias("component"))
     joined = joined.join(least, F.col("label") == F.col("l")).select("v", "component")
     of_class = staged(classes.select("s1", "s2", F.col("n").alias("size"), "c", "doc").join(joined, F.col("c") == F.col("v"), "left").select("s1", "s2", "size", "c", F.coalesce("component", "doc").alias("component")), "components")
+    discard(sets, group, cluster)
     of_doc = of_several.join(of_class.select(F.col("c").alias("cc"), "component"), F.col("c") == F.col("cc")).groupBy(F.col("doc_id").alias("d")).agg(F.min("component").alias("together"))
     p = profiles.select("doc_id", "n", "s1", "s2").alias("p")
     out = p.join(of_class.drop("c").alias("c"), F.expr("p.s1 = c.s1 AND p.s2 = c.s2 AND p.n = c.size AND p.doc_id IS NOT NULL"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component")

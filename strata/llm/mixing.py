@@ -11,7 +11,8 @@ this needs are made in two levels (sums of 4,096 hash buckets of each source, th
 so a source with a third of all rows is spread over the cluster.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id is
-ordered by the hash of an empty string. Repeated rows are separate documents. An empty table gives
+ordered by the hash of an empty string. Rows of one doc_id are separate documents, in the order of size
+and then of a hash of their text; equal ones are interchangeable. Texts of any length are counted whole. An empty table gives
 an empty result; sources without words get target 0. Other columns of the input are not looked at.
 """
 
@@ -51,18 +52,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], epochs: float, budg
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), epochs: float = 2.0, budget: float = 1.5, seed: int = 17, keep: Sequence[str] = ()) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, and the columns of ``docs`` in ``keep`` as a struct ``kept``."""
-    kept = [F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []
+    kept = [F.struct(*[docs[c] for c in keep]).alias("kept"), F.xxhash64(docs["text"]).alias("tie")] if keep else []
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), *kept)
     d = d.withColumn("key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))).withColumn("bucket", F.substring("key", 1, 3))
+    # One key without nulls, so that the windows and the join share a shuffle.
+    d = d.withColumn("of", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, epochs, budget)
     targets = targets.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))).withColumn("part", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + F.lit(0.5)))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before_bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    plan = buckets.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select(F.col("b.source").alias("s"), F.col("b.bucket").alias("k"), "before_bucket", "source_size", "target", "epochs", "part")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = buckets.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select(F.coalesce(F.concat(F.lit("s"), F.col("b.source").cast("string")), F.lit("n")).alias("s"), F.col("b.bucket").alias("k"), "before_bucket", "source_size", "target", "epochs", "part")
+    inside = Window.partitionBy("of", "bucket").orderBy("key", "doc_id", "size", *["tie"] * bool(keep)).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(plan, F.expr("source <=> s AND bucket = k"))
+    d = d.join(plan, (F.col("of") == F.col("s")) & (F.col("bucket") == F.col("k")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("before_bucket") - F.col("before")))
     return d.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *(["kept"] if keep else []))
 

@@ -7,12 +7,14 @@ A score is the sparse dot product of shares and weights through the logistic fun
 a fixed size (2**bits floats) and goes to the executors inside the function; texts are scored whole,
 a scan at a time.
 
-Training takes at most ``max_rows`` labelled rows, half of each label where there are enough, in the
-order of a hash of doc_id, so it is the same in every run. Nothing but the text is an input.
+Training takes a bounded sample: at most ``max_rows`` labelled rows, half of each label where there are
+enough, in the order of a hash of doc_id, until they have ``max_features`` distinct features in all
+(64 MB), so it is the same in every run. Nothing but the text is an input. The bias is the log-odds of
+the sample, so a score is relative to it and not calibrated to how often labels come.
 
 Nulls: a null text is empty; an empty text has no features and gets the score of the bias. A null
 doc_id isn't held out (its remainder is null) and is never learnt from. Repeated rows are scored
-each. With an empty table or without labels of both kinds the bias is the share of label 1 (0.5
+each and learnt from once. Texts of any length are read whole. With an empty table or without labels of both kinds the bias is the share of label 1 (0.5
 without any). Other columns are not looked at.
 """
 
@@ -22,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import U64, mix, row_of, slices, text_buffers, word_hashes, words
-from strata.llm._shared import tune
+from strata.llm._shared import staged, tune
 
 KIND = np.full(256, 4, np.uint8)  # punctuation and control
 KIND[0x61:0x7B] = 0
@@ -91,8 +93,8 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs
     return weights(slice(None)).astype(np.float32), bias
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, int], max_rows: int, bits: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of the rows learnt from: at most ``max_rows``, made on the executors."""
+def training_rows(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, int], max_rows: int, bits: int, max_features: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Features of the rows learnt from: at most ``max_rows``, and ``max_features`` of them in all, made on the executors."""
     mod, out = held_out_mod
     usable = labels.filter(labels["quality"].isin(0, 1) & (F.crc32(labels["doc_id"].cast("string")) % mod != out)).select(labels["doc_id"].alias("label_id"), labels["quality"].cast("int").alias("label"))
     usable = usable.groupBy("label_id").agg(F.max("label").alias("label")).withColumn("key", F.md5(F.concat(F.col("label_id").cast("string"), F.lit(":quality"))))
@@ -110,17 +112,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, i
                 size = np.maximum(np.diff(first), 1)
                 idx = (key & ((1 << bits) - 1)).astype("<i4")
                 val = (count / size[key >> bits] * SCALE).astype("<f4")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in (idx, val))], ["key", "label", "i", "x"])
-
-    got = picked.mapInArrow(sparse, "key string, label int, i binary, x binary").collect()
-    got.sort(key=lambda r: (r["key"], r["i"], r["x"]))
-    return [(np.frombuffer(r["i"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64), r["label"]) for r in got]
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, int] = (3, 1), max_rows: int = 6000, bits: int = 18) -> DataFrame:
+                both = [idx[a:b].tobytes() + val[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.binary())], ["key", "label", "row"])
+
+    # Rows that repeat a doc_id count once.
+    made = staged(picked.mapInArrow(sparse, "key string, label int, row binary").groupBy("key", "label").agg(F.min("row").alias("row")), "training")
+    so_far = F.sum(F.length("row") / 8).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most max_rows rows
+    taken = made.select("key", so_far.alias("n")).filter(F.col("n") <= max_features).select(F.col("key").alias("k"))
+    got = made.join(F.broadcast(taken), F.col("key") == F.col("k")).select("key", "label", "row").collect()
+    got.sort(key=lambda r: r["key"])
+    out_rows = []
+    for r in got:
+        n = len(r["row"]) // 2
+        out_rows.append((np.frombuffer(r["row"][:n], "<i4").astype(np.int64), np.frombuffer(r["row"][n:], "<f4").astype(np.float64), r["label"]))
+    return out_rows
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, int] = (3, 1), max_rows: int = 6000, bits: int = 18, max_features: int = 1 << 23) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
     tune(docs.sparkSession)
-    weights, bias = train_ftrl(training_rows(docs, labels, held_out_mod, max_rows, bits), bits)
+    weights, bias = train_ftrl(training_rows(docs, labels, held_out_mod, max_rows, bits, max_features), bits)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

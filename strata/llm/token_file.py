@@ -15,10 +15,12 @@ Blocks are in ascending doc_id order. Encoding uses the model of the tokenizers
 of Latin letters and ASCII punctuation, whose normalisation and pre-tokenisation are known, go to the
 library's BPE model directly and are kept in a bounded cache; every other word is encoded whole by
 the library. Both give the ids of encoding the whole text, as the vocabulary never joins across white
-space; a text that holds an added token's string is encoded whole.
+space; a text that holds an added token's string is encoded whole. A vocabulary for which probes show
+anything else (one that keeps spaces, say) gets every text encoded whole.
 
 Nulls: a null text is empty and has the end id only; rows without doc_id come first, under the id
--2**63. Repeated rows are kept, ordered by text. An empty table gives an empty file and result. Other columns are not
+-2**63. Rows of one doc_id are kept, ordered by text, and any number of them is spread over ranges of
+texts. An empty table gives an empty file and result. Other columns are not
 looked at.
 """
 
@@ -144,7 +146,7 @@ class WordEncoder(dict):
     def _is_direct(self) -> bool:
         """Whether the library treats plain words as expected: lower-cased, letters and punctuation apart."""
         probe = ["Abc,", "Él!!", "ÀÖØÞßöøÿ#%$", "x", "(a)", "!&(/:@[`{~", "ABCdef.", "Ç"]
-        return array("I", [1]).tobytes() == np.array([1], self.dtype).tobytes() and all(self._plain(m) == self._whole(w) for w in probe if (m := PLAIN.fullmatch(w)))
+        return array("I", [1]).tobytes() == np.array([1], self.dtype).tobytes() and all(self._plain(m) == self._whole(w) for w in probe if (m := PLAIN.fullmatch(w))) and self._whole("Ab, c\n\t1  2. x ") == b"".join(map(self._whole, ("Ab,", "c", "1", "2.", "x")))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -166,7 +168,7 @@ class WordEncoder(dict):
         return got
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
+        if not self.direct or any(a in text for a in self.added):
             return self._whole(text)
         return b"".join(map(self.__getitem__, WORD.findall(text)))
 
@@ -214,7 +216,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, block_ids: int = 1
             yield full()
 
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs["text"].alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Bounds of ranges need little of a text; the order is that of whole texts.
+    ordered = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 200)).sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(blocks, "part long, part_start long, first_doc long, last_doc long, n_docs long, n_ids long, payload binary"), name)
 
 

@@ -88,3 +88,101 @@ def test_one_conflicting_slot_only_costs_its_windows(spark):
         assert got[3]["coverage"] == 1 and got[3]["kind"] == "reparameterised"
         assert got[4]["coverage"] == 1 and got[4]["kind"] == "verbatim"
         assert not got[5]["contaminated"]
+
+
+def test_short_items_repeated_rows_and_items(spark):
+    items = [(1, "purple zebra"), (2, "a quiet green harbour"), (3, "a quiet green harbour"), (4, ITEM), (None, "the very last train home"), (5, "7 km")]
+    docs = [(1, "we saw the purple zebra there today"), (2, "such a quiet green harbour, they said"), (2, "nothing at all here"), (3, "a quiet green"), (4, f"{ITEM} {ITEM}"), (4, f"{ITEM} {ITEM}"), (5, "it is 7 km away from here"), (6, "on the very last train home")]
+    for bound in (2_000_000, 0):
+        d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = sorted(((r["doc_id"], r["contaminated"], r["n_items"], r["item_id"]) for r in decontam.decontaminate(d, b, max_broadcast=bound).collect()), key=lambda r: r[0])
+        assert got == [(1, True, 1, 1), (2, True, 2, 2), (2, True, 2, 2), (3, False, 0, None), (4, True, 1, 4), (4, True, 1, 4), (5, False, 0, None), (6, True, 1, None)]
+
+
+def brute(docs, items, window, coverage):
+    """Items that every document holds, by trying each diagonal and each reading of every window."""
+    import itertools
+
+    def tokens(text):
+        out, start, number = [], True, False
+        for w in (text or "").split():
+            core = w.strip(".,!?:;()-")
+            if core:
+                digit, low = core[0].isdigit(), core.lower()
+                unit = number and low in decontam.UNITS
+                kinds = ["num"] if digit or low in decontam.NUMBER_WORDS else ["unit"] if unit else ["name", low] if core[0].isupper() and start else ["name"] if core[0].isupper() else [low]
+                out.append((kinds, low))
+                number = kinds == ["num"]
+            start = w[-1] in ".!?:"
+        return out
+
+    def readings(t, i):
+        for r in itertools.product(*[k for k, _ in t[i : i + window]]):
+            if any(x not in ("num", "unit", "name") for x in r):
+                yield r, tuple(v if x in ("num", "unit", "name") else "" for x, (_, v) in zip(r, t[i : i + window], strict=True))
+
+    out = set()
+    for item, it in items:
+        a = tokens(it)
+        n = len(a) - window + 1
+        for doc, dt in docs:
+            b = tokens(dt)
+            good = set()
+            for diagonal in range(-n, len(b)):
+                hits = {(i, x, y) for i in range(n) if 0 <= i + diagonal <= len(b) - window for r, x in readings(a, i) for s, y in readings(b, i + diagonal) if r == s}
+                votes = {}
+                for i, x, y in hits:
+                    for p, q in zip(x, y, strict=True):
+                        if p:
+                            votes.setdefault((p, q), set()).add(i)
+                best = {}
+                for (p, q), at in votes.items():
+                    best.setdefault(p, []).append((len(at), p == q, q))
+                pick = {p: max(v)[2] for p, v in best.items()}
+                ties = {p for p, v in best.items() if sum(x[:2] == max(v)[:2] for x in v) > 1}
+                for i, x, y in hits:
+                    if x == y or all(not p or (pick[p] == q and p not in ties) for p, q in zip(x, y, strict=True)):
+                        good.add(i)
+            if n > 0 and len(good) >= coverage * n:
+                out.add((doc, item))
+    return out
+
+
+def test_random_reparameterisations_against_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    nouns = "apples coins books stones shells cards stamps pencils cups ropes lamps bricks".split()
+    verbs = "buys finds sells counts paints carries hides trades moves packs".split()
+    people = "Anna Bob Carla Dev Emil Fatima Goran Hilda Ivan Judit Karim Lena".split()
+    units = "km kg hours days minutes liters".split()
+
+    def problem():
+        out = []
+        for _ in range(rng.randint(3, 5)):
+            out.append(rng.choice(["{A} {v} {n} {o} near the old {w} and then walks {m} {u} to see {B}.", "Then {A} {v} {n} of the {o} while {B} waits for {m} {u} beside the {w}.", "How many {o} does {A} still have after {m} {u} with the {w}?"]))
+        text = " ".join(out)
+        fixed = {"v": rng.choice(verbs), "o": rng.choice(nouns), "w": rng.choice(nouns) + rng.choice("abcdefg")}
+        return lambda: text.format(**fixed, A=a[0], B=a[1], n=rng.randint(2, 99), m=rng.randint(100, 999), u=rng.choice(units)) if (a := rng.sample(people, 2)) else ""
+
+    makers = [problem() for _ in range(12)]
+    items = [(k, f()) for k, f in enumerate(makers)]
+    docs = [(100 + k, f"Some text goes before. {makers[k % 12]()} And some after it.") for k in range(36)]
+    docs += [(200 + k, problem()()) for k in range(20)]
+    want = brute(docs, items, 5, 0.8)
+    for bound in (2_000_000, 0):
+        d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = {(r["doc"], r["item"]) for r in decontam.matches(d, b, max_broadcast=bound).collect()}
+        assert got == want
+        planted = {(100 + k, k % 12) for k in range(36)}
+        assert len(planted & got) >= 0.95 * len(planted)
+        assert not {d for d, _ in got} & {d for d, _ in docs if d >= 200}
+
+
+def test_many_items_of_one_template(spark):
+    items = [(k, f"How many apples does the farmer number {k} take to the market on the day after the rain has stopped over {k} fields") for k in range(300)]
+    docs = [(k, "How many apples does the farmer number 5 take to the school") for k in range(50)] + [(99, items[7][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.decontaminate(d, b).collect()}
+    assert got[99]["contaminated"] and got[99]["n_items"] == 300 and got[99]["item_id"] == 0 and got[99]["coverage"] == 1
+    assert not any(got[k]["contaminated"] for k in range(50))

@@ -71,3 +71,81 @@ def test_windows_cover_every_byte(length):
     x, doc, used = langid.windows(np.frombuffer(b"".join(texts), np.uint8), off, length)
     for d, t in enumerate(texts):
         assert b"".join(bytes(row[:n]) for row, k, n in zip(x, doc, used, strict=True) if k == d) == t
+
+
+def test_rare_and_many_languages(spark):
+    rng = random.Random(8)
+    # 1,200 languages, and one that holds most rows; 6 rows of another
+    rows = [(k, "".join(rng.choices("abcdefgh", k=40)), f"l{k % 1200}") for k in range(1500 * 2)]
+    rows += [(10_000 + k, " ".join(rng.choices(DE, k=20)), "de") for k in range(2000)] + [(50_000 + k, " ".join(rng.choices(["őz", "éjjel", "hétköznap"], k=20)), "hu") for k in range(8)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string").selectExpr("*", "'x' AS score", "1 AS kept")
+    net = langid.train(docs, (5, 0), 3000, 32, 1, epochs=0)
+    assert set(net.languages) == {g for d, _, g in rows if zlib.crc32(str(d).encode()) % 5 != 0}
+    few = docs.filter("lang IN ('de', 'hu') AND doc_id >= 10000")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_language(few, max_rows=300, length=64).collect()}
+    assert all(got[50_000 + k] == "hu" for k in range(8)) and sum(got[10_000 + k] == "de" for k in range(2000)) > 1950
+
+
+def test_network_against_direct_convolution():
+    import numpy as np
+
+    net = langid.ByteNet(["a", "b", "c"], 12, filters=5, dim=3)
+    rng = np.random.default_rng(1)
+    for w in langid.WIDTHS:
+        net.p[f"b{w}"] = rng.normal(0, 1, 5).astype(np.float32)
+    x = rng.integers(0, 256, (7, 12)).astype(np.uint8)
+    got = net.log_probs(x, net.tables(), block=3)
+    for row, have in zip(x, got, strict=True):
+        pooled = []
+        for w in langid.WIDTHS:
+            for f in range(5):
+                best = 0.0
+                for i in range(12 - w + 1):
+                    z = net.p[f"b{w}"][f] + sum(float(net.p["e"][row[i + j]][d]) * float(net.p[f"k{w}"][j * 3 + d, f]) for j in range(w) for d in range(3))
+                    best = max(best, z)
+                pooled.append(best)
+        logit = np.array(pooled) @ net.p["o"].astype(float) + net.p["c"]
+        assert np.allclose(have, logit - np.log(np.exp(logit).sum()), atol=1e-4)
+
+
+def test_ftrl_against_the_published_update():
+    import math
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        i = sorted(rng.sample(range(16), rng.randint(1, 6)))
+        rows.append((np.array(i), np.array([rng.random() for _ in i]), rng.randint(0, 1)))
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.1
+    got, bias = quality.train_ftrl(rows, 4, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    share = sum(r[2] for r in rows) / len(rows)
+    assert abs(bias - math.log(share / (1 - share))) < 1e-9
+    z, n = [0.0] * 16, [0.0] * 16
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for index, value, y in rows:
+            w = {k: weight(k) for k in index.tolist()}
+            p = 1 / (1 + math.exp(-(sum(w[k] * v for k, v in zip(index.tolist(), value.tolist(), strict=True)) + bias)))
+            for k, v in zip(index.tolist(), value.tolist(), strict=True):
+                g = (p - y) * v
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    assert np.allclose(got, [weight(k) for k in range(16)], atol=1e-6)
+
+
+def test_training_rows_are_bounded(spark):
+    rows = corpus(120)
+    docs = spark.createDataFrame([(d, t) for d, t, _, _ in rows] + [(0, rows[0][1])] * 30 + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, q) for d, _, _, q in rows] * 2, "doc_id long, quality long")
+    every = quality.training_rows(docs, labels, (3, 1), 1000, 14, 1 << 20)
+    assert len(every) == sum(zlib.crc32(str(d).encode()) % 3 != 1 for d, *_ in rows)
+    some = quality.training_rows(docs, labels, (3, 1), 1000, 14, 500)
+    assert 0 < sum(len(r[0]) for r in some) <= 500
