@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
 from strata.operators.validate import first_nodes
+from strata.staging import staged
 
 
 @dataclass
@@ -36,7 +37,8 @@ def canonical(nodes: DataFrame, edges: DataFrame, pages: DataFrame, profile: str
     keep = nodes if include_course or profile == "report" else nodes.filter("kind IS NULL OR kind <> 'COURSE'")
     if profile == "report":
         keep = keep.filter("id IS NOT NULL AND id <> ''")
-    named = keep.withColumn("full", _title(profile, numbered)).select("graph_id", "pos", "id", F.trim(F.coalesce("kind", F.lit(""))).alias("kind"), "full").persist()  # feeds all relations
+    named = keep.withColumn("full", _title(profile, numbered)).select("graph_id", "pos", "id", F.trim(F.coalesce("kind", F.lit(""))).alias("kind"), "full")
+    named = staged(named, "named")  # feeds all relations
     titled = named.filter("full <> ''")
     kinds = titled.select("graph_id", F.col("full").alias("title"), "kind")
     kinds = (kinds.filter("kind <> ''") if profile == "report" else kinds).distinct()
@@ -123,11 +125,17 @@ def differences(gold: Canonical, pred: Canonical) -> DataFrame:
 
 
 def near_matches(gold: Canonical, pred: Canonical, most: int | None = None) -> DataFrame:
-    """(graph_id, text_norm, gold_candidates, pred_candidates) of unmatched titles that are equal without their numbers."""
+    """(graph_id, text_norm, gold_candidates, pred_candidates, count) of unmatched titles that are equal without their numbers.
+
+    ``count`` is how many a graph has; with ``most`` only the first of them by text are listed.
+    """
     d = differences(gold, pred).filter("difference IN ('missing_titles', 'extra_titles')").withColumn("text_norm", T.eval_normalize_title(T.leading_number("a")["body"]))
     side = lambda k: F.array_sort(F.collect_list(F.when(F.col("difference") == k, F.col("a"))))
     m = d.groupBy("graph_id", "text_norm").agg(side("missing_titles").alias("gold_candidates"), side("extra_titles").alias("pred_candidates")).filter("size(gold_candidates) > 0 AND size(pred_candidates) > 0")
-    return m.orderBy("graph_id", "text_norm").limit(most) if most else m
+    m = m.withColumn("count", F.count("*").over(Window.partitionBy("graph_id")))
+    if most is None:
+        return m
+    return m.withColumn("place", F.row_number().over(Window.partitionBy("graph_id").orderBy("text_norm"))).filter(F.col("place") <= most).drop("place")
 
 
 def carried_validation(graphs: DataFrame) -> DataFrame:

@@ -5,16 +5,17 @@ Items are (doc_id, collection, idx, self_ref, parent_ref, text, label, level, na
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strata.functions import text as T
 from strata.operators.outline import end_pages_preorder, ords_from_parents, parent_ends
-
-#: Steps that the walk to the root takes at most; chains of references in documents are short.
-MAX_STEPS = 64
-
+from strata.staging import staged
 
 def reference_index(items: DataFrame) -> DataFrame:
     """(doc_id, ref, up, label, name): the last item of each reference over the four collections, body and furniture."""
@@ -26,22 +27,22 @@ def reference_index(items: DataFrame) -> DataFrame:
 def ancestors(items: DataFrame) -> DataFrame:
     """(doc_id, self_ref, ref): all references on the way from each text to the root, a dangling last one included.
 
-    A recursive query whose rows carry what they have visited, so a cycle ends where it closes.
+    What each container reaches is found by doubling: steps of one, two, four and so on, until nothing is
+    new, so a chain of any length takes as many rounds as its logarithm, and a cycle ends where it closes.
     """
-    spark = items.sparkSession
-    start = items.filter("collection = 'texts' AND parent_ref IS NOT NULL").select("doc_id", "self_ref", F.col("parent_ref").alias("ref"))
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk (doc_id, self_ref, ref, seen) MAX RECURSION LEVEL {MAX_STEPS} AS (
-          SELECT doc_id, self_ref, ref, array(ref) FROM {{start}}
-          UNION ALL
-          SELECT w.doc_id, w.self_ref, i.up, array_append(w.seen, i.up) FROM walk w JOIN {{index}} i
-            ON w.doc_id = i.doc_id AND w.ref = i.ref WHERE i.up IS NOT NULL AND NOT array_contains(w.seen, i.up))
-        SELECT doc_id, self_ref, ref FROM walk LIMIT ALL
-        """,
-        start=start,
-        index=reference_index(items),
-    )
+    start = items.filter("collection = 'texts' AND parent_ref IS NOT NULL").select("doc_id", "self_ref", F.col("parent_ref").alias("ref")).distinct()
+    up = reference_index(items).filter("up IS NOT NULL").select("doc_id", "ref", "up")
+    parents = items.filter("parent_ref IS NOT NULL").select(F.col("doc_id").alias("pd"), F.col("parent_ref").alias("pr")).distinct()
+    reach = staged(up.join(parents, (F.col("doc_id") == F.col("pd")) & (F.col("ref") == F.col("pr")), "left_semi"), "reach")
+    known, n = 0, reach.count()
+    while n > known:
+        a, b = reach.alias("a"), reach.alias("b")
+        further = a.join(b, F.expr("a.doc_id = b.doc_id AND a.up = b.ref")).select("a.doc_id", "a.ref", F.col("b.up").alias("up"))
+        reach = staged(reach.unionByName(further).distinct(), "reach")
+        known, n = n, reach.count()
+    s, r = start.alias("s"), reach.alias("r")
+    above = s.join(r, F.expr("s.doc_id = r.doc_id AND s.ref = r.ref")).select("s.doc_id", "s.self_ref", F.col("r.up").alias("ref"))
+    return start.unionByName(above).distinct()
 
 
 def local_areas(items: DataFrame) -> DataFrame:
@@ -78,11 +79,13 @@ def unique_ids(rows: DataFrame) -> DataFrame:
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         used: set[str] = set()
+        following: dict[str, int] = {}  # the first number of a base that hasn't been tried
         out = []
         for base in pdf["base"]:
-            name, k = base, 2
+            name = base
             while name in used:
-                name, k = f"{base}-{k}", k + 1
+                k = following.get(base, 2)
+                name, following[base] = f"{base}-{k}", k + 1
             used.add(name)
             out.append(name)
         return pd.DataFrame({"doc_id": pdf["doc_id"], "idx": pdf["idx"], "id": out})
@@ -123,38 +126,66 @@ def heading_parents(flat: DataFrame) -> DataFrame:
     Roman headings are roots. A decimal one hangs under the latest earlier decimal with its number less
     the last part, else under the latest earlier roman one of its first part's value. A bullet hangs
     under the latest earlier heading that is no bullet. A plain one hangs under the nearest earlier
-    non-bullet of smaller depth, not beyond the last numbered heading.
+    non-bullet of smaller depth, not beyond the last numbered heading. One pass in a document's order,
+    with the latest heading of each number and a stack of depths.
     """
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.col("numbering_type")
-    f = flat.withColumn("numbered", F.coalesce(kind.isin("decimal", "roman"), F.lit(False)))
-    f = f.withColumns(
-        {
-            "up": F.when(kind == "decimal", T.parent_decimal_number("number")),
-            "part": F.when(kind == "decimal", F.try_element_at(F.split("number", r"\."), F.lit(1)).try_cast("int")),
-            "last_numbered": F.coalesce(F.max(F.when(F.col("numbered"), F.col("i"))).over(before), F.lit(-1)),
-            "last_structural": F.max(F.when(F.coalesce(kind, F.lit("")) != "bullet", F.col("i"))).over(before),
-        }
-    )
-    earlier = f.select(F.col("doc_id").alias("d"), F.col("i").alias("j"), F.col("numbering_type").alias("kj"), F.col("number").alias("nj"), F.col("roman_index").alias("rj"), F.col("depth").alias("dj"))
-    same = (F.col("doc_id") == F.col("d")) & (F.col("j") < F.col("i"))
-    best = lambda rows, other, condition, name: rows.join(other, same & condition).groupBy("doc_id", "i").agg(F.max("j").alias(name))
-    dec = best(f.filter("up IS NOT NULL"), earlier.filter("kj = 'decimal'"), F.col("up") == F.col("nj"), "dec")
-    rom = best(f.filter("part IS NOT NULL"), earlier.filter("kj = 'roman'"), F.col("part") == F.col("rj"), "rom")
-    plain = best(f.filter("numbering_type IS NULL"), earlier.filter("kj IS NULL OR kj <> 'bullet'"), (F.col("j") >= F.col("last_numbered")) & (F.col("dj") < F.col("depth")), "plain")
-    f = f.join(dec, ["doc_id", "i"], "left").join(rom, ["doc_id", "i"], "left").join(plain, ["doc_id", "i"], "left")
-    up = F.when(kind == "decimal", F.coalesce("dec", "rom")).when(kind == "bullet", F.col("last_structural")).when(kind.isNull(), F.col("plain"))
-    return f.select(*flat.columns, up.alias("parent"))
+    part = F.try_element_at(F.split("number", r"\."), F.lit(1)).try_cast("int")
+    rows = flat.drop("parent").withColumns({"up_": T.parent_decimal_number("number"), "part_": part})
+    columns = [c for c in rows.columns if c not in ("up_", "part_")]
+    place = flat.schema["i"].dataType
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = walk  # no doc_id
+        for batch in batches:
+            out = []
+            names = ("doc_id", "i", "numbering_type", "number", "roman_index", "depth", "up_", "part_")
+            for d, i, kind, number, roman, depth, up, first in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+                if d != doc:
+                    doc, decimal, romans, open_, numbered, structural = d, {}, {}, [], -1, None
+                parent = None
+                if kind == "decimal":
+                    parent = decimal.get(up)
+                    parent = romans.get(first) if parent is None else parent
+                elif kind == "bullet":
+                    parent = structural
+                if kind != "bullet":
+                    structural = i
+                    if depth is not None:
+                        while open_ and open_[-1][0] >= depth:
+                            open_.pop()
+                        if kind is None and open_ and open_[-1][1] >= numbered:
+                            parent = open_[-1][1]
+                        open_.append((depth, i))
+                if kind in ("decimal", "roman"):
+                    numbered = i
+                if kind == "decimal" and number is not None:
+                    decimal[number] = i
+                if kind == "roman" and roman is not None:
+                    romans[roman] = i
+                out.append(parent)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(out, batch.schema.field("i").type)], [*columns, "parent"])
+
+    kind = StructType([*(flat.schema[c] for c in columns), StructField("parent", place)])
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "i").mapInArrow(walk, kind)
 
 
 def headings_outline(items: DataFrame, total_pages: int | None = None, exclude_table_like_areas: bool = True, keep_isolated_unnumbered: bool = False) -> DataFrame:
     """Outline rows (doc_id, ord, id, title, number, role, start_page, end_page) from layout items."""
-    flat = flat_headings(items.persist(), exclude_table_like_areas).persist()  # each of these feeds several joins
+    flat = flat_headings(items, exclude_table_like_areas)
     if not keep_isolated_unnumbered:
         flat = drop_isolated_unnumbered(flat)
-    h = heading_parents(flat.persist()).persist()
-    o = h.join(ords_from_parents(h), ["doc_id", "i"]).select("doc_id", "ord", "id", "title", "number", "role", F.col("page").alias("start_page"), F.col("page").alias("end_page")).persist()
-    return parent_ends(end_pages_preorder(o, None if total_pages is None else F.lit(total_pages)).persist())
+    h = staged(heading_parents(flat), "headings")  # feeds two branches
+    o = h.join(ords_from_parents(h), ["doc_id", "i"]).select("doc_id", "ord", "id", "title", "number", "role", F.col("page").alias("start_page"), F.col("page").alias("end_page"))
+    return parent_ends(staged(end_pages_preorder(o, None if total_pages is None else F.lit(total_pages)), "end-pages"))
+
+
+def adapter_outlines(documents: DataFrame, items: DataFrame, override: str | None = None, total_pages: int | None = None, exclude_table_like_areas: bool = True, keep_isolated_unnumbered: bool = False) -> DataFrame:
+    """Whole outlines: the sections of headings_outline() under a root with the title of each document, found or not."""
+    sections = headings_outline(items, total_pages, exclude_table_like_areas, keep_isolated_unnumbered)
+    none = lambda c: F.lit(None).cast(sections.schema[c].dataType).alias(c)
+    titles = document_title(documents, override)
+    root = titles.select("doc_id", F.array().cast("array<int>").alias("ord"), none("id"), "title", *[none(c) for c in ("number", "role", "start_page", "end_page")])
+    return root.unionByName(sections.join(titles.select(F.col("doc_id").alias("td")), F.col("doc_id") == F.col("td"), "left_semi"))
 
 
 def document_title(documents: DataFrame, override: str | None = None) -> DataFrame:

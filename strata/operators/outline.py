@@ -7,13 +7,17 @@ groupings and joins of an outline on (doc_id, ...) keep that partitioning.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strata.functions import text as T
 
 
-
 def parent(ord_: str | F.Column = "ord"):
     o = F.col(ord_) if isinstance(ord_, str) else ord_
     return F.slice(o, F.lit(1), F.greatest(F.size(o) - 1, F.lit(0)))
@@ -30,28 +34,48 @@ def with_ancestors(nodes: DataFrame, *, own: bool = True, root: bool = False) ->
 def flatten_outlines(outlines: DataFrame) -> DataFrame:
     """Outline rows from (doc_id, json): each section of the tree in preorder, the root with an empty ord.
 
-    Integer pages stay, any other value becomes null; a boolean is no integer here.
+    Integer pages stay, any other value becomes null; a boolean is no integer here. A text that is no JSON
+    object has no rows.
     """
-    spark = outlines.sparkSession
-
-    import json
-
-    from pyspark.sql.functions import udtf
-
-    class Flat:
-        def eval(self, text: str):
-            tree = json.loads(text) if text else None
-            stack = [((), tree)] if isinstance(tree, dict) else []
-            page = lambda x: x if type(x) is int else None
-            word = lambda x: str(x) if x else None
-            while stack:
-                at, node = stack.pop()
-                yield list(at), word(node.get("title")), word(node.get("number")), word(node.get("role")), page(node.get("start_page")), page(node.get("end_page"))
-                kids = [s for s in node.get("sections") or [] if isinstance(s, dict)]
-                stack.extend((at + (k + 1,), s) for k, s in reversed(list(enumerate(kids))))
-
-    spark.udtf.register("strata_flatten_outline", udtf(Flat, returnType="ord array<int>, title string, number string, role string, start_page bigint, end_page bigint"))
-    return spark.sql("SELECT o.doc_id, f.* FROM {o} o, LATERAL strata_flatten_outline(o.json) f", o=outlines)
+    kind = outlines.schema["doc_id"].dataType.simpleString()
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                for row in _sections(text):
+                    at.append(k)
+                    rows.append(row)
+                    if len(rows) >= 50_000:
+                        yield _flat_batch(batch, at, rows)
+                        at, rows = [], []
+            if rows:
+                yield _flat_batch(batch, at, rows)
+
+    return outlines.select("doc_id", "json").mapInArrow(flat, f"doc_id {kind}, ord array<int>, title string, number string, role string, start_page bigint, end_page bigint")
+
+
+def _flat_batch(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "ord", "title", "number", "role", "start_page", "end_page"])
+
+
+def _sections(text: str | None) -> Iterator[tuple]:
+    """(ord, title, number, role, start_page, end_page) of a tree's sections in preorder."""
+    try:
+        tree = json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return
+    page = lambda x: x if type(x) is int and -(2**63) <= x < 2**63 else None
+    word = lambda x: str(x) if x else None
+    todo = [([], tree)] if isinstance(tree, dict) else []
+    while todo:
+        at, node = todo.pop()
+        yield at, *(word(node.get(k)) for k in ("title", "number", "role")), page(node.get("start_page")), page(node.get("end_page"))
+        below = node.get("sections")
+        kids = [x for x in below if isinstance(x, dict)] if isinstance(below, list) else []
+        todo += [([*at, k], kids[k - 1]) for k in range(len(kids), 0, -1)]
 
 
 def _spread(rows: DataFrame, name: str, value, agg=F.max) -> DataFrame:
@@ -145,19 +169,45 @@ def diff_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 # Flat lists with levels: (doc_id, i, level, start_page, total_pages) ------------------------------
 
 
+def nearest(rows: DataFrame, level: str, value: str, name: str, *, later: bool = False) -> DataFrame:
+    """``rows`` with ``name``: ``value`` of the nearest earlier row of a document with a smaller ``level``, or with ``later`` of the nearest later one with a level that isn't larger.
+
+    One pass over a document's rows in the order of i, with a stack of the levels that are still open, so the
+    work is linear. Rows without a level get null and stop no others.
+    """
+    kept = [c for c in rows.columns if c != name]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = walk  # no doc_id
+        open_: list[tuple] = []
+        for batch in batches:
+            out = []
+            for d, x, v in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", level, value)), strict=True):
+                if d != doc:
+                    doc, open_ = d, []
+                if x is None:
+                    out.append(None)
+                    continue
+                while open_ and (open_[-1][0] > x or open_[-1][0] == x and not later):
+                    open_.pop()
+                out.append(open_[-1][1] if open_ else None)
+                open_.append((x, v))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(out, batch.schema.field(value).type)], [*kept, name])
+
+    order = F.col("i").desc() if later else F.col("i").asc()
+    kind = StructType([*(rows.schema[c] for c in kept), StructField(name, rows.schema[value].dataType)])
+    return rows.select(*kept).repartition("doc_id").sortWithinPartitions("doc_id", order).mapInArrow(walk, kind)
+
+
 def nest_by_level(rows: DataFrame) -> DataFrame:
     """``rows`` with ``parent``: the nearest earlier row of a smaller level."""
-    j = rows.select(F.col("doc_id").alias("d"), F.col("i").alias("j"), F.col("level").alias("lj"))
-    up = rows.select("doc_id", "i", "level").join(j, (F.col("doc_id") == F.col("d")) & (F.col("j") < F.col("i")) & (F.col("lj") < F.col("level"))).groupBy("doc_id", "i").agg(F.max("j").alias("parent"))
-    return rows.join(up, ["doc_id", "i"], "left")
+    return nearest(rows, "level", "i", "parent")
 
 
 def end_page_by_level(rows: DataFrame) -> DataFrame:
     """``rows`` with ``end_page``: a page before the next row that isn't deeper, at least the start; else the last page."""
-    j = rows.select(F.col("doc_id").alias("d"), F.col("i").alias("j"), F.col("level").alias("lj"), F.col("start_page").alias("sj"))
-    nxt = rows.select("doc_id", "i", "level").join(j, (F.col("doc_id") == F.col("d")) & (F.col("j") > F.col("i")) & (F.col("lj") <= F.col("level"))).groupBy("doc_id", "i").agg(F.min_by("sj", "j").alias("then"))
     end = F.greatest(F.col("start_page"), F.coalesce(F.col("then") - 1, F.col("total_pages")))
-    return rows.join(nxt, ["doc_id", "i"], "left").withColumn("end_page", F.when(F.col("then").isNotNull(), end).otherwise(F.col("total_pages"))).drop("then")
+    return nearest(rows, "level", "start_page", "then", later=True).withColumn("end_page", F.when(F.col("then").isNotNull(), end).otherwise(F.col("total_pages"))).drop("then")
 
 
 def ords_from_parents(rows: DataFrame) -> DataFrame:

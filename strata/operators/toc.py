@@ -52,18 +52,25 @@ def fragments(layouts: DataFrame) -> DataFrame:
 def group_rows(frags: DataFrame, tolerance: float = 8.0) -> DataFrame:
     """``frags`` with ``row``: fragments in (y0, x0) order join the current row while y0 is within ``tolerance`` of its first.
 
-    The first of a row has its least y0, so only the newest row can match; one fold a page.
+    A row depends on y0 alone: a fold over a page's distinct y0 keeps only those that open a row, and
+    a running count numbers the others. Fragments without y0 are one row, before all others.
     """
-    f = frags.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "pos"))).alias("f"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<struct<pos:int,row:int>>").alias("out"))
+    y = frags.select("doc_id", "page", "y0").distinct()
+    # A gap beyond the tolerance always opens a row, so a fold never spans one.
+    along = Window.partitionBy("doc_id", "page").orderBy("y0")
+    parts = y.filter("y0 IS NOT NULL").withColumn("cut", F.when(F.col("y0") - F.lag("y0").over(along) <= tolerance, 0).otherwise(1)).withColumn("part", F.sum("cut").over(along))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("out"))
 
     def step(acc, x):
-        opens = acc["anchor"].isNull() | (x["y0"] - acc["anchor"] > tolerance)
-        row = acc["row"] + F.when(opens, 1).otherwise(0)
-        return F.struct(F.when(opens, x["y0"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.array_append(acc["out"], F.struct(x["pos"].cast("int").alias("pos"), row.alias("row"))).alias("out"))
+        opens = acc["anchor"].isNull() | (x - acc["anchor"] > tolerance)
+        return F.when(opens, F.struct(x.alias("anchor"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
 
-    rows = f.select("doc_id", "page", F.explode(F.aggregate("f", start, step, lambda acc: acc["out"])).alias("r")).select("doc_id", "page", "r.pos", "r.row")
-    return frags.join(rows, ["doc_id", "page", "pos"])
+    listed = parts.groupBy("doc_id", "page", "part").agg(F.array_sort(F.collect_list(F.col("y0").cast("double"))).alias("y"))
+    opening = listed.select("doc_id", "page", F.explode(F.aggregate("y", start, step, lambda acc: acc["out"])).alias("y0"), F.lit(1).alias("opens"))
+    numbered = y.withColumn("y", F.col("y0").cast("double")).join(opening.withColumnRenamed("y0", "y"), ["doc_id", "page", "y"], "left")
+    opens = F.when(F.col("y0").isNull(), 1).otherwise(F.coalesce("opens", F.lit(0)))
+    numbered = numbered.withColumn("row", (F.sum(opens).over(along) - 1).cast("int")).select(F.col("doc_id").alias("d"), F.col("page").alias("p"), F.col("y0").alias("at"), "row")
+    return frags.join(numbered, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("page").eqNullSafe(F.col("p")) & F.col("y0").eqNullSafe(F.col("at"))).drop("d", "p", "at")
 
 
 def visual_lines(frags: DataFrame, tolerance: float = 8.0) -> DataFrame:
@@ -103,6 +110,23 @@ def printed_entries(lines: DataFrame, selected: DataFrame) -> DataFrame:
     return infer_levels(e)
 
 
+def select_pages(pages: DataFrame, given: list[int] | None = None, auto_detect: bool = True, max_scan_pages: int = 20) -> DataFrame:
+    """(doc_id, page, toc_pos) of the pages to read entries from: the given ones, else those that toc_pages() finds, else none."""
+    if given is not None:
+        listed = F.posexplode(F.array(*[F.lit(int(p)) for p in given]).cast("array<int>")).alias("toc_pos", "page")
+        return pages.select("doc_id").distinct().select("doc_id", listed).select("doc_id", "page", "toc_pos")
+    if not auto_detect:
+        return pages.select("doc_id", F.col("page").cast("int").alias("page"), F.lit(0).alias("toc_pos")).limit(0)
+    found = toc_pages(pages, max_scan_pages)
+    return found.select("doc_id", "page", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1).alias("toc_pos"))
+
+
+def entries(embedded: DataFrame, lines: DataFrame, pages: DataFrame, given: list[int] | None = None, prefer_embedded: bool = True, auto_detect: bool = True, max_scan_pages: int = 20) -> DataFrame:
+    """TOC entries of each document: embedded ones first if they are preferred, else from printed pages alone."""
+    printed = printed_entries(lines, select_pages(pages, given, auto_detect, max_scan_pages))
+    return hybrid(embedded if prefer_embedded else embedded.limit(0), printed)
+
+
 def hybrid(embedded: DataFrame, printed: DataFrame) -> DataFrame:
     """Embedded entries where a document has any, else its printed ones."""
     columns = ["doc_id", "order", "level", "title", "number", "page", "total_pages", "source"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
+from strata.staging import staged
 
 # The vocabularies of nodes, edges and legal containment.
 KINDS = ["COURSE", "MODULE", "UNIT", "KC"]
@@ -70,11 +71,13 @@ def has_cycle(edges: list[tuple[str, str]]) -> bool:
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """All violations: one pass over the nodes, one over all edges, one over containment and two over sequence edges."""
-    e = with_ends(nodes, edges).persist()  # e, c and the degrees feed several of the passes
+    e = staged(with_ends(nodes, edges), "edges")  # e, c and the degrees feed several of the passes
     c = e.filter("type = 'contains' AND s IS NOT NULL AND t IS NOT NULL")
     c = c.withColumns({"parents": F.count("*").over(Window.partitionBy("graph_id", "target")), "key": T.normalize_key("t.title")})
-    c = c.withColumns({"twin": F.row_number().over(Window.partitionBy("graph_id", "source", "key").orderBy("pos")), "place": F.row_number().over(Window.partitionBy("graph_id", "source").orderBy("pos")) - 1}).persist()
-    indegree = c.groupBy(F.col("graph_id").alias("cg"), F.col("target").alias("ci")).agg(F.count("*").alias("parents"), F.min("source").alias("only_parent"), F.min("place").alias("place")).persist()
+    c = c.withColumns({"twin": F.row_number().over(Window.partitionBy("graph_id", "source", "key").orderBy("pos")), "place": F.row_number().over(Window.partitionBy("graph_id", "source").orderBy("pos")) - 1})
+    c = staged(c, "containment")
+    indegree = c.groupBy(F.col("graph_id").alias("cg"), F.col("target").alias("ci")).agg(F.count("*").alias("parents"), F.min("source").alias("only_parent"), F.min("place").alias("place"))
+    indegree = staged(indegree, "indegree")
     outdegree = c.groupBy(F.col("graph_id").alias("og"), F.col("source").alias("oi")).agg(F.count("*").alias("children"))
     n = nodes.join(indegree.drop("place"), (F.col("graph_id") == F.col("cg")) & (F.col("id") == F.col("ci")), "left").join(outdegree, (F.col("graph_id") == F.col("og")) & (F.col("id") == F.col("oi")), "left")
     n = n.withColumns({"parents": F.coalesce("parents", F.lit(0)), "children": F.coalesce("children", F.lit(0)), "clean": T.clean_text("title"), "rank": F.row_number().over(Window.partitionBy("graph_id", "id").orderBy("pos"))})
@@ -112,7 +115,7 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     }
     q = e.filter("type = 'sequence'").withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "source", "target").orderBy("pos")))
     siblings, broken = sequence_siblings(indegree, q)
-    siblings = siblings.persist()
+    siblings = staged(siblings, "siblings")
     graphs = nodes.select("graph_id", (F.col("kind") == "COURSE").alias("root")).unionByName(edges.select("graph_id", F.lit(False).alias("root")))
     roots = graphs.groupBy("graph_id").agg(F.count_if("root").alias("roots")).filter("roots <> 1")
     ends = {"source": "source", "target": "target"}

@@ -62,13 +62,8 @@ def text_normalize_key(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.normalize_key("text")).alias("k"))
 
 
-@query(f"SELECT conv_id, turn, {SLUG.format('substring(text, 1, 60)')} AS slug FROM conversations")
-def text_slug(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", T.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
 @query(f"SELECT conv_id, turn, md5({SLUG.format('text')}) AS slug, CAST(length({SLUG.format('text')}) AS BIGINT) AS n FROM conversations")
-def text_slug_whole(spark, d):
+def text_slug(spark, d):
     """The slug of the whole text, as its digest and length."""
     s = T.slugify("text")
     return read(spark, d, "conversations").select("conv_id", "turn", F.md5(s).alias("slug"), F.length(s).cast("long").alias("n"))
@@ -200,7 +195,7 @@ def outline_normalize_two_passes(spark, d):
     return O.normalize(X.outline(spark, d, "dup", root=True), passes=2).select("doc_id", key().alias("ord"), "title", "start_page", "end_page")
 
 
-@query(_with("geo") + "SELECT doc_id, count(*) + 1 AS sections FROM geo GROUP BY doc_id")
+@query(_with("geo") + f"SELECT doc_id, {ORD} AS ord, title, number, CAST(start_page AS BIGINT) AS start_page, CAST(end_page AS BIGINT) AS end_page FROM geo UNION ALL SELECT DISTINCT doc_id, '', 'Course', NULL, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM geo")
 def outline_flatten(spark, d):
     """JSON trees of the courses, built and flattened again."""
     g = X.frame(spark, d, "geo")
@@ -210,7 +205,7 @@ def outline_flatten(spark, d):
     mid = g.filter("o2 > 0 AND o3 = 0").join(low, ["doc_id", "o1", "o2"], "left").groupBy("doc_id", "o1").agg(of(sec(F.col("kids")), "o2").alias("kids"))
     top = g.filter("o2 = 0").join(mid, ["doc_id", "o1"], "left").groupBy("doc_id").agg(of(sec(F.col("kids")), "o1").alias("sections"))
     trees = top.select("doc_id", F.to_json(F.struct(F.lit("Course").alias("title"), "sections")).alias("json"))
-    return O.flatten_outlines(trees).groupBy("doc_id").agg(F.count("*").alias("sections"))
+    return O.flatten_outlines(trees).select("doc_id", key().alias("ord"), "title", "number", "start_page", "end_page")
 
 
 @query(_with("flat") + "SELECT f.doc_id, f.i, (SELECT max(g.i) FROM flat g WHERE g.doc_id = f.doc_id AND g.i < f.i AND g.level < f.level) AS parent FROM flat f")
@@ -229,15 +224,14 @@ def end_page_by_level(spark, d):
 
 @query(
     _with("head")
-    + f""", e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS x FROM head),
-  p AS (SELECT f.doc_id, f.i, (SELECT max(g.i) FROM head g WHERE g.doc_id = f.doc_id AND g.i < f.i AND g.level < f.level) AS parent FROM head f)
-  SELECT h.doc_id, h.i, {SLUG.format('h.text')} AS slug, CAST(count(q.i) AS BIGINT) AS sibling FROM head h JOIN p ON p.doc_id = h.doc_id AND p.i = h.i JOIN p q ON q.doc_id = p.doc_id AND q.parent IS NOT DISTINCT FROM p.parent AND q.i <= p.i GROUP BY h.doc_id, h.i, h.text"""
+    + f""", p AS (SELECT f.doc_id, f.i, (SELECT max(g.i) FROM head g WHERE g.doc_id = f.doc_id AND g.i < f.i AND g.level < f.level) AS parent, (SELECT min_by(g.start_page, g.i) FROM head g WHERE g.doc_id = f.doc_id AND g.i > f.i AND g.level <= f.level) AS nxt FROM head f),
+  s AS (SELECT p.doc_id, p.i, p.parent, p.nxt, CAST(count(q.i) AS STRING) AS k FROM p JOIN p q ON q.doc_id = p.doc_id AND q.parent IS NOT DISTINCT FROM p.parent AND q.i <= p.i GROUP BY ALL)
+  SELECT h.doc_id, concat_ws('.', c.k, b.k, a.k) AS ord, {SLUG.format('h.text')} AS slug, h.text AS title, coalesce({DECIMAL.format('h.text')}, {ROMAN.format('h.text')}) AS number, CASE WHEN a.nxt IS NULL THEN total_pages ELSE greatest(start_page, a.nxt - 1) END AS end_page
+  FROM head h JOIN s a ON a.doc_id = h.doc_id AND a.i = h.i LEFT JOIN s b ON b.doc_id = a.doc_id AND b.i = a.parent LEFT JOIN s c ON c.doc_id = b.doc_id AND c.i = b.parent"""
 )
 def hierarchical_outline(spark, d):
     e = X.frame(spark, d, "head").withColumnRenamed("text", "title").withColumn("number", T.extract_number("title"))
-    nested = O.nest_by_level(e)
-    o = nested.join(O.ords_from_parents(nested), ["doc_id", "i"])
-    return o.select("doc_id", "i", T.slugify("title").alias("slug"), F.element_at("ord", -1).cast("long").alias("sibling"))
+    return O.hierarchical_outline(e).select("doc_id", key().alias("ord"), "slug", "title", "number", "end_page")
 
 
 FIRST_END = "SELECT doc_id, o1, o2, o3, CASE WHEN start_page IS NOT NULL THEN greatest(start_page, coalesce(nxt - 1, 99)) END AS e FROM (SELECT *, first_value(start_page IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY o1, o2, o3 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM geo) x"
@@ -300,9 +294,9 @@ WALK = """i AS (SELECT doc_id, self_ref AS ref, parent_ref AS up, label, name FR
     WHERE starts_with(w.ref, '#/tables/') OR starts_with(w.ref, '#/pictures/') OR i.label IN ('key_value_area', 'form_area') OR starts_with(i.name, 'rich_cell_group'))"""
 
 
-@query(f"WITH RECURSIVE items AS ({X.sql('items')}), {WALK} SELECT doc_id, self_ref, count(*) AS n FROM w GROUP BY ALL")
+@query(f"WITH RECURSIVE items AS ({X.sql('items')}), {WALK} SELECT DISTINCT doc_id, self_ref, ref FROM w")
 def ancestor_closure(spark, d):
-    return H.ancestors(X.frame(spark, d, "items")).groupBy("doc_id", "self_ref").agg(F.count("*").alias("n"))
+    return H.ancestors(X.frame(spark, d, "items"))
 
 
 @query(f"WITH RECURSIVE items AS ({X.sql('items')}), {WALK} SELECT doc_id, self_ref FROM loc")

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from strata.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["heading_extract_number", "toc_line_parse", "toc_noise", "title_profiles", "stable_ids", "outline_spans", "outline_paths", "end_page_by_level", "heading_hierarchy", "ancestor_exclusion", "row_grouping", "toc_page_topk", "page_blob", "graph_nodes", "graph_edge_order", "violations_detail", "eval_set_metrics", "run_stats"]
+CHECKED = ["nest_by_level", "outline_flatten", "ancestor_closure", "hierarchical_outline", "graph_envelope", "summary_overview", "eval_near_matches_first", "eval_page_micro", "run_mean_dice", "heading_extract_number", "toc_line_parse", "toc_noise", "title_profiles", "stable_ids", "outline_spans", "outline_paths", "end_page_by_level", "heading_hierarchy", "ancestor_exclusion", "row_grouping", "toc_page_topk", "page_blob", "graph_nodes", "graph_edge_order", "violations_detail", "eval_set_metrics", "run_stats"]
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +37,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["graph_id", "type", "n"]
+    df = entry.entry(spark)
+    assert df.columns == ["graph_id", "type", "n"]
+    assert len(df._jdf.queryExecution().toString()) < 100_000
+    assert all(r["n"] > 0 for r in df.collect())

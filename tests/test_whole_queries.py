@@ -28,7 +28,7 @@ def against_sql(spark, con, name):
 
 
 def test_run_dice_of_every_graph(spark, con):
-    got = against_sql(spark, con, "run_dice_by_graph")
+    got = against_sql(spark, con, "run_dice")
     graphs = {r[0] for r in con.sql("SELECT r_regionkey FROM region").fetchall()}
     assert len(graphs) == 5 and {r["graph_id"] for r in got} == graphs
     assert all(r["run_a"] // 10 == r["run_b"] // 10 == r["graph_id"] for r in got)
@@ -42,6 +42,6 @@ def test_run_dice_of_every_graph(spark, con):
 
 
 def test_slug_of_the_whole_text(spark, con):
-    got = against_sql(spark, con, "text_slug_whole")
+    got = against_sql(spark, con, "text_slug")
     long = con.sql("SELECT count(*) FROM conversations WHERE length(text) > 200").fetchall()[0][0]
     assert long and sum(r["n"] > 60 for r in got) >= long / 2
