@@ -86,11 +86,16 @@ def set_metrics(gold: Canonical, pred: Canonical) -> DataFrame:
     return m.select("graph_id", "relation", "tp", "fp", "fn", *[c.alias(k) for k, c in T.prf1(tp, fp, fn).items()], T.jaccard(tp, tp + fn, tp + fp).alias("jaccard"))
 
 
-def page_grounding(gold: Canonical, pred: Canonical) -> DataFrame:
-    """(graph_id, title, tp, fp, fn) of the titles that both ground."""
+def _shared_pages(gold: Canonical, pred: Canonical) -> DataFrame:
+    """(graph_id, title, g, p, tp, fp, fn): the pages of the titles that both ground."""
     g, p = gold.pages.withColumnRenamed("pages", "g"), pred.pages.withColumnRenamed("pages", "p")
     size = lambda c: F.size(c).cast("long")
-    return g.join(p, ["graph_id", "title"]).select("graph_id", "title", size(F.array_intersect("g", "p")).alias("tp"), size(F.array_except("p", "g")).alias("fp"), size(F.array_except("g", "p")).alias("fn"), (F.size("p") > 0).alias("grounded"))
+    return g.join(p, ["graph_id", "title"]).withColumns({"tp": size(F.array_intersect("g", "p")), "fp": size(F.array_except("p", "g")), "fn": size(F.array_except("g", "p"))})
+
+
+def page_grounding(gold: Canonical, pred: Canonical) -> DataFrame:
+    """(graph_id, title, tp, fp, fn, grounded) of the titles that both ground."""
+    return _shared_pages(gold, pred).select("graph_id", "title", "tp", "fp", "fn", (F.size("p") > 0).alias("grounded"))
 
 
 def page_grounding_micro(gold: Canonical, pred: Canonical) -> DataFrame:
@@ -146,13 +151,56 @@ def carried_validation(graphs: DataFrame) -> DataFrame:
     return graphs.select("graph_id", F.coalesce(get("$.validation.ok"), get("$.metadata.validation_ok")).cast("boolean").alias("validation_ok"), count.cast("long").alias("violation_count"))
 
 
-def report(gold: Canonical, pred: Canonical) -> DataFrame:
-    """One JSON text a pair: metrics rounded as the report shows them. For the sink, not for queries."""
+# What the report calls the relations, and how many near matches it lists.
+REPORTED = {"titles": "nodes_by_title", "title_kind": "nodes_by_title_and_kind", "contains": "contains", "sequence": "sequence"}
+NEAR_EXAMPLES = 50
+
+
+def report(gold: Canonical, pred: Canonical, validation: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
+    """(graph_id, json): inputs, summary, metrics and details of each pair, ratios rounded as the report shows them.
+
+    ``validation`` is (graph_id, validation_ok, violation_count), ``inputs`` (graph_id, gold, pred, include_course).
+    For the sink: lists of a pair are gathered here, in the order of their texts.
+    """
     r = lambda c: T.py_round(F.col(c), F.lit(6)).alias(c)
-    sets = set_metrics(gold, pred).groupBy("graph_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("relation", "tp", "fp", "fn", r("precision"), r("recall"), r("f1"), r("jaccard"))))).alias("sets"))
-    pages = page_grounding_micro(gold, pred).select("graph_id", F.to_json(F.struct("tp", "fp", "fn", r("precision"), r("recall"), r("f1"), r("grounded_kc_rate"))).alias("pages"))
-    kinds = kind_accuracy(gold, pred).select("graph_id", F.to_json(F.struct("matched_titles", r("title_kind_accuracy"))).alias("kinds"))
-    return sets.join(pages, "graph_id", "left").join(kinds, "graph_id", "left").select("graph_id", F.concat(F.lit('{"sets":'), "sets", F.lit(',"pages":'), F.coalesce("pages", F.lit("null")), F.lit(',"kinds":'), F.coalesce("kinds", F.lit("null")), F.lit("}")).alias("json"))
+    of = lambda rows, value, name: rows.groupBy("graph_id").agg(F.array_sort(F.collect_list(value)).alias(name))
+    rates = ["tp", "fp", "fn", r("precision"), r("recall"), r("f1")]
+    zero = F.from_json(F.lit('{"tp":0,"fp":0,"fn":0,"precision":0.0,"recall":0.0,"f1":0.0,"jaccard":1.0}'), "tp long, fp long, fn long, precision double, recall double, f1 double, jaccard double")
+    sets = set_metrics(gold, pred).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("relation", F.struct(*rates, r("jaccard"))))).alias("sets"))
+    found = lambda k: F.coalesce(F.try_element_at("sets", F.lit(k)), zero)
+    micro = page_grounding_micro(gold, pred).select("graph_id", F.struct(*rates, r("grounded_kc_rate")).alias("micro"))
+    kinds = kind_accuracy(gold, pred).select("graph_id", F.struct(r("title_kind_accuracy"), "matched_titles").alias("kinds"))
+    each = _shared_pages(gold, pred)
+    each = each.withColumns(T.prf1(F.col("tp"), F.col("fp"), F.col("fn")))
+    pages = of(each, F.struct("title", F.struct(F.array_sort("g").alias("gold_pages"), F.array_sort("p").alias("pred_pages"), *rates).alias("v")), "page_list")
+    agreed = of(kind_agreement(gold, pred), F.struct("title", F.struct("gold_kinds", "pred_kinds", "match").alias("v")), "kind_list")
+    confusion = of(kind_confusion(gold, pred), F.struct("gold", "pred", F.col("n").alias("count")), "confusion")
+    d = differences(gold, pred)
+    sides = [f"{side}_{k}" for k in ("titles", "contains", "sequence") for side in ("missing", "extra")]
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("difference") == k, F.col("a") if k.endswith("titles") else F.array("a", "b")))).alias(k)
+    lists = d.groupBy("graph_id").agg(*[listed(k) for k in sides]).select("graph_id", F.struct(*sides).alias("differences"))
+    near = near_matches(gold, pred, NEAR_EXAMPLES).groupBy("graph_id").agg(F.struct(F.max("count").alias("count"), F.array_sort(F.collect_list(F.struct("text_norm", "gold_candidates", "pred_candidates"))).alias("examples")).alias("near"))
+    out = gold.titles.select("graph_id").union(pred.titles.select("graph_id")).distinct()
+    for part in (sets, micro, kinds, pages, agreed, confusion, lists, near):
+        out = out.join(part, "graph_id", "left")
+    if validation is None:
+        out = out.withColumn("checked", F.struct(F.lit(None).cast("boolean").alias("ok"), F.lit(0).cast("long").alias("violation_count")))
+    else:
+        out = out.join(validation.select("graph_id", F.struct(F.col("validation_ok").alias("ok"), "violation_count").alias("checked")), "graph_id", "left")
+    if inputs is None:
+        out = out.withColumn("inputs", F.lit(None).cast("struct<gold:string,pred:string,include_course:boolean>"))
+    else:
+        out = out.join(inputs.select("graph_id", F.struct("gold", "pred", "include_course").alias("inputs")), "graph_id", "left")
+    or_empty = lambda c: F.coalesce(c, F.from_json(F.lit("{}" if c == "differences" else "[]"), out.schema[c].dataType))
+    total = lambda k, side: (found(k)["tp"] + found(k)[side])
+    summary = F.struct(*[total(k, side).alias(f"{name}_{what}_count") for k, what in (("titles", "node"), ("contains", "contains"), ("sequence", "sequence")) for name, side in (("gold", "fn"), ("pred", "fp"))])
+    nothing = F.from_json(F.lit('{"tp":0,"fp":0,"fn":0,"precision":0.0,"recall":0.0,"f1":0.0,"grounded_kc_rate":0.0}'), out.schema["micro"].dataType)
+    none = F.from_json(F.lit('{"title_kind_accuracy":0.0,"matched_titles":0}'), out.schema["kinds"].dataType)
+    metrics = F.struct(*[found(k).alias(name) for k, name in REPORTED.items()], F.coalesce("micro", nothing).alias("page_grounding"), F.coalesce("kinds", none).alias("kind_agreement"), F.col("checked").alias("pred_validation"))
+    empty = F.from_json(F.lit('{"count":0,"examples":[]}'), out.schema["near"].dataType)
+    by_title = lambda c: F.map_from_entries(or_empty(c))
+    details = F.struct(by_title("page_list").alias("page_grounding_per_title"), by_title("kind_list").alias("kind_agreement_per_title"), or_empty("confusion").alias("kind_confusion"), or_empty("differences").alias("differences"), F.coalesce("near", empty).alias("text_only_near_matches"))
+    return out.select("graph_id", F.to_json(F.struct("inputs", summary.alias("summary"), metrics.alias("metrics"), details.alias("details")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def gold_relations(gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

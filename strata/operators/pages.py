@@ -28,10 +28,12 @@ def prompts(blobs: DataFrame, rules: str, outlines: DataFrame | None = None) ->
 
 def response_text(responses: DataFrame) -> DataFrame:
     """(doc_id, text) of recorded responses (doc_id, json): output_text, else the message's content, a text or a list of parts joined by newlines."""
-    get = lambda p: F.get_json_object("json", p)
-    content = get("$.choices[0].message.content")
-    parts = F.array_join(F.transform(F.from_json(content, "array<struct<text:string>>"), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
-    return responses.select("doc_id", F.coalesce(get("$.output_text"), F.when(F.startswith(content, F.lit("[")), parts).otherwise(content), F.lit("")).alias("text"))
+    whole = F.try_parse_json("json")
+    content = F.try_variant_get(whole, "$.choices[0].message.content", "variant")
+    listed = F.startswith(F.schema_of_variant(content), F.lit("ARRAY"))  # by type: a text may start with a bracket
+    parts = F.array_join(F.transform(F.from_json(F.to_json(content), "array<struct<text:string>>"), lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    said = F.when(listed, parts).otherwise(F.try_variant_get(content, "$", "string"))
+    return responses.select("doc_id", F.coalesce(F.try_variant_get(whole, "$.output_text", "string"), said, F.lit("")).alias("text"))
 
 
 def lenient_json(texts: DataFrame, column: str = "text") -> DataFrame:

@@ -342,9 +342,9 @@ def error_counters(spark, d):
 
 @query(
     EVAL
-    + """ SELECT graph_id, error, count(*) AS n FROM (SELECT graph_id, concat(CASE WHEN ig THEN 'missing_' ELSE 'extra_' END, relation) AS error FROM dd WHERE ig <> ih AND relation <> 'title_kind'
-  UNION ALL SELECT g.graph_id, 'wrong_kinds' FROM gt g JOIN ht h ON h.graph_id = g.graph_id AND h.t = g.t WHERE g.kind <> h.kind
-  UNION ALL SELECT graph_id, 'page_errors' FROM pg WHERE ng > 0 AND fp + fn > 0) x GROUP BY ALL"""
+    + """ SELECT graph_id, error, count(*) AS n FROM (SELECT graph_id, concat(CASE WHEN ig THEN 'missing_' ELSE 'extra_' END, relation, CASE relation WHEN 'titles' THEN '' ELSE '_edges' END) AS error FROM dd WHERE ig <> ih AND relation <> 'title_kind'
+  UNION ALL SELECT g.graph_id, 'wrong_node_kinds' FROM gt g JOIN ht h ON h.graph_id = g.graph_id AND h.t = g.t WHERE g.kind <> h.kind
+  UNION ALL SELECT graph_id, 'page_grounding_errors' FROM pg WHERE ng > 0 AND fp + fn > 0) x GROUP BY ALL"""
 )
 def error_matrix(spark, d):
     """The eight counters under the evaluator's titles, long and without zeros."""
@@ -357,10 +357,25 @@ def focus_children(spark, d):
     return R.focus_children(E.differences(*_pair(spark, d)), ["1.1. automobile", "2.1. automobile"])
 
 
-@query()
+@query(
+    EVAL
+    + """ SELECT * FROM (SELECT graph_id, b AS child, bool_or(ig AND a = '1.1. automobile') AS missing, bool_or(ih AND a = '1.1. automobile') AS extra, bool_or(ih AND a = '2.1. automobile') AS extra_elsewhere
+  FROM dd WHERE ig <> ih AND relation = 'contains' GROUP BY ALL) x WHERE missing OR extra OR extra_elsewhere"""
+)
+def attachment_edges(spark, d):
+    return R.attachment_edges(E.differences(*_pair(spark, d)), "1.1. automobile", "2.1. automobile")
+
+
+@query(
+    EVAL
+    + """, st AS (SELECT t, graph_id, bool_or(ig AND NOT ih) AS missing, bool_or(ih AND NOT ig) AS extra FROM (SELECT graph_id, a AS t, ig, ih FROM dd WHERE relation = 'titles') x GROUP BY ALL),
+  wk AS (SELECT g.graph_id, g.t, string_agg(DISTINCT g.kind, ', ' ORDER BY g.kind) AS gk, string_agg(DISTINCT h.kind, ', ' ORDER BY h.kind) AS hk FROM gt g JOIN ht h ON h.graph_id = g.graph_id AND h.t = g.t GROUP BY ALL HAVING count(*) FILTER (g.kind = h.kind) = 0)
+  SELECT st.graph_id, st.t AS title, CASE WHEN missing THEN 'missing' WHEN extra THEN 'extra' WHEN gk IS NOT NULL THEN 'wrong_kind' ELSE 'matched' END AS style, CASE WHEN gk IS NULL THEN '' ELSE concat('kind: ', gk, ' → ', hk) END AS kinds FROM st LEFT JOIN wk ON wk.graph_id = st.graph_id AND wk.t = st.t"""
+)
 def figure_styles(spark, d):
     g, p = _pair(spark, d)
-    return R.node_styles(g.titles.unionByName(p.titles).distinct(), E.differences(g, p), R.wrong_kind_map(E.kind_agreement(g, p)))
+    styles = R.node_styles(g.titles.unionByName(p.titles).distinct(), E.differences(g, p), R.wrong_kind_map(E.kind_agreement(g, p)))
+    return styles.select("graph_id", "title", "style", F.regexp_extract("label", r"\n(kind: .*)$", 1).alias("kinds"))
 
 
 # Stability ----------------------------------------------------------------------------------------

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, json): one row a file, the file name without folder and extension as doc_id."""
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return spark.read.text(path, wholetext=True).select(stem.alias("doc_id"), F.col("value").alias("json"))
+    """(doc_id, json): one row a file. doc_id is the file's path below ``path`` (below its last folder without wildcards) without extension.
+
+    So files of one name in the folders of several documents stay apart.
+    """
+    root = re.split(r"[*?\[{]", path)[0]
+    root = root[: root.rfind("/") + 1] if len(root) < len(path) else root.rstrip("/") + "/"
+    root = re.sub(r"^\w+:/+", "/", root)
+    name = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"\.[^./]*$", "")
+    below = F.when(F.contains(name, F.lit(root)), F.element_at(F.split(name, re.escape(root), 2), 2)).otherwise(F.element_at(F.split(name, "/"), -1))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.col("value").alias("json"))
+    return rows.select(below.alias("doc_id"), "json")
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -89,19 +89,56 @@ def pretty_json(text: str) -> str:
     return json.dumps(json.loads(text), ensure_ascii=False, indent=2)
 
 
-def error_csv(wide: DataFrame) -> DataFrame:
-    """(graph_id, line): a document and its counters joined by commas, no quoting."""
-    return wide.select("graph_id", F.concat_ws(",", F.col("graph_id").cast("string"), *[F.col(c).cast("string") for c in COUNTERS]).alias("line"))
+def error_csv(wide: DataFrame, name: str = "graph_id") -> DataFrame:
+    """(part, document, line): a header, then each document and its counters joined by commas, without quoting."""
+    rows = wide.select(F.lit(1).alias("part"), F.col(name).cast("string").alias("document"), F.concat_ws(",", F.col(name).cast("string"), *[F.col(c).cast("string") for c in COUNTERS]).alias("line"))
+    return _headed(rows, [",".join(["document", *COUNTERS])])
 
 
-def error_markdown(wide: DataFrame, most: int = 1000) -> str:
-    """A pipe table of at most ``most`` documents; a report for people, gathered on the driver."""
-    rows = [" | ".join(["Document", *(LABELS[c] for c in COUNTERS)]), "|".join(["---"] * (1 + len(COUNTERS)))]
-    rows += [" | ".join(str(r[c]) for c in ("graph_id", *COUNTERS)) for r in wide.orderBy("graph_id").limit(most).collect()]
-    return "\n".join(f"| {r} |" if "---" not in r else f"|{r}|" for r in rows) + "\n"
+def error_markdown(wide: DataFrame, name: str = "graph_id") -> DataFrame:
+    """(part, document, line): heading and pipe table of every document."""
+    cells = F.concat_ws(" | ", F.col(name).cast("string"), *[F.col(c).cast("string") for c in COUNTERS])
+    rows = wide.select(F.lit(1).alias("part"), F.col(name).cast("string").alias("document"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    return _headed(rows, ["# Structural Error Report", "", f"| {' | '.join(['document', *(LABELS[c] for c in COUNTERS)])} |", "|---" * (1 + len(COUNTERS)) + "|"])
 
 
-def evaluation_markdown(metrics: DataFrame, most: int = 1000) -> str:
-    rows = metrics.orderBy("graph_id", "relation").limit(most).collect()
-    lines = ["| Graph | Relation | Precision | Recall | F1 | Jaccard |", "|---|---|---|---|---|---|"]
-    return "\n".join(lines + [f"| {r['graph_id']} | {r['relation']} | {round(r['precision'], 6)} | {round(r['recall'], 6)} | {round(r['f1'], 6)} | {round(r['jaccard'], 6)} |" for r in rows]) + "\n"
+def _headed(rows: DataFrame, head: list[str]) -> DataFrame:
+    lines = rows.sparkSession.createDataFrame([(0, f"{k:04d}", line) for k, line in enumerate(head)], "part int, document string, line string")
+    return lines.unionByName(rows)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """(part, document, line) as text files whose names order them."""
+    lines.orderBy("part", "document").select("line").write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+# The labels of the evaluation's metrics.
+METRICS = {"nodes_by_title": "Node recovery (title)", "nodes_by_title_and_kind": "Node recovery (title+kind)", "contains": "Hierarchy recovery (contains)", "sequence": "Order recovery (sequence)"}
+
+
+def _shown(report: dict, comma: str) -> dict[str, str]:
+    """What a summary says of an evaluation, by label."""
+    m = report["metrics"]
+    ratios = lambda x: comma.join(f"{name}={x[key]:.3f}" for name, key in (("P", "precision"), ("R", "recall"), ("F1", "f1")))
+    wide = comma if comma.strip() else 2 * comma
+    out = {label: ratios(m[key]) for key, label in METRICS.items()}
+    out["Page grounding"] = f"{ratios(m['page_grounding'])}{wide}grounded_rate={m['page_grounding']['grounded_kc_rate']:.3f}"
+    out["Kind agreement"] = f"acc={m['kind_agreement']['title_kind_accuracy']:.3f}{wide}matched_titles={m['kind_agreement']['matched_titles']}"
+    out["Pred validation"] = f"ok={m['pred_validation']['ok']}{wide}violations={m['pred_validation']['violation_count']}"
+    return out | {"Text-only near matches": f"count={report['details']['text_only_near_matches']['count']}"}
+
+
+def evaluation_markdown(text: str) -> str:
+    """The Markdown summary of one evaluation report (JSON)."""
+    got = json.loads(text)
+    given = got["inputs"] or {"gold": None, "pred": None, "include_course": False}
+    head = [f"- {label}: `{given[key]}`" for label, key in (("Gold", "gold"), ("Prediction", "pred"), ("Include COURSE", "include_course"))]
+    return "\n".join(["# ECG Evaluation Summary", "", *head, "", *(f"- **{k}**: {v}" for k, v in _shown(got, ", ").items())]) + "\n"
+
+
+def console_summary(text: str) -> str:
+    """The summary of one evaluation report (JSON) for a terminal."""
+    got = json.loads(text)
+    rule = "=" * 72
+    counts = [f"{f'{side.capitalize()} {label}':16s}: {got['summary'][f'{side}_{key}_count']}" for key, label in (("node", "nodes"), ("contains", "contains"), ("sequence", "sequence")) for side in ("gold", "pred")]
+    return "\n".join(["", "ECG evaluation summary", rule, *counts, "-" * 72, *(f"{k:30s} {v}" for k, v in _shown(got, " ").items()), rule]) + "\n"
