@@ -211,21 +211,23 @@ def end_page_by_level(rows: DataFrame) -> DataFrame:
 
 
 def ords_from_parents(rows: DataFrame) -> DataFrame:
-    """(doc_id, i, ord) from parent pointers (null for the top), siblings in the order of i."""
-
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        count: dict = {}
-        ords: dict = {}
-        for i, up in zip(pdf["i"].tolist(), [None if pd.isna(x) else int(x) for x in pdf["parent"]], strict=True):
-            count[up] = count.get(up, 0) + 1
-            ords[i] = [*ords.get(up, []), count[up]]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "i": pdf["i"], "ord": [ords[i] for i in pdf["i"].tolist()]})
-
+    """(doc_id, i, ord) from parent pointers (null for the top), siblings in the order of i; parents come before their children."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.col("parent").cast("double").alias("parent")).groupBy("doc_id").applyInPandas(walk, f"doc_id {kind}, i long, ord array<int>")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: object = walk  # no doc_id
+        for batch in batches:
+            out = []
+            for d, i, up in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != doc:
+                    doc, count, ords = d, {}, {None: []}
+                count[up] = count.get(up, 0) + 1
+                ords[i] = [*ords.get(up, []), count[up]]
+                out.append(ords[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "i", "ord"])
+
+    ordered = rows.select("doc_id", F.col("i").cast("long").alias("i"), F.col("parent").cast("long").alias("parent")).repartition("doc_id").sortWithinPartitions("doc_id", "i")
+    return ordered.mapInArrow(walk, f"doc_id {kind}, i long, ord array<int>")
 
 
 def hierarchical_outline(entries: DataFrame) -> DataFrame:

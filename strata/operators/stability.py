@@ -57,5 +57,7 @@ def run_stats(runs: DataFrame) -> DataFrame:
 def mean_dice(pairs: DataFrame, within: str | None = None) -> DataFrame:
     """(key, mean): each pair's value is rounded to 4 digits before the mean, and the mean again; null below two runs."""
     keys = [within, "key"] if within else ["key"]
-    rounded = pairs.select(*keys, T.py_round(F.col("dice"), F.lit(4)).alias("d"))
-    return rounded.groupBy(*keys).agg(F.avg("d").alias("m")).select(*keys, T.py_round(F.col("m"), F.lit(4)).alias("mean"))
+    rounded = pairs.select(*keys, F.round(T.py_round(F.col("dice"), F.lit(4)) * 10_000).cast("long").alias("d"))
+    # whole ten-thousandths, so that the order of the sum doesn't matter
+    mean = F.sum("d").cast("double") / (F.count("*") * 10_000).cast("double")
+    return rounded.groupBy(*keys).agg(mean.alias("m")).select(*keys, T.py_round(F.col("m"), F.lit(4)).alias("mean"))

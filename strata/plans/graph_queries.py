@@ -422,8 +422,8 @@ def run_stats(spark, d):
 
 @query(
     RUNS
-    + """, ds AS (SELECT x.run_id // 10 AS g, x.key, round(2.0 * (SELECT count(*) FROM ss s JOIN ss t ON s.key = t.key AND s.a = t.a AND s.b = t.b WHERE s.run_id = x.run_id AND t.run_id = y.run_id AND s.key = x.key) / (x.n + y.n), 4) AS d FROM sz x JOIN sz y ON x.key = y.key AND x.run_id < y.run_id AND x.run_id // 10 = y.run_id // 10)
-  SELECT CAST(g AS INT) AS graph_id, key, round(avg(d), 4) AS mean FROM ds GROUP BY ALL"""
+    + """, ds AS (SELECT x.run_id // 10 AS g, x.key, CAST(format('{:.4f}', CAST(2 * (SELECT count(*) FROM ss s JOIN ss t ON s.key = t.key AND s.a = t.a AND s.b = t.b WHERE s.run_id = x.run_id AND t.run_id = y.run_id AND s.key = x.key) AS DOUBLE) / CAST(x.n + y.n AS DOUBLE)) AS DOUBLE) AS d FROM sz x JOIN sz y ON x.key = y.key AND x.run_id < y.run_id AND x.run_id // 10 = y.run_id // 10)
+  SELECT CAST(g AS INT) AS graph_id, key, CAST(format('{:.4f}', CAST(sum(CAST(round(d * 10000) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 10000 AS DOUBLE)) AS DOUBLE) AS mean FROM ds GROUP BY ALL"""
 )
 def run_mean_dice(spark, d):
     n, e = _runs(spark, d)

@@ -319,9 +319,13 @@ def headings_outline(spark, d):
     return H.headings_outline(X.frame(spark, d, "items"), total_pages=200).select("doc_id", key().alias("ord"), "id", "title", "start_page", "end_page")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS (SELECT p_partkey % 20 AS doc_id, p_partkey AS idx, {SLUG.format('split_part(p_name, chr(32), 1)')} AS base, row_number() OVER (PARTITION BY p_partkey % 20, {SLUG.format('split_part(p_name, chr(32), 1)')} ORDER BY p_partkey) AS k FROM part)
+  SELECT doc_id, CAST(idx AS BIGINT) AS idx, CASE WHEN k = 1 THEN base ELSE concat(base, '-', CAST(k AS STRING)) END AS id FROM r"""
+)
 def unique_ids(spark, d):
-    return H.unique_ids(read(spark, d, "part").select((F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("idx"), T.slugify("p_name").alias("base")))
+    """Ids of first words, which repeat and hold no numbers."""
+    return H.unique_ids(read(spark, d, "part").select((F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("idx"), T.slugify(F.split("p_name", " ")[0]).alias("base")))
 
 
 # Tables of contents -------------------------------------------------------------------------------
@@ -365,9 +369,15 @@ def row_grouping(spark, d):
     return C.group_rows(X.frame(spark, d, "frag")).select("doc_id", "page", "pos", "row")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE frag AS ({X.sql('frag')}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos) AS k FROM frag),
+  r AS (SELECT doc_id, page, k, y0 AS anchor, 0 AS g FROM o WHERE k = 1
+    UNION ALL SELECT o.doc_id, o.page, o.k, CASE WHEN o.y0 - r.anchor > 8 THEN o.y0 ELSE r.anchor END, CASE WHEN o.y0 - r.anchor > 8 THEN r.g + 1 ELSE r.g END FROM r JOIN o ON o.doc_id = r.doc_id AND o.page = r.page AND o.k = r.k + 1),
+  l AS (SELECT o.doc_id, o.page, r.g, string_agg(o.text, ' ' ORDER BY o.x0, o.pos, o.text) AS text, min(o.x0) AS x0, min(o.y0) AS y0, max(o.x1) AS x1, max(o.y1) AS y1 FROM o JOIN r ON r.doc_id = o.doc_id AND r.page = o.page AND r.k = o.k GROUP BY ALL)
+  SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, g) - 1 AS INT) AS line_pos, md5(text) AS text, x0, y0, x1, y1 FROM l"""
+)
 def visual_lines(spark, d):
-    return C.visual_lines(X.frame(spark, d, "frag"))
+    return C.visual_lines(X.frame(spark, d, "frag")).withColumn("text", F.md5("text"))
 
 
 @query(_with("frag") + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x0) AS BIGINT) AS cluster, x0 AS center FROM (SELECT DISTINCT doc_id, x0 FROM frag) x")
