@@ -68,7 +68,10 @@ def test_against_brute_force(spark, monkeypatch, kind, hot):
     rng = random.Random(hot)
     rows = list(enumerate(texts(hot)))
     rng.shuffle(rows)
-    rows += [(None, rows[5][1])]
+    # an id with several texts, one of them twice, and words that linear hashes can't tell apart
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows += [(None, rows[5][1]), (7, rows[9][1]), (7, rows[9][1]), (7, rows[20][1] + " more"), (501, f"{x} " * 14), (502, f"{y} " * 14)]
     df = spark.createDataFrame([(t, d, "k", 1) for d, t in rows], "text string, doc_id long, tid string, id int")
     if kind == "bytes":
         got = suffix_dedup.remove_repeats(df, 200).collect()
