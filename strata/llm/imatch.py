@@ -20,7 +20,9 @@ these subsets too, and a likeness is taken over both kinds if either text is thi
 
 The edited text of a document takes the start of the next one by doc_id. Documents are cut into
 ranges of doc_id (quantiles), each range is one window partition, and only the first document of each
-range crosses to the one before.
+range crosses to the one before. A doc_id that is several quantiles at once, and the rows without one,
+are ranges of their own, cut further by the digest of the text; only rows that are equal in both stay
+together.
 
 Nulls: a null text is empty; null doc_ids come first. Repeated rows follow each other in any order. A
 text without terms of three documents has an empty fingerprint; empty fingerprints are alike (1.0) only if the
@@ -30,6 +32,9 @@ columns are not looked at.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,21 +67,41 @@ def _signature(terms_):
     return F.xxhash64(F.array_sort(terms_)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """At most n - 1 boundaries that cut the doc_ids into ranges of like size."""
-    got = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), 10 * n).alias("q")).first()["q"] if n > 1 else None
-    return sorted(set(got or []))
+def _ranges(docs: DataFrame, n: int) -> list[tuple[int | None, int]]:
+    """Ranges of like size in order, as (least doc_id, parts): first that of null, then that below all bounds.
+
+    A doc_id that is k quantiles has about k / n of the rows; for k > 1 it is a range of its own, in k + 1 parts.
+    """
+    q = F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), 10 * n) if n > 1 else F.lit(None).cast("array<long>")
+    got = docs.agg(q.alias("q"), F.count("*").alias("total"), F.count("doc_id").alias("known")).first()
+    times = Counter(got["q"] or [])
+    parts = {bound: k + 1 if k > 1 else 1 for bound, k in times.items()}
+    for bound, k in times.items():
+        if k > 1 and bound < 2**63 - 1:
+            parts.setdefault(bound + 1, 1)
+    nulls = got["total"] - got["known"]
+    return [(None, 1 + nulls * n // max(1, got["total"])), (None, 1), *sorted(parts.items())]
+
+
+def _longs(values: list[int]):
+    """One array literal, however many values there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _range_of(doc_id, bounds: list[int]):
-    """How many bounds are at most doc_id, by two steps of about the root of their number."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    whole, coarse = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(b) for b in bounds[::step]])
-    c = F.size(F.filter(coarse, lambda b: b <= doc_id))
-    fine = F.size(F.filter(F.slice(whole, F.greatest((c - 1) * step + 1, F.lit(1)), F.lit(step)), lambda b: b <= doc_id))
-    return F.when(c == 0, 0).otherwise((c - 1) * step + fine).cast("int")
+def _bucket(doc_id, md5, ranges: list[tuple[int | None, int]]):
+    """The number of a row's part of its range, in the order of doc_id and md5."""
+    bounds = [low for low, _ in ranges[2:]]
+    at = F.lit(1)
+    if bounds:
+        # How many bounds are at most doc_id, by two steps of about the root of their number.
+        step = max(1, round(len(bounds) ** 0.5))
+        c = F.size(F.filter(_longs(bounds[::step]), lambda b: b <= doc_id))
+        fine = F.size(F.filter(F.slice(_longs(bounds), F.greatest((c - 1) * step + 1, F.lit(1)), F.lit(step)), lambda b: b <= doc_id))
+        at = F.when(c == 0, 1).otherwise((c - 1) * step + fine + 1)
+    place = (F.when(doc_id.isNull(), 0).otherwise(at) + 1).cast("int")
+    first = [0, *accumulate(k for _, k in ranges)][:-1]
+    start = F.conv(F.substring(md5, 1, 8), 16, 10).cast("long")
+    return (F.element_at(_longs(first), place) + F.shiftright(start * F.element_at(_longs([k for _, k in ranges]), place), 32)).cast("int")
 
 
 def _follow(firsts: DataFrame, value: str) -> DataFrame:
@@ -100,15 +125,15 @@ def fingerprints(docs: DataFrame, rarest: float = 2e-5, commonest: float = 0.01,
     words = staged(lexicon(base, rarest, commonest), "lexicon")
     if words.count() <= max_broadcast:
         words = F.broadcast(words)
-    bounds = _ranges(base, ranges or min(20_000, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = base.withColumn("bucket", F.coalesce(_range_of(F.col("doc_id"), bounds), F.lit(0)))
+    cut = _ranges(base, ranges or min(20_000, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = base.withColumn("md5", F.md5("text")).withColumn("bucket", _bucket(F.col("doc_id"), F.col("md5"), cut))
     # The first document of each range, for the last one of the range before.
-    firsts = ranged.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.md5("text").alias("md5"))).alias("first"))
+    firsts = ranged.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "md5")).alias("first"))
     following = _follow(firsts, "first").select("b", "following.doc_id", "following.md5")
-    # At most one row for each of the ranges, so at most 20,000.
+    # At most one row for each part of a range, so at most three times 20,000.
     first_text = base.alias("d").join(F.broadcast(following).alias("f"), F.expr("d.doc_id <=> f.doc_id AND md5(d.text) = f.md5")).groupBy("b").agg(F.any_value("d.text").alias("first_text"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), F.col("md5"))
-    rows = ranged.withColumn("md5", F.md5("text")).select("bucket", "doc_id", "md5", "text", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("next"))
+    rows = ranged.select("bucket", "doc_id", "md5", "text", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("next"))
     rows = rows.join(first_text, (F.col("bucket") == F.col("b")) & F.col("next").isNull(), "left")
     size = F.length("text")
     half = F.floor(size / 2).cast("int")

@@ -73,3 +73,25 @@ def test_large_group_of_near_copies(spark):
     assert all(r["near_next"] > 0.5 and r["near_edited"] > 0 for r in group if r["doc_id"] != 10_099)
     rest = [r for r in got if r["doc_id"] < 1899]
     assert sum(r["near_next"] for r in rest) < 0.1 * len(rest)
+
+
+@pytest.mark.parametrize("ranges", [2, 16])
+def test_hot_ids_are_split_in_order(spark, ranges):
+    rng = random.Random(ranges)
+    text = lambda: " ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randrange(1, 30)))
+    rows = [(k, text()) for k in range(-30, 30)] + [(7, text()) for _ in range(90)] + [(None, text()) for _ in range(60)] + [(2**63 - 1, text()) for _ in range(40)]
+    rows += [(7, rows[70][1]), (None, None), (8, "")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((repr(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in imatch.fingerprints(df, ranges=ranges).collect())
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    edited = [t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (_, t) in enumerate(order)]
+    assert got == sorted((repr(d), len(t), hashlib.sha256(e.encode()).hexdigest()) for (d, t), e in zip(order, edited, strict=True))
+    base = df.na.fill("", ["text"]).withColumn("md5", imatch.F.md5("text"))
+    cut = imatch._ranges(base, ranges)
+    bucket = {(r["doc_id"], r["md5"]): r["b"] for r in base.select("doc_id", "md5", imatch._bucket(base["doc_id"], base["md5"], cut).alias("b")).collect()}
+    along = [bucket[d, hashlib.md5(t.encode()).hexdigest()] for d, t in order]
+    assert along == sorted(along)
+    if ranges == 16:
+        assert all(len({b for (d, _), b in bucket.items() if d == hot}) > 2 for hot in (7, None, 2**63 - 1))
+        assert max(along.count(b) for b in set(along)) < 40
