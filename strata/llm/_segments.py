@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import BYTE, SCAN, U64, mix, powers, signed, slices, text_buffers, word_hashes, words
-from strata.llm._shared import discard, staged, tune
+from strata.llm._shared import discard, lean, staged, tune
 
 HOT = 4096
 KEY_BYTES = 256 << 10
@@ -280,7 +280,7 @@ def divide(merged: DataFrame, spec: Windows) -> tuple[DataFrame, list[DataFrame]
         heavy = merged.join(F.broadcast(big), F.col("key") == F.col("big"), "left_semi").select("key", "seg", "least", "count", "n", "content")
         light = merged.join(F.broadcast(big), F.col("key") == F.col("big"), "left_anti")
         done = light if done is None else done.unionByName(light)
-        blocks = staged(heavy.mapInArrow(_cut(width, spec), "key long, seg binary, least long, count long, n long, first long, pkey long, pseg binary, pn long, content binary"), "blocks")
+        blocks = staged(heavy.mapInArrow(lean(_cut(width, spec)), "key long, seg binary, least long, count long, n long, first long, pkey long, pseg binary, pn long, content binary"), "blocks")
         levels.append(blocks.drop("content"))
         merged = blocks.groupBy(F.col("pkey").alias("key"), F.col("pseg").alias("seg"), "content").agg(F.min("least").alias("least"), F.sum("count").alias("count"), F.max("pn").cast("int").alias("n"))
         merged = staged(merged.select("key", "seg", "least", "count", "n", "content"), "divided")
@@ -297,7 +297,7 @@ def gathered(flags: DataFrame, levels: list[DataFrame], rule: str) -> DataFrame:
         parts = every.filter("every OR bits IS NOT NULL").groupBy("of").agg(F.collect_list(F.struct("first", "pn", F.when(F.col("every"), F.lit(None)).otherwise(F.col("bits")).alias("bits"))).alias("parts"))
         whole = blocks.filter("first = 0 AND count > 1").select(F.struct("key", "seg", "least", "count", "n").alias("o"))
         both = parts.join(whole, F.col("of") == F.col("o"), "full").select(F.coalesce("of", "o").alias("of"), F.coalesce("parts", F.expr("CAST(array() AS array<struct<first: bigint, pn: bigint, bits: binary>>)")).alias("parts"))
-        flags = flags.unionByName(both.select("of.*", "parts").select("key", "seg", "least", "count", "n", "parts").mapInArrow(_joined, "key long, seg binary, least long, count long, bits binary"))
+        flags = flags.unionByName(both.select("of.*", "parts").select("key", "seg", "least", "count", "n", "parts").mapInArrow(lean(_joined), "key long, seg binary, least long, count long, bits binary"))
     return flags
 
 
@@ -356,16 +356,16 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     tune(spark)
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
     classes = staged(base.groupBy("tid").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
-    counted = base.select("text").mapInArrow(_anchors(spec), "anchor long, low long, high long, n long, inside boolean").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.bool_or("inside").alias("inside"))
+    counted = base.select("text").mapInArrow(lean(_anchors(spec)), "anchor long, low long, high long, n long, inside boolean").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.bool_or("inside").alias("inside"))
     anchors = staged(counted.filter("low <> high" + (" OR inside" if spec.within else "")).select(F.col("anchor").alias("a"), (F.col("n") > HOT).alias("hot")), "anchors")
     release(spark)
-    pairs = base.select("id", "tid", "text").mapInArrow(_pairs(spec), "anchor long, id long, tid binary").join(anchors, F.col("anchor") == F.col("a"))
+    pairs = base.select("id", "tid", "text").mapInArrow(lean(_pairs(spec)), "anchor long, id long, tid binary").join(anchors, F.col("anchor") == F.col("a"))
     wanted = pairs.groupBy(F.col("id").alias("i"), F.col("tid").alias("t")).agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     first = classes.select(F.col("least").alias("l"), F.col("tid").alias("c"))
     wanted = staged(wanted.join(first, (F.col("i") == F.col("l")) & (F.col("t") == F.col("c")), "left_semi"), "wanted")
     release(spark)
     fetched = base.join(wanted, (F.col("id") == F.col("i")) & (F.col("tid") == F.col("t"))).select("id", "tid", "anchors", "hot", "text")
-    found = staged(fetched.mapInArrow(_contents(spec), "key long, seg binary, id long, tid binary, start long, n int, content binary"), "segments")
+    found = staged(fetched.mapInArrow(lean(_contents(spec)), "key long, seg binary, id long, tid binary, start long, n int, content binary"), "segments")
     release(spark)
     merged = staged(found.groupBy("key", "seg", "content").agg(F.min("id").alias("least"), F.count("*").alias("count"), F.max("n").alias("n")).select("key", "seg", "least", "count", "n", "content"), "merged")
     release(spark)
@@ -375,7 +375,7 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     shards = max(1, -(-total // spec.shard_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 20_000))
     dealt = merged.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "seg", "least", "count", "n", "content").repartition(parts, "shard").sortWithinPartitions("shard", "least", "key", "seg")
-    flags = staged(dealt.mapInArrow(_kernel(run), "key long, seg binary, least long, count long, bits binary"), "flags")
+    flags = staged(dealt.mapInArrow(lean(_kernel(run)), "key long, seg binary, least long, count long, bits binary"), "flags")
     if levels:
         flags = staged(gathered(flags, levels, rule), "gathered")
     release(spark)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import slices
-from strata.llm._shared import staged, tune
+from strata.llm._shared import lean, staged, tune
 from strata.llm.token_file import _byte_letters
 
 CONTROL = re.compile(r"<(\\*)\|")
@@ -117,7 +117,7 @@ def format_turns(conversations: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(masks, pa.binary())], ["conv_id", "turn", "ids", "mask"])
 
     c = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"), F.coalesce(conversations["role"], F.lit("")).alias("role"), F.coalesce(conversations["text"], F.lit("")).alias("text"))
-    return staged(c.mapInArrow(turns, "conv_id long, turn long, ids binary, mask binary"), "chat")
+    return staged(c.mapInArrow(lean(turns), "conv_id long, turn long, ids binary, mask binary"), "chat")
 
 
 def read_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
@@ -140,7 +140,7 @@ def read_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
                 chars.append(len(START) + len(inner) + len(END) + len(codec.decode(seq[end + 1 :])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.string()) for x in (roles, texts, learnt)), pa.array(chars, pa.int64())], ["conv_id", "turn", "role", "text", "learnt", "chars"])
 
-    return turns.select("conv_id", "turn", "ids", "mask").mapInArrow(found, "conv_id long, turn long, role string, text string, learnt string, chars long")
+    return turns.select("conv_id", "turn", "ids", "mask").mapInArrow(lean(found), "conv_id long, turn long, role string, text string, learnt string, chars long")
 
 
 def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
@@ -176,4 +176,4 @@ def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
     ordered = read_turns(turns, vocabulary).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "learnt", "chars")
-    return ordered.mapInArrow(states, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(lean(states), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import U64, mix, signed, slices
-from strata.llm._shared import staged, tune
+from strata.llm._shared import lean, staged, tune
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
@@ -304,7 +304,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: fl
     tune(spark)
     # ``row`` of an item's window is its length
     items = benchmark.select(F.coalesce(benchmark["item_id"].cast("long"), F.lit(NO_ID)).alias("id"), benchmark["text"].alias("text"))
-    items = staged(items.mapInArrow(_items(window), WINDOWS).distinct(), "items")
+    items = staged(items.mapInArrow(lean(_items(window)), WINDOWS).distinct(), "items")
     total = items.groupBy("id").agg(F.countDistinct("pos").alias("total"))
     lengths = sorted(r[0] for r in items.select("row").distinct().collect())  # at most ``window`` of them
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
@@ -312,9 +312,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: fl
         pairs = spark.createDataFrame([], PAIRS)
     elif items.count() <= max_broadcast:
         index = Index(items.collect(), {r["id"]: r["total"] for r in total.collect()}, coverage)
-        pairs = texts.mapInArrow(_matched(window, lengths, index), PAIRS)
+        pairs = texts.mapInArrow(lean(_matched(window, lengths, index)), PAIRS)
     else:
-        d, i = texts.mapInArrow(_all_windows(window, lengths), WINDOWS).alias("d"), items.alias("i")
+        d, i = texts.mapInArrow(lean(_all_windows(window, lengths)), WINDOWS).alias("d"), items.alias("i")
         pairs = d.join(i, F.expr("d.h = i.h")).select(
             F.col("d.id").alias("doc"), "d.row", F.col("i.id").alias("item"), (F.col("d.pos") - F.col("i.pos")).alias("diagonal"), F.col("i.pos").alias("pos"), F.col("i.slots").alias("item_slots"), F.col("d.slots").alias("doc_slots")
         )

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import slices, text_buffers
-from strata.llm._shared import tune
+from strata.llm._shared import lean, tune
 
 LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
@@ -151,7 +151,7 @@ def train(docs: DataFrame, held_out_mod: tuple[int, int], max_rows: int, length:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["key", "lang", "x"])
 
     # Rows that repeat a doc_id count once.
-    got = sorted(tuple(r) for r in rows.mapInArrow(some, "key long, lang string, x binary").groupBy("key", "lang").agg(F.min("x").alias("x")).collect())
+    got = sorted(tuple(r) for r in rows.mapInArrow(lean(some), "key long, lang string, x binary").groupBy("key", "lang").agg(F.min("x").alias("x")).collect())
     languages = sorted({r[1] for r in got})
     if not languages:
         return None
@@ -190,4 +190,4 @@ def predict_language(docs: DataFrame, held_out_mod: tuple[int, int] = (5, 0), ma
     kept = [F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.crc32(docs["doc_id"].cast("string")) % mod == out, F.lit(False)).alias("held_out"), docs["text"].alias("text"), *kept)
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + (f", kept {rows.schema['kept'].dataType.simpleString()}" if keep else "")
-    return rows.mapInArrow(predictions, schema)
+    return rows.mapInArrow(lean(predictions), schema)

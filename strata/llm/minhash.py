@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strata.llm._bytes import U64, mix, row_of, signed, slices, text_buffers, word_hashes, words
 from strata.llm._graph import components
-from strata.llm._shared import discard, staged, tune
+from strata.llm._shared import discard, lean, staged, tune
 
 #: Sets in a block of a large cluster, and the shingles after which a block counts as full.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
@@ -256,7 +256,7 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
         if column not in rows.columns:
             rows = rows.withColumn(column, F.lit(None).cast(kind))
     together = rows.select("cluster", F.col("tile").cast("string").alias("tile"), "side", "c", "shingles", "key", "keys").repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "key", "side", "c")
-    return together.mapInArrow(_tiles(num, den), "a long, b long")
+    return together.mapInArrow(lean(_tiles(num, den)), "a long, b long")
 
 
 def _crossed(open_: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """One row a document: doc_id, n_shingles, component_id, kept. Linked: den * intersection >= num * union."""
     tune(docs.sparkSession)
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    profiles = staged(base.mapInArrow(_profiles(n, bands, rows), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "profiles")
+    profiles = staged(base.mapInArrow(lean(_profiles(n, bands, rows)), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "profiles")
     # A class is all documents of one set. Its number c is given once, in the table that is written.
     classes = profiles.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.any_value("keys").alias("keys"))
     classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     wanted = scored.join(sizes, F.col("cluster") == F.col("of")).join(named, F.col("c") == F.col("cc")).select("doc", "c", "cluster", "pivot", "blocks", "s1", "s2")
     # One plan at every size: texts meet the wanted ids by a merge join.
     text = base.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select("cluster", "blocks", "pivot", "c", "s1", "s2", "text")
-    sets = staged(text.mapInArrow(_sets(n), "cluster long, blocks int, pivot long, c long, shingles binary"), "sets")
+    sets = staged(text.mapInArrow(lean(_sets(n)), "cluster long, blocks int, pivot long, c long, shingles binary"), "sets")
     links = _verified(sets.filter("blocks = 1").withColumn("tile", F.lit("")).withColumn("side", F.lit(0)), num, den)
     large = sets.filter("blocks > 1")
     if not large.isEmpty():

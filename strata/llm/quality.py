@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import U64, mix, row_of, slices, text_buffers, word_hashes, words
-from strata.llm._shared import staged, tune
+from strata.llm._shared import lean, staged, tune
 
 KIND = np.full(256, 4, np.uint8)  # punctuation and control
 KIND[0x61:0x7B] = 0
@@ -116,7 +116,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.binary())], ["key", "label", "row"])
 
     # Rows that repeat a doc_id count once.
-    made = staged(picked.mapInArrow(sparse, "key string, label int, row binary").groupBy("key", "label").agg(F.min("row").alias("row")), "training")
+    made = staged(picked.mapInArrow(lean(sparse), "key string, label int, row binary").groupBy("key", "label").agg(F.min("row").alias("row")), "training")
     so_far = F.sum(F.length("row") / 8).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most max_rows rows
     taken = made.select("key", so_far.alias("n")).filter(F.col("n") <= max_features).select(F.col("key").alias("k"))
     got = made.join(F.broadcast(taken), F.col("key") == F.col("k")).select("key", "label", "row").collect()
@@ -145,4 +145,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out_mod: tuple[int, i
 
     mod, out = held_out_mod
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.crc32(docs["doc_id"].cast("string")) % mod == out, F.lit(False)).alias("held_out"), docs["text"].alias("text"))
-    return rows.mapInArrow(scores, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(scores), "doc_id long, held_out boolean, score double, predicted int")

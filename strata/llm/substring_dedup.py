@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strata.llm._segments import Windows, covered, repeated
+from strata.llm._shared import lean
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,4 +131,4 @@ def remove_seen(docs: DataFrame, length: int = 13, with_text: bool = False) -> D
                 out.append((None if id_ == -(2**63) else id_, n, int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), *([kept] if with_text else [])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return rows.mapInArrow(lean(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

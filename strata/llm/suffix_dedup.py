@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 
 from strata.llm import induced
 from strata.llm._segments import Windows, covered, repeated
+from strata.llm._shared import lean
 
 SEPARATOR = 0xFF
 
@@ -73,4 +74,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
                 out.append((None if id_ == -(2**63) else id_, n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import slices
-from strata.llm._shared import staged, tune
+from strata.llm._shared import lean, staged, tune
 
 STRIDE = 4096
 NULL_ID = -(2**63)
@@ -128,7 +128,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """word -> packed little-endian ids; new words are looked up in the library."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
@@ -218,7 +218,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, block_ids: int = 1
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs["text"].alias("text"))
     # Bounds of ranges need little of a text; the order is that of whole texts.
     ordered = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 200)).sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(blocks, "part long, part_start long, first_doc long, last_doc long, n_docs long, n_ids long, payload binary"), name)
+    return staged(ordered.mapInArrow(lean(blocks), "part long, part_start long, first_doc long, last_doc long, n_docs long, n_ids long, payload binary"), name)
 
 
 def read(blocks: DataFrame) -> DataFrame:
@@ -243,5 +243,5 @@ def read(blocks: DataFrame) -> DataFrame:
                     ["part", "doc_id", "inside", "n_tokens", "ids_crc32", "bits"],
                 )
 
-    got = blocks.select("part", "part_start", "payload").mapInArrow(documents, "part long, doc_id long, inside long, n_tokens long, ids_crc32 long, bits int")
+    got = blocks.select("part", "part_start", "payload").mapInArrow(lean(documents), "part long, doc_id long, inside long, n_tokens long, ids_crc32 long, bits int")
     return got.join(parts, F.col("part") == F.col("p")).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "bits")
