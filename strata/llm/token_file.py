@@ -128,7 +128,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """word -> packed little-endian ids; new words are looked up in the library."""
 
-    MOST = 200_000
+    MOST = 500_000
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
