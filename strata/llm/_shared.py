@@ -8,10 +8,13 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long texts fits into a Python worker."""
@@ -19,10 +22,30 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+_cached: dict[object, object] = {}
+_kernel: list[str] = []
+
+
+def cached(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept in this worker while its tasks run one kernel."""
+    if key not in _cached:
+        _cached[key] = make()
+    return _cached[key]
+
+
+def begin(kernel: str) -> None:
+    """Drop what another kernel's tasks have cached in this worker."""
+    if _kernel != [kernel]:
+        _cached.clear()
+        _kernel[:] = [kernel]
+
+
 def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The kernel, whose task gives what it freed back to the system: Spark keeps workers, and what they hold, for later stages."""
+    """The kernel, whose tasks drop other kernels' caches and give what they freed back to the system: Spark keeps workers, and what they hold, for later stages."""
+    name = f"{kernel.__module__}.{kernel.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(name)
         try:
             yield from kernel(batches)
         finally:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import slices
-from strata.llm._shared import lean, staged, tune
+from strata.llm._shared import cached, lean, staged, tune
 from strata.llm.token_file import _byte_letters
 
 CONTROL = re.compile(r"<(\\*)\|")
@@ -94,13 +94,8 @@ def assemble(codec: Codec, role: str, text: str) -> tuple[np.ndarray, np.ndarray
     return ids, np.cumsum(edges[:-1]).astype(bool)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_for(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return cached((Codec, path), lambda: Codec(path))
 
 
 def format_turns(conversations: DataFrame, vocabulary: str) -> DataFrame:

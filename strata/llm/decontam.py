@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import U64, mix, signed, slices
-from strata.llm._shared import lean, staged, tune
+from strata.llm._shared import cached, lean, staged, tune
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
@@ -80,7 +80,6 @@ class Tokens(dict):
         return got
 
 
-_tokens = Tokens()
 SLOT = mix(np.arange(1, 5, dtype=np.uint64))
 
 
@@ -91,7 +90,7 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for text in texts:
         words += WORD.findall(text)
         ends.append(len(words))
-    codes = np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(cached(Tokens, Tokens).__getitem__, words), np.uint64, len(words))
     edges = np.array(ends)
     stop = np.zeros(len(codes) + 1, bool)
     stop[1:] = codes & U64(1) != 0

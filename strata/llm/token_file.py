@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm._bytes import slices
-from strata.llm._shared import lean, staged, tune
+from strata.llm._shared import cached, lean, staged, tune
 
 STRIDE = 4096
 NULL_ID = -(2**63)
@@ -173,13 +173,8 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, WORD.findall(text)))
 
 
-_encoders: dict[tuple[str, str], WordEncoder] = {}
-
-
 def encoder(path: str, dtype: str) -> WordEncoder:
-    if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = WordEncoder(path, dtype)
-    return _encoders[path, dtype]
+    return cached((WordEncoder, path, dtype), lambda: WordEncoder(path, dtype))
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int = 1, block_ids: int = 1 << 18, name: str = "tokens") -> DataFrame:

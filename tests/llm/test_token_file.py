@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from strata.llm import _shared as shared
 from strata.llm import token_file as tf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -56,3 +57,16 @@ def test_file_round_trip(spark, rows):
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes()), 16))
         start += len(ids)
     assert got == want
+
+
+def test_caches_last_as_long_as_their_kernel():
+    def first(batches):
+        for _ in batches:
+            yield shared.cached("words", dict)
+
+    def second(batches):
+        for _ in batches:
+            yield shared.cached("words", dict)
+
+    one, again, other = (next(shared.lean(k)(iter([0]))) for k in (first, first, second))
+    assert one is again and other is not one
