@@ -28,17 +28,18 @@ from __future__ import annotations
 
 import gc
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm._bytes import BYTE, SCAN, U64, mix, powers, signed, slices, text_buffers, word_hashes, words
+from strata.llm._bytes import BYTE, SCAN, U64, mix, powers, row_of, signed, slices, text_buffers, word_hashes, words
 from strata.llm._shared import discard, lean, staged, tune
 
 HOT = 4096
@@ -186,17 +187,13 @@ def _contents(spec: Windows):
                 if not len(anchor):
                     continue
                 anchor = signed(anchor)
-                keep, hot = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
-                edges = np.searchsorted(text, np.arange(part.num_rows + 1))
-                for row, (wanted, much) in enumerate(zip(part.column(2), part.column(3), strict=True)):
-                    a, b = edges[row], edges[row + 1]
-                    if b > a:
-                        keep[a:b] = np.isin(anchor[a:b], wanted.values.to_numpy(zero_copy_only=False))
-                        if len(much):
-                            hot[a:b] = np.isin(anchor[a:b], much.values.to_numpy(zero_copy_only=False))
+                # An anchor that is wanted or hot in one text is so in all.
+                keep = np.isin(anchor, part.column(2).flatten().to_numpy())
+                much = part.column(3).flatten().to_numpy()
+                hot = keep & np.isin(anchor, much) if len(much) else np.zeros(len(anchor), bool)
                 cold = keep & ~hot
                 t, f, k, key = text[cold], first[cold], n[cold], anchor[cold]
-                cut = np.flatnonzero(keep & hot)
+                cut = np.flatnonzero(hot)
                 if len(cut):
                     parts = [split_hot(gram, int(first[x]), int(n[x]), spec) for x in cut]
                     each = [len(x[0]) for x in parts]
@@ -264,8 +261,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, parts in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
             b = np.zeros(n, bool)
             for p in parts:
-                b[p["first"] : p["first"] + p["pn"]] = True if p["bits"] is None else np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little", count=p["pn"]).astype(bool)
-            bits.append(np.packbits(b, bitorder="little").tobytes())
+                if p["bits"] != b"":
+                    b[p["first"] : p["first"] + p["pn"]] = True if p["bits"] is None else np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little", count=p["pn"]).astype(bool)
+            bits.append(np.packbits(b, bitorder="little").tobytes() if b.any() else b"")
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(bits, pa.binary())], ["key", "seg", "least", "count", "bits"])
 
 
@@ -302,38 +300,42 @@ def gathered(flags: DataFrame, levels: list[DataFrame], rule: str) -> DataFrame:
 
 
 def _kernel(run: Callable):
-    """Feeds the segments of each shard to ``run(least, counts, ns, contents)``, which returns a bit array for each."""
+    """Feeds the segments of each shard to ``run(keys, least, counts, ns, contents)``, which returns a bit array for each; they come by key."""
+
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        keys, count = rows.column(1).to_numpy(), rows.column(4).to_numpy()
+        # A key with one segment left has nothing to compare it with: its windows repeat only as the whole segment does.
+        alone = np.ones(len(keys) + 1, bool)
+        alone[1:-1] = keys[1:] != keys[:-1]
+        several = np.flatnonzero(~(alone[:-1] & alone[1:]))
+        # No bits stand for none that is set.
+        bits = [b""] * len(keys)
+        if len(several):
+            some = rows.take(pa.array(several))
+            for k, got in zip(several.tolist(), run(*(some.column(c).to_pylist() for c in (1, 3, 4, 5, 6))), strict=True):
+                if got.any():
+                    bits[k] = np.packbits(got, bitorder="little").tobytes()
+        keep = np.flatnonzero((count > 1) | np.array([len(b) > 0 for b in bits]))
+        out = rows.select([1, 2, 3, 4]).take(pa.array(keep))
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array([bits[k] for k in keep.tolist()], pa.binary())], ["key", "seg", "least", "count", "bits"])
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
+        held: list[pa.RecordBatch] = []
         shard = None
-
-        def close() -> pa.RecordBatch | None:
-            if not held:
-                return None
-            rows = list(zip(*held, strict=True))
-            # A key with one segment left has nothing to compare it with: its windows repeat only as the whole segment does.
-            times = Counter(rows[0])
-            several = [k for k, key in enumerate(rows[0]) if times[key] > 1]
-            bits = [np.zeros(n, bool) for n in rows[4]]
-            if several:
-                for k, got in zip(several, run(*([rows[c][k] for k in several] for c in (2, 3, 4, 5))), strict=True):
-                    bits[k] = got
-            keep = [k for k, b in enumerate(bits) if rows[3][k] > 1 or b.any()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([rows[0][k] for k in keep], pa.int64()), pa.array([rows[1][k] for k in keep], pa.binary()), pa.array([rows[2][k] for k in keep], pa.int64()), pa.array([rows[3][k] for k in keep], pa.int64()), pa.array([np.packbits(bits[k], bitorder="little").tobytes() for k in keep], pa.binary())],
-                ["key", "seg", "least", "count", "bits"],
-            )
-
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != shard:
-                    if (got := close()) is not None:
-                        yield got
-                    shard, held = row[0], []
-                held.append(row[1:])
-        if (got := close()) is not None:
-            yield got
+            of = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in pairwise(edges):
+                if a == b:
+                    continue
+                if of[a] != shard and held:
+                    yield close(held)
+                    held = []
+                shard = of[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield close(held)
 
     return flag
 
@@ -374,7 +376,7 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     total = merged.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // spec.shard_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 20_000))
-    dealt = merged.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "seg", "least", "count", "n", "content").repartition(parts, "shard").sortWithinPartitions("shard", "least", "key", "seg")
+    dealt = merged.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "seg", "least", "count", "n", "content").repartition(parts, "shard").sortWithinPartitions("shard", "key", "least", "seg")
     flags = staged(dealt.mapInArrow(lean(_kernel(run)), "key long, seg binary, least long, count long, bits binary"), "flags")
     if levels:
         flags = staged(gathered(flags, levels, rule), "gathered")
@@ -403,3 +405,22 @@ def covered(n: int, spans: list, length: int) -> np.ndarray:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + length, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def all_covered(off: np.ndarray, spans: pa.ListArray, length: int) -> np.ndarray:
+    """covered() for texts one after another; ``off`` are their n + 1 offsets."""
+    edge = np.zeros(off[-1] + 1, np.int32)
+    row = row_of(np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy()))))
+    flat = spans.flatten()
+    start, bits = flat.field("start").to_numpy() + off[row], flat.field("bits")
+    every = bits.is_null().to_numpy(zero_copy_only=False)
+    end = start + flat.field("n").to_numpy() + length - 1
+    np.add.at(edge, start[every], 1)
+    np.add.at(edge, np.minimum(end, off[row + 1])[every], -1)
+    packed, at = text_buffers(bits)
+    bit = np.flatnonzero(np.unpackbits(packed, bitorder="little"))
+    span = row_of(at)[bit >> 3]
+    first = start[span] + bit - 8 * at[span]
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + length, -1)
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0

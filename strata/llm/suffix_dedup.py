@@ -33,7 +33,7 @@ SEPARATOR = 0xFF
 def flag_shard(length: int):
     """Windows whose bytes stand in two or more places of the shard's segments."""
 
-    def run(least, counts, ns, contents) -> list[np.ndarray]:
+    def run(keys, least, counts, ns, contents) -> list[np.ndarray]:
         sizes = np.array([len(c) for c in contents])
         start = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
         text = np.full(int(sizes.sum()) + len(sizes), SEPARATOR, np.uint8)

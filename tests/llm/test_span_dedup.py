@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strata.llm import _segments, substring_dedup, suffix_dedup
@@ -130,3 +131,51 @@ def test_large_keys_are_cut(spark, monkeypatch, size):
     assert len(sizes) == 2 and sizes[0][0]
     # a key of 3,000 bytes has 15 segments of 200 bytes at most
     assert max(sizes[0][1]) <= 15
+
+
+def test_only_segments_that_can_match_are_streamed(monkeypatch):
+    calls = []
+    for name in ("add", "matching"):
+        real = getattr(substring_dedup.SuffixAutomaton, name)
+        monkeypatch.setattr(substring_dedup.SuffixAutomaton, name, lambda self, w, name=name, real=real: calls.append((name, tuple(w))) or real(self, w))
+    seg = {d: (*range(7, 12), *range(100 * d, 100 * d + 3)) for d in (1, 2, 4, 5, 6)} | {3: tuple(range(20, 28))}
+    # key, doc_id: a pair, a document by itself, three documents, one merged segment
+    rows = [(1, 1), (1, 2), (2, 3), (2, 3), (3, 4), (3, 5), (3, 6), (4, 6)]
+    content = [np.array(seg[d], np.int64).tobytes() for _, d in rows]
+    count = [1] * 7 + [2]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    cols = [[0] * 8, [k for k, _ in rows], [bytes([x]) * 16 for x in range(8)], [d for _, d in rows], count, [4] * 8, content]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "key", "seg", "least", "count", "n", "content"])
+    run = _segments._kernel(substring_dedup.flag_shard(5))
+    parts = [b for b in run(iter([batch.slice(0, 2), batch.slice(2, 0), batch.slice(2)]))]
+    got = [(r["key"], r["least"], r["bits"]) for b in parts for r in b.to_pylist()]
+    assert got == [(1, 2, b"\x01"), (3, 5, b"\x01"), (3, 6, b"\x01"), (4, 6, b"")]
+    assert calls == [("add", seg[1]), ("matching", seg[2]), ("add", seg[4]), ("matching", seg[5]), ("add", seg[5]), ("matching", seg[6])]
+
+
+def test_coverage_of_many_texts_at_once():
+    rng = random.Random(5)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())]))
+    sizes = [0, 40, 3, 25, 0, 60, 13]
+    spans = []
+    for size in sizes:
+        of = []
+        for _ in range(rng.randint(1, 4) if size >= 13 else 0):
+            start = rng.randint(0, size - 13)
+            n = rng.randint(1, size - 13 - start + 1)
+            bits = np.packbits([rng.random() < 0.2 for _ in range(n)], bitorder="little").tobytes()
+            of.append({"start": start, "n": n, "bits": rng.choice([None, bits])})
+        spans.append(of or None)
+    for a in (0, 1, 2):
+        off = np.concatenate(([0], np.cumsum(sizes[a:])))
+        each = [_segments.covered(n, s or [], 13) for n, s in zip(sizes[a:], spans[a:], strict=True)]
+        assert _segments.all_covered(off, pa.array(spans, kind).slice(a), 13).tolist() == np.concatenate(each).tolist()
+    assert _segments.all_covered(np.zeros(1, int), pa.array([], kind), 13).tolist() == []
+
+
+def test_only_six_bytes_part_words(spark):
+    odd = "\x1c \x1d\t\x1e\n\x1f\x0b\x85\x0c\xa0\r  a\x00b 　 c\x1cd e\xa0f g h i"
+    rows = [(1, odd), (2, "x " + odd + " y"), (3, odd.replace("\xa0", " "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in substring_dedup.remove_seen(df, 13).collect()), key=str) == brute_words(rows, 13)
+    assert {r["doc_id"]: r["kept"] for r in substring_dedup.remove_seen(df, 13, with_text=True).collect()}[2] == "x y"
