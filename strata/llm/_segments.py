@@ -44,6 +44,8 @@ from strata.llm._shared import discard, lean, staged, tune
 
 HOT = 4096
 KEY_BYTES = 256 << 10
+#: Segments of a task, which takes its shards one after another.
+TASK_BYTES = 4 << 20
 MASK = U64((1 << 24) - 1)
 
 
@@ -375,7 +377,7 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     merged, levels = divide(merged, spec)
     total = merged.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(1, -(-total // spec.shard_bytes))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 20_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // TASK_BYTES), 20_000))
     dealt = merged.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "seg", "least", "count", "n", "content").repartition(parts, "shard").sortWithinPartitions("shard", "key", "least", "seg")
     flags = staged(dealt.mapInArrow(lean(_kernel(run)), "key long, seg binary, least long, count long, bits binary"), "flags")
     if levels:

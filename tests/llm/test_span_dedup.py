@@ -179,3 +179,23 @@ def test_only_six_bytes_part_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in substring_dedup.remove_seen(df, 13).collect()), key=str) == brute_words(rows, 13)
     assert {r["doc_id"]: r["kept"] for r in substring_dedup.remove_seen(df, 13, with_text=True).collect()}[2] == "x y"
+
+
+def test_a_task_takes_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "Windows", lambda *a, **k: _segments.Windows(*a, **(k | {"shard_bytes": 500})))
+    tasks, shards = [], []
+    staged = _segments.staged
+
+    def watched(df, name):
+        if name == "flags":
+            tasks.append(df.rdd.getNumPartitions())
+        out = staged(df, name)
+        if name == "merged":
+            shards.append(sum(len(r["content"]) for r in out.collect()) // 500)
+        return out
+
+    monkeypatch.setattr(_segments, "staged", watched)
+    rows = list(enumerate(texts(6)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in substring_dedup.remove_seen(df, 13).collect()), key=str) == brute_words(rows, 13)
+    assert shards[0] > 20 and tasks == [4]
