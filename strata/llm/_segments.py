@@ -4,8 +4,8 @@ A window is ``length`` consecutive units (bytes or words) of a text. Its anchor
 the k-grams inside it, so equal windows have equal anchors at equal offsets: every window belongs to
 one anchor, wherever it stands. Neighbouring windows with one anchor position form a segment. Thus
 
-1. anchors that occur in one text only (or, if repeats inside a text count, once) hold no repeat and
-   are dropped by a count with partial aggregation;
+1. the anchors of each text are written once; those that occur in one text only (or, if repeats inside a
+   text count, once) hold no repeat and are dropped by a count with partial aggregation;
 2. texts are fetched once for their other anchors' segments; segments of equal content are merged before
    they are shuffled to the shard of their anchor (128-bit hashes name them from then on); and
 3. a kernel compares the segments of a shard exactly and flags windows.
@@ -132,48 +132,31 @@ def segments(h: np.ndarray, off: np.ndarray, spec: Windows) -> tuple[np.ndarray,
     return gram[at[first]], np.searchsorted(off, first, "right") - 1, first, last - first + 1, c, gram
 
 
-def _anchors(spec: Windows):
-    """(anchor, text hash, n, inside) of each batch: n occurrences; inside: several in one text."""
+def _pairs(spec: Windows):
+    """(anchor, id, tid, n) once for each text and anchor, which it has n times."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list] = {"a": [], "t": []}
+            seen, row = None, 0
             for part, h, _, off, _ in pieces(batch, spec):
+                if seen is not None and part is not seen:
+                    row += seen.num_rows
+                seen = part
                 anchor, text, *_ = segments(h, off, spec)
-                of = part.column(part.schema.get_field_index("text"))
-                ids = np.array([xxhash.xxh3_64_intdigest(x.as_py() or "") for x in of], U64)
                 found["a"].append(anchor)
-                found["t"].append(ids[text])
-            a, t = np.concatenate(found["a"]), signed(np.concatenate(found["t"]))  # in the order in which Spark takes min and max
-            if not len(a):
+                found["t"].append(text + row)
+            if seen is None:
                 continue
-            order = np.lexsort((t, a))
-            a, t = a[order], t[order]
-            first = np.concatenate(([True], a[1:] != a[:-1]))
-            at = np.flatnonzero(first)
-            same = np.zeros(len(a), bool)
-            same[1:] = ~first[1:] & (t[1:] == t[:-1])
-            end = np.append(at[1:], len(a))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(a[at])), pa.array(t[at]), pa.array(t[end - 1]), pa.array(end - at), pa.array(np.logical_or.reduceat(same, at))], ["anchor", "low", "high", "n", "inside"]
-            )
-
-    return find
-
-
-def _pairs(spec: Windows):
-    """(anchor, id, key) once for each text and anchor."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, h, _, off, _ in pieces(batch, spec):
-                anchor, text, *_ = segments(h, off, spec)
-                order = np.lexsort((anchor, text))
-                anchor, text = anchor[order], text[order]
-                new = np.ones(len(anchor), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-                rows = pa.array(text[new])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[new])), part.column(0).take(rows), part.column(1).take(rows)], ["anchor", "id", "tid"])
+            anchor, text = np.concatenate(found["a"]), np.concatenate(found["t"])
+            order = np.lexsort((anchor, text))
+            anchor, text = anchor[order], text[order]
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+            at = np.flatnonzero(new)
+            rows = pa.array(text[at])
+            each = pa.array(np.diff(np.append(at, len(anchor))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[at])), batch.column(0).take(rows), batch.column(1).take(rows), each], ["anchor", "id", "tid", "n"])
 
     return find
 
@@ -359,15 +342,19 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     spark = docs.sparkSession
     tune(spark)
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
-    classes = staged(base.groupBy("tid").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
-    counted = base.select("text").mapInArrow(lean(_anchors(spec)), "anchor long, low long, high long, n long, inside boolean").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.bool_or("inside").alias("inside"))
-    anchors = staged(counted.filter("low <> high" + (" OR inside" if spec.within else "")).select(F.col("anchor").alias("a"), (F.col("n") > HOT).alias("hot")), "anchors")
+    rows = staged(base.groupBy("id", "tid").agg(F.count("*").alias("n")), "rows")
+    classes = staged(rows.groupBy("tid").agg(F.min("id").alias("least"), F.sum("n").alias("copies")), "classes")
+    pairs = staged(base.select("id", "tid", "text").mapInArrow(lean(_pairs(spec)), "anchor long, id long, tid binary, n int"), "pairs")
+    of = F.xxhash64("tid")
+    counted = pairs.groupBy("anchor").agg(F.min(of).alias("low"), F.max(of).alias("high"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    anchors = staged(counted.filter("low <> high" + (" OR most > 1" if spec.within else "")).select(F.col("anchor").alias("a"), (F.col("n") > HOT).alias("hot")), "anchors")
     release(spark)
-    pairs = base.select("id", "tid", "text").mapInArrow(lean(_pairs(spec)), "anchor long, id long, tid binary").join(anchors, F.col("anchor") == F.col("a"))
-    wanted = pairs.groupBy(F.col("id").alias("i"), F.col("tid").alias("t")).agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    found_in = pairs.join(anchors, F.col("anchor") == F.col("a"))
+    wanted = found_in.groupBy(F.col("id").alias("i"), F.col("tid").alias("t")).agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     first = classes.select(F.col("least").alias("l"), F.col("tid").alias("c"))
     wanted = staged(wanted.join(first, (F.col("i") == F.col("l")) & (F.col("t") == F.col("c")), "left_semi"), "wanted")
     release(spark)
+    discard(pairs)
     fetched = base.join(wanted, (F.col("id") == F.col("i")) & (F.col("tid") == F.col("t"))).select("id", "tid", "anchors", "hot", "text")
     found = staged(fetched.mapInArrow(lean(_contents(spec)), "key long, seg binary, id long, tid binary, start long, n int, content binary"), "segments")
     release(spark)
@@ -387,11 +374,11 @@ def repeated(docs: DataFrame, spec: Windows, run: Callable, rule: str) -> DataFr
     hits = found.select("key", "seg", "id", "tid", "start", "n").join(flags.select(F.col("key").alias("k"), F.col("seg").alias("s"), "least", "count", "bits"), (F.col("key") == F.col("k")) & (F.col("seg") == F.col("s")))
     hits = hits.withColumn("every", F.expr(rule)).filter("every OR length(bits) > 0")
     spans = hits.groupBy("id", "tid").agg(F.collect_set(F.struct("start", "n", F.when(F.col("every"), F.lit(None)).otherwise(F.col("bits")).alias("bits"))).alias("spans"))
-    info = base.select("id", "tid").distinct().join(classes.withColumnRenamed("tid", "c"), F.col("tid") == F.col("c")).select(F.col("id").alias("i"), F.col("tid").alias("t"), "least", "copies")
+    info = rows.select("id", "tid").join(classes.withColumnRenamed("tid", "c"), F.col("tid") == F.col("c")).select(F.col("id").alias("i"), F.col("tid").alias("t"), "least", "copies")
     spans = spans.select(F.col("id").alias("si"), F.col("tid").alias("st"), "spans")
     facts = staged(info.join(spans, (F.col("i") == F.col("si")) & (F.col("t") == F.col("st")), "left").select("i", "t", "least", "copies", "spans"), "facts")
     release(spark)
-    discard(found, flags, classes)
+    discard(found, flags, rows, classes)
     return base.join(facts, (F.col("id") == F.col("i")) & (F.col("tid") == F.col("t"))).select("id", "least", "copies", "spans", "text")
 
 

@@ -118,6 +118,7 @@ def _by_symbol(t, placed, seeds, prefix, first, cap):
     since = np.full(256, 255, np.int16)  # least prefix that left the queue since the last insertion into a bucket
     used = np.zeros(256, bool)
     track = prefix is not None
+    prior = np.concatenate(([False], placed[:-1]))
     seed_symbol = t[seeds]
     counts = np.bincount(seed_symbol, minlength=256)
     seed_at = np.concatenate(([0], np.cumsum(counts)))
@@ -127,10 +128,10 @@ def _by_symbol(t, placed, seeds, prefix, first, cap):
         """Insert what ``s`` (with ``p``) induces; returns what stays in the bucket being read."""
         nonlocal since
         own, own_p = s[:0], None
-        pred = s - 1
-        at = np.flatnonzero((pred >= 0) & placed[np.maximum(pred, 0)])
+        at = np.flatnonzero(prior[s])
         if len(at):
-            to = t[pred[at]]
+            pred = s[at] - 1
+            to = t[pred]
             order = np.argsort(to, kind="stable")
             at, to = at[order], to[order]
             starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
@@ -151,8 +152,9 @@ def _by_symbol(t, placed, seeds, prefix, first, cap):
                 least = np.append(backward, 255)
                 since = np.where(tail >= 0, least[tail + 1], np.minimum(since, least[0]))
                 used[to[starts]] = True
+            pred = s[at] - 1
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-                part = pred[at[a:b]]
+                part = pred[a:b]
                 if to[a] == symbol:
                     own, own_p = part, value[a:b] if track else None
                 else:
@@ -259,35 +261,60 @@ def _common(t: np.ndarray, i: int, j: int, cap: int) -> int:
     return int(d[0]) if len(d) else k
 
 
-def _common_all(t: np.ndarray, s: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of each suffix in ``s`` with the one before it, up to cap."""
-    out = np.zeros(len(s), np.uint8)
-    if len(s) < 2:
-        return out
-    pad = np.concatenate((t, np.zeros(cap + 8, t.dtype)))
-    word = np.lib.stride_tricks.as_strided(pad, (len(pad) - 7, 8), (1, 1))
-    on = np.arange(1, len(s))
-    a, b = s[:-1].astype(np.int64), s[1:].astype(np.int64)
-    for k in range(0, cap, 8):
-        x = word[a + k].view(np.uint64).ravel() ^ word[b + k].view(np.uint64).ravel()
-        stop = x != 0
-        if stop.any():
-            low = x[stop] & (~x[stop] + np.uint64(1))
-            out[on[stop]] = np.minimum(cap, k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3))
-        on, a, b = on[~stop], a[~stop], b[~stop]
-        if not len(on):
-            break
-    out[on] = cap
-    # nothing beyond the end of the text is common
-    limit = len(t) - np.maximum(s[:-1], s[1:])
-    out[1:] = np.minimum(out[1:], np.minimum(limit, cap))
+def _common_pairs(t: np.ndarray, a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Common prefix of the suffixes of each pair, up to its bound."""
+    bound = np.minimum(bound, len(t) - np.maximum(a, b))
+    out = bound.copy()
+    pad = np.concatenate((t, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(t) + 1,), "<u8", pad, strides=(1,))
+    on = np.flatnonzero(bound > 0)
+    a, b = a.astype(np.int64)[on], b.astype(np.int64)[on]
+    k = 0
+    while len(on) > 64:
+        x = eight[a + k] ^ eight[b + k]
+        stop = np.flatnonzero(x)
+        low = x[stop] & (~x[stop] + np.uint64(1))
+        at = on[stop]
+        out[at] = np.minimum(bound[at], k + (np.frexp(low.astype(np.float64))[1] - 1 >> 3))
+        k += 8
+        go = (x == 0) & (bound[on] > k)
+        on, a, b = on[go], a[go], b[go]
+    for at, i, j in zip(on.tolist(), a.tolist(), b.tolist(), strict=True):
+        out[at] = k + _common(t, i + k, j + k, int(bound[at]) - k)
     return out
 
 
-def _order(t: np.ndarray, size: int, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The LMS suffixes of ``t`` in order."""
+def _common_seeds(t: np.ndarray, s: np.ndarray, lms: np.ndarray, names: np.ndarray | None, cap: int) -> np.ndarray:
+    """Common prefix of each sorted LMS suffix with the one before it, up to cap.
+
+    Where neighbours both follow LMS substrings of one name, the suffixes that begin with these are neighbours
+    too, and share as much more as that substring is long. Only the first of such a chain is compared.
+    """
+    m = len(s)
+    if m < 2:
+        return np.zeros(m, np.uint8)
+    nth = np.empty(len(t), np.int32)
+    nth[lms] = np.arange(m, dtype=np.int32)
+    of = nth[s]
+    before = np.full(m, -1, np.int32)  # the neighbour before, both counted in the order of the text
+    before[of[1:]] = of[:-1]
+    first = np.ones(m, bool)
+    if names is not None:
+        i = before[1:]
+        first[1:] = (i < 1) | (names[i - 1] != names[:-1]) | (before[:-1] != i - 1)
+    heads = np.flatnonzero(first)
+    last = np.append(heads[1:], m) - 1
+    head_at = lms[heads].astype(np.int64)
+    lone = before[heads] < 0  # the least suffix
+    shared = _common_pairs(t, lms[np.where(lone, 0, before[heads])], lms[heads], np.where(lone, 0, lms[last] - head_at + cap))
+    each = last - heads + 1
+    return np.minimum(np.repeat(shared + head_at, each) - lms, cap).clip(0).astype(np.uint8)[of]
+
+
+def _order(t: np.ndarray, size: int, s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The LMS suffixes of ``t`` in order; the names of their substrings in the order of the text, None if all differ."""
     if len(lms) < 2:
-        return lms
+        return lms, None
     n = len(t)
     wide = size > 256
     by = lms[np.argsort(t[lms], kind="stable")]
@@ -321,19 +348,21 @@ def _order(t: np.ndarray, size: int, s: np.ndarray, lms: np.ndarray) -> np.ndarr
         on = on[~done]
     names = np.cumsum(differs) - 1
     if names[-1] + 1 == len(ordered):
-        return ordered
+        return ordered, None
+    by = nth[ordered]
     reduced = np.empty(len(lms), np.int32)
-    reduced[nth[ordered]] = names
+    reduced[by] = names
     if len(reduced) <= BASE:
-        return lms[_doubled(reduced)]
-    return lms[_all(reduced, int(names[-1]) + 1, types(reduced))]
+        return lms[_doubled(by.astype(np.int64), differs)], reduced
+    return lms[_all(reduced, int(names[-1]) + 1, types(reduced))], reduced
+
 
+def _doubled(order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """All suffixes of a string of names in order, in memory: ranks by 1, 2, 4, ... names, of those that still tie.
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """All suffixes of a string of names in order, in memory: ranks by 1, 2, 4, ... names, of those that still tie."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    first = np.concatenate(([True], names[order[1:]] != names[order[:-1]]))
+    ``order`` has them by their first name; ``first``: the name differs from that of the one before.
+    """
+    n = len(order)
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     ties = _tied(np.arange(n), first)
@@ -363,7 +392,7 @@ def _lms(s: np.ndarray) -> np.ndarray:
 def _all(t: np.ndarray, size: int, s: np.ndarray) -> np.ndarray:
     """All suffixes of the string of names in order."""
     n = len(t)
-    seeds = _order(t, size, s, _lms(s))
+    seeds, _ = _order(t, size, s, _lms(s))
     seeds = seeds[np.argsort(t[seeds], kind="stable")]
     ls = _by_range(t, ~s, seeds, n - 1, size)
     ss = _by_range(size - 1 - t, s, ls[::-1], None, size)[::-1]
@@ -379,8 +408,9 @@ def sort_suffixes(text: np.ndarray, cap: int = 200) -> tuple[np.ndarray, np.ndar
     if n == 0:
         return np.zeros(0, np.int32), np.zeros(0, np.uint8)
     s = types(t)
-    seeds = _order(t, 256, s, _lms(s))
-    ls = _by_symbol(t, ~s, seeds, _common_all(t, seeds, cap), n - 1, cap)
+    lms = _lms(s)
+    seeds, names = _order(t, 256, s, lms)
+    ls = _by_symbol(t, ~s, seeds, _common_seeds(t, seeds, lms, names, cap), n - 1, cap)
     flat = [ls[k] for k in sorted(ls)]
     l_s = np.concatenate([x for x, _ in flat])
     l_p = np.concatenate([p for _, p in flat])

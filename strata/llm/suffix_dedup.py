@@ -18,16 +18,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strata.llm import induced
-from strata.llm._segments import Windows, covered, repeated
+from strata.llm._bytes import SCAN, slices, text_buffers
+from strata.llm._segments import Windows, all_covered, repeated
 from strata.llm._shared import lean
 
-SEPARATOR = 0xFF
+SEPARATOR = b"\xff"
 
 
 def flag_shard(length: int):
@@ -36,12 +38,11 @@ def flag_shard(length: int):
     def run(keys, least, counts, ns, contents) -> list[np.ndarray]:
         sizes = np.array([len(c) for c in contents])
         start = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        text = np.full(int(sizes.sum()) + len(sizes), SEPARATOR, np.uint8)
-        for at, c in zip(start.tolist(), contents, strict=True):
-            text[at : at + len(c)] = np.frombuffer(c, np.uint8)
-        places = np.zeros(len(text), np.int64)  # of the windows that start here
-        for at, n, count in zip(start.tolist(), ns, counts, strict=True):
-            places[at : at + n] = count
+        text = np.frombuffer(SEPARATOR.join([*contents, b""]), np.uint8)
+        change = np.zeros(len(text), np.int64)
+        change[start] = counts
+        change[start + np.array(ns)] = np.negative(counts)  # a segment is longer than its windows are many
+        places = np.cumsum(change)  # of the windows that start here
         order, prefix = induced.sort_suffixes(text, length)
         first = np.flatnonzero(prefix < length)
         times = np.add.reduceat(places[order], first) if len(first) else np.zeros(0, np.int64)
@@ -59,19 +60,22 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-        kinds = [*[pa.int64()] * 4, pa.string(), *[pa.binary()] * with_text]
         for batch in batches:
-            out: list[tuple] = []
-            for id_, _, copies, spans, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                n = len(data)
-                if copies > 1:
-                    gone = np.full(n, n >= length)
-                else:
-                    gone = covered(n, spans, length) if spans else np.zeros(n, bool)
-                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                out.append((None if id_ == -(2**63) else id_, n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+            for part in slices(batch, "text", SCAN):
+                ids, _, copies, spans, text = part.columns
+                buf, off = text_buffers(text)
+                n = np.diff(off)
+                gone = all_covered(off, spans, length) | np.repeat((copies.to_numpy() > 1) & (n >= length), n)
+                begin = gone.copy()
+                begin[1:] &= ~gone[:-1]
+                edge = off[:-1][n > 0]
+                begin[edge] = gone[edge]
+                removed, runs = (np.diff(np.concatenate(([0], np.cumsum(x)))[off]) for x in (gone, begin))
+                left = np.concatenate(([0], np.cumsum(n - removed))).tolist()
+                stay = buf[~gone].tobytes()
+                kept = [stay[i:j] for i, j in pairwise(left)]
+                id_ = ids.to_numpy()
+                cols = [pa.array(id_, mask=id_ == -(2**63)), pa.array(n), pa.array(removed), pa.array(runs), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(kept, pa.binary())] * with_text], names)
 
     return rows.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

@@ -40,3 +40,36 @@ def test_against_sorted(monkeypatch, spill, base):
         check(text + b"\xff" + text[100:900] + b"\xff" + b"zz" * 50)
     base = b" ".join(rng.choice(words) for _ in range(3000))
     check(base)
+
+
+def test_only_heads_of_chains_are_compared(monkeypatch):
+    compared = []
+    real = induced._common_pairs
+    monkeypatch.setattr(induced, "_common_pairs", lambda t, a, b, bound: compared.append(len(a)) or real(t, a, b, bound))
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"aeinst ") for _ in range(600))
+    # copies with surroundings of their own, and a last one that ends with the text
+    text = b"\xff".join(bytes(rng.choice(b"aeinst ") for _ in range(20)) + passage for _ in range(8))
+    for cap in (5, 200):
+        compared.clear()
+        check(text, cap)
+        seeds = len(induced._lms(induced.types(np.frombuffer(text, np.uint8))))
+        assert len(compared) == 1 and 0 < compared[0] < seeds / 4
+    check(b"ab" * 700 + b"\xff" + b"ab" * 300 + b"\xff")
+
+
+def test_pairs_up_to_their_bounds():
+    rng = random.Random(4)
+    base = bytes(rng.choice(b"ab") for _ in range(90))
+    t = np.frombuffer(base * 4 + b"c" + base, np.uint8)
+    a = np.array([rng.randrange(len(t)) for _ in range(500)])
+    b = np.array([x if x != y else (x + 1) % len(t) for x, y in zip((rng.randrange(len(t)) for _ in range(500)), a.tolist(), strict=True)])
+    bound = np.array([rng.choice([0, 1, 7, 8, 9, 64, 1000]) for _ in range(500)])
+    want = []
+    for i, j, k in zip(a.tolist(), b.tolist(), bound.tolist(), strict=True):
+        p = 0
+        while p < k and max(i, j) + p < len(t) and t[i + p] == t[j + p]:
+            p += 1
+        want.append(p)
+    assert induced._common_pairs(t, a, b, bound).tolist() == want
+    assert induced._common_pairs(t, a[:3], b[:3], bound[:3]).tolist() == want[:3]

@@ -199,3 +199,38 @@ def test_a_task_takes_several_shards(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in substring_dedup.remove_seen(df, 13).collect()), key=str) == brute_words(rows, 13)
     assert shards[0] > 20 and tasks == [4]
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_anchors_are_found_in_one_scan(spark, monkeypatch, kind):
+    scans = []
+    monkeypatch.setattr(_segments, "lean", lambda kernel: scans.append(kernel.__qualname__.partition(".")[0]) or kernel)
+    # repeats inside texts and across, and a text that is only a copy of another
+    p = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, f"a {p} b {p}"), (2, "c d e " * 80), (3, "c d e " * 80), (4, f"{p} z"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if kind == "bytes":
+        assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(df, 200).collect()), key=str) == brute_bytes(rows, 200)
+    else:
+        assert sorted((tuple(r) for r in substring_dedup.remove_seen(df, 13).collect()), key=str) == brute_words(rows, 13)
+    assert scans == ["_pairs", "_contents", "_kernel"]
+
+
+def test_anchors_of_a_text_in_pieces(monkeypatch):
+    monkeypatch.setattr(_segments, "SCAN", 500)
+    spec = _segments.Windows("bytes", 200, 32, True, 2 << 20)
+    rng = random.Random(8)
+    p = "".join(rng.choice("abcdef ") for _ in range(300))
+    texts_ = ["", p + "x" * 900 + p, p, "short", p + p]
+    ids = [7, 1, 2, 3, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([bytes([k]) for k in range(5)]), pa.array(texts_)], ["id", "tid", "text"])
+    got = pa.Table.from_batches(list(_segments._pairs(spec)(iter([batch])))).to_pylist()
+    assert len({(r["anchor"], r["tid"]) for r in got}) == len(got)
+    times = {}
+    for r in got:
+        times.setdefault(r["tid"], {})[r["anchor"]] = r["n"]
+        assert r["id"] == ids[r["tid"][0]]
+    assert set(times) == {b"\x01", b"\x02", b"\x04"}
+    # the passage's anchors are there once, and twice in the texts that have it twice
+    whole = [a for a, n in times[b"\x02"].items() if n == 1]
+    assert whole and all(times[b"\x04"][a] >= 2 for a in whole) and any(times[b"\x01"][a] >= 2 for a in whole)
