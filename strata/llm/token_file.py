@@ -12,9 +12,10 @@ read without what stands before it. Rows carry (first_doc, last_doc, n_docs, n_i
 prunes blocks by doc_id from the Parquet statistics.
 
 Blocks are in ascending doc_id order. Encoding uses the model of the tokenizers library. Words made
-of Latin letters and ASCII punctuation, whose normalisation and pre-tokenisation are known, go to the
-library's BPE model directly and are kept in a bounded cache; every other word is encoded whole by
-the library. Both give the ids of encoding the whole text, as the vocabulary never joins across white
+of Latin letters, digits and ASCII punctuation, whose normalisation and pre-tokenisation are known, are
+lower-cased and cut into runs in numpy; each distinct run of a piece of text is looked up once, in a bounded
+cache, and new ones go to the library's BPE model directly. Every other word is a run that the library
+encodes whole. Both give the ids of encoding the whole text, as the vocabulary never joins across white
 space; a text that holds an added token's string is encoded whole. A vocabulary for which probes show
 anything else (one that keeps spaces, say) gets every text encoded whole.
 
@@ -26,6 +27,7 @@ looked at.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -39,15 +41,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm._bytes import slices
+from strata.llm._bytes import LOWER, SPACE, slices, text_buffers
 from strata.llm._shared import cached, lean, staged, tune
 
 STRIDE = 4096
 NULL_ID = -(2**63)
 MAGIC = b"TKB1"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Latin letters whose lower case is one letter and which composition leaves alone, then punctuation.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Kinds of bytes. Latin letters whose lower case is one letter and which composition leaves alone are plain, those of two bytes too.
+WHITE, LETTER, DIGIT, MARK, ODD = range(5)
+KIND = np.full(256, ODD, np.uint8)
+KIND[SPACE] = WHITE
+KIND[0x21:0x7F] = MARK
+KIND[0x27] = ODD
+KIND[0x30:0x3A] = DIGIT
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = LETTER
+LATIN_LEAD = 0xC3
+LATIN = np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
+#: Runs that pre-tokenisation leaves whole: letters, a digit, punctuation.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def width_for(vocabulary: int) -> int:
@@ -126,9 +140,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """word -> packed little-endian ids; new words are looked up in the library."""
+    """run -> packed little-endian ids; new runs are looked up in the library."""
 
     MOST = 500_000
+    #: Bytes of text scanned at once; a piece ends at white space.
+    PIECE = 4 << 20
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
@@ -139,38 +155,108 @@ class WordEncoder(dict):
         self.model = self.library.model
         self.dtype = dtype
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
         self.direct = self._is_direct()
+        self.clear()
 
     def _is_direct(self) -> bool:
-        """Whether the library treats plain words as expected: lower-cased, letters and punctuation apart."""
-        probe = ["Abc,", "Él!!", "ÀÖØÞßöøÿ#%$", "x", "(a)", "!&(/:@[`{~", "ABCdef.", "Ç"]
-        return array("I", [1]).tobytes() == np.array([1], self.dtype).tobytes() and all(self._plain(m) == self._whole(w) for w in probe if (m := PLAIN.fullmatch(w))) and self._whole("Ab, c\n\t1  2. x ") == b"".join(map(self._whole, ("Ab,", "c", "1", "2.", "x")))
+        """Whether the library treats plain words as expected: lower-cased, cut into letters, digits and punctuation, never joined across white space."""
+        if array("I", [1]).tobytes() != np.array([1], self.dtype).tobytes():
+            return False
+        plain = [c for c in map(chr, range(0x100)) if PLAIN.fullmatch(c.encode())]
+        probe = ["Abc,", "Él!!", "(a)", "ABCdef.", "a1b22,c", "x@y.z-10", "It's", "日本,", "e\u0301", *plain, *(f"the{c}{c}The" for c in plain), *(f".{c}.{c}" for c in plain)]
+        text = "  ".join(probe) + " \n\tx "
+        return self._runs(*text_buffers(pa.array([text])))[0].tobytes() == self._whole(text)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _plain(self, parts: re.Match) -> bytes:
-        ids = []
-        for p in parts.groups():
-            if p:
-                p = p.lower()
-                ids += [t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))]
-        return array("I", ids).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, run: bytes) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        got = self._plain(m) if self.direct and (m := PLAIN.fullmatch(word)) else self._whole(word)
-        if len(word) <= 64:
-            self[word] = got
+        if PLAIN.fullmatch(run):
+            p = run.decode("ascii") if run.isascii() else run.decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(p)]).tobytes()
+        else:
+            got = self._whole(run.decode())
+        if len(run) <= 64:
+            self[run] = got
         return got
 
+    def _piece(self, raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start of each run, ids before each run and after the last, ids) of whole words; ``texts`` has where texts start."""
+        kind, low = KIND[raw], LOWER[raw]
+        at = np.flatnonzero(raw[:-1] == LATIN_LEAD)
+        at = at[LATIN[raw[at + 1]]] + 1
+        kind[at - 1] = kind[at] = LETTER
+        low[at[raw[at] < 0x9F]] += 0x20
+        odd = np.flatnonzero(kind == ODD)
+        if len(odd):
+            gaps, w = np.flatnonzero(kind == WHITE), np.searchsorted(texts, odd, "right")
+            left, right = (np.concatenate(([0], x, [len(raw)])) for x in (gaps + 1, texts))
+            k = np.searchsorted(gaps, odd)
+            starts = np.maximum(left[k], right[w])
+            ends = np.minimum(np.append(gaps, len(raw))[k], right[w + 1])
+            one = np.diff(starts, prepend=-1) > 0
+            starts, n = starts[one], (ends - starts)[one]
+            at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            kind[at], low[at] = ODD, raw[at]
+        cut = kind == DIGIT
+        cut[1:] |= kind[1:] != kind[:-1]
+        cut[0] = True
+        cut[texts] = True
+        starts = np.flatnonzero(cut)
+        n = np.diff(starts, append=len(raw))
+        ink = kind[starts] != WHITE
+        starts, n = starts[ink], n[ink]
+        offsets = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=offsets[1:])
+        runs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(low[kind != WHITE])]).dictionary_encode()
+        known = list(map(self.__getitem__, runs.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        which = runs.indices.to_numpy()
+        n = size[which]
+        before = np.concatenate(([0], np.cumsum(n)))
+        return starts, before, np.frombuffer(b"".join(known), self.dtype)[np.repeat((np.cumsum(size) - size)[which] - before[:-1], n) + np.arange(before[-1])]
+
+    def _runs(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of plain and other words, run by run."""
+        at = np.zeros(len(off), np.int64)
+        parts: list[np.ndarray] = [np.zeros(0, self.dtype)]
+        a = held = 0
+        while a < len(buf):
+            gap = GAP.search(buf, a + self.PIECE)
+            b = gap.end() if gap else len(buf)
+            first, last = np.searchsorted(off, (a, b))
+            inside = off[first:last] - a
+            starts, before, ids = self._piece(buf[a:b], inside)
+            at[first:last] = held + before[np.searchsorted(starts, inside)]
+            parts.append(ids)
+            a, held = b, held + len(ids)
+        at[np.searchsorted(off, len(buf)) :] = held
+        ids = np.concatenate(parts)
+        return [ids[p:q] for p, q in itertools.pairwise(at.tolist())]
+
+    def rows(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null text has none."""
+        buf, off = text_buffers(texts)
+        every = buf.tobytes()
+        spans = list(itertools.pairwise(off.tolist()))
+        whole = [k for k, (a, b) in enumerate(spans) if any(x in every[a:b] for x in self.added)] if any(x in every for x in self.added) else []
+        if not self.direct:
+            whole = list(range(len(spans)))
+        got = {k: np.frombuffer(self._whole(every[slice(*spans[k])].decode()), self.dtype) for k in whole}
+        if len(got) == len(spans):
+            return list(got.values())
+        if got:
+            buf = buf.copy()
+            for k in got:
+                buf[slice(*spans[k])] = 0x20
+        return [got.get(k, ids) for k, ids in enumerate(self._runs(buf, off))]
+
     def encode(self, text: str) -> bytes:
-        if not self.direct or any(a in text for a in self.added):
-            return self._whole(text)
-        return b"".join(map(self.__getitem__, WORD.findall(text)))
+        return self.rows(pa.array([text], pa.string()))[0].tobytes()
 
 
 def encoder(path: str, dtype: str) -> WordEncoder:
@@ -184,25 +270,24 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, block_ids: int = 1
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, "<u4")
         width = width_for(max(enc.size, end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         part, before, held = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
         lengths: list[int] = []
-        codes: list[bytes] = []
+        codes: list[np.ndarray] = []
 
         def full() -> pa.RecordBatch:
-            payload = write_block(ids, lengths, np.frombuffer(b"".join(codes), "<u4"), width)
+            payload = write_block(ids, lengths, np.concatenate(codes), width)
             row = [part, before, ids[0], ids[-1], len(ids), held, payload]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 6 + [pa.binary()], strict=True)], ["part", "part_start", "first_doc", "last_doc", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
             for rows in slices(batch, "text", 8 << 20):
-                for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    got = enc.encode(text or "") + end
+                for doc, got in zip(rows.column(0).to_pylist(), enc.rows(rows.column(1)), strict=True):
                     ids.append(doc)
-                    lengths.append(len(got) // 4)
-                    codes.append(got)
-                    held += len(got) // 4
+                    lengths.append(len(got) + 1)
+                    codes += got, end
+                    held += len(got) + 1
                     if held >= block_ids:
                         yield full()
                         before, held = before + held, 0

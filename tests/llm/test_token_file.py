@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,39 @@ def test_words_encode_as_whole_texts(text):
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.library.encode(text, add_special_tokens=False).ids
 
 
+class Counted:
+    def __init__(self, inner):
+        self.inner, self.asked = inner, []
+
+    def tokenize(self, run):
+        self.asked.append(run)
+        return self.inner.tokenize(run)
+
+    def encode(self, text, **more):
+        self.asked.append(text)
+        return self.inner.encode(text, **more)
+
+
+def test_the_library_is_asked_once_for_each_distinct_run():
+    enc = tf.WordEncoder(PATH, "<u4")
+    text = "The the, (THE) the. the! 12the21 Élan élan, don't don't"
+    want = enc.library.encode(text, add_special_tokens=False).ids
+    enc.model, enc.library = Counted(enc.model), Counted(enc.library)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == want
+    assert sorted(enc.model.asked) == sorted(["the", ",", "(", ")", ".", "!", "1", "2", "Ã©lan"]) and enc.library.asked == ["don't"]
+    enc.encode("Élan (the) 2. DON'T don't")
+    assert len(enc.model.asked) == 9 and enc.library.asked == ["don't", "DON'T"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n'!aZ0Àß×÷Σ\u0301\x1c\x85\xa0")), max_size=20), st.sampled_from(["<|endoftext|>", "a<|startoftext|>b", "<|endof", "text|>"])), max_size=8), st.integers(1, 12))
+def test_rows_encode_as_each_text(texts, piece):
+    enc = tf.WordEncoder.__new__(tf.WordEncoder)
+    enc.__dict__ |= tf.encoder(PATH, "<u4").__dict__ | {"PIECE": piece}
+    rows = pa.array([None, *texts, ""], pa.string())[1:]
+    assert [r.tolist() for r in enc.rows(rows)] == [enc.library.encode(t or "", add_special_tokens=False).ids for t in [*texts, ""]]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_any_vocabulary_gives_the_ids_of_the_library(name):
     enc = tf.encoder(public_tokenizers.path(name), "<u4")
