@@ -144,7 +144,7 @@ class WordEncoder(dict):
 
     MOST = 500_000
     #: Bytes of text scanned at once; a piece ends at white space.
-    PIECE = 4 << 20
+    PIECE = 1 << 20
 
     def __init__(self, path: str, dtype: str):
         super().__init__()
@@ -191,7 +191,10 @@ class WordEncoder(dict):
         at = at[LATIN[raw[at + 1]]] + 1
         kind[at - 1] = kind[at] = LETTER
         low[at[raw[at] < 0x9F]] += 0x20
-        odd = np.flatnonzero(kind == ODD)
+        odd = kind == ODD
+        odd[1:] &= kind[:-1] != ODD
+        odd[texts] = kind[texts] == ODD
+        odd = np.flatnonzero(odd)
         if len(odd):
             gaps, w = np.flatnonzero(kind == WHITE), np.searchsorted(texts, odd, "right")
             left, right = (np.concatenate(([0], x, [len(raw)])) for x in (gaps + 1, texts))
